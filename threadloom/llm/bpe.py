@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
-from .pretokens import Pieces, SEGMENT, ragged, splitter
+from .pretokens import SEGMENT, Pieces, encode_texts, ragged, splitter
 
 LONGEST = 256
 NONE = np.int32(2**31 - 1)
@@ -182,16 +182,18 @@ def tokenizer(path: str, pattern: str) -> tuple[Vocabulary, Pieces, object]:
     return _workers[path, pattern]
 
 
-def _digests(path: str, pattern: str, text: str) -> tuple[int, str, str]:
+def _digests(path: str, pattern: str, texts: list[str]) -> list[tuple[int, str, str]]:
+    """(n_tokens, sha256 of the ids, sha256 of the decoded bytes) of each text; new pieces of all texts are encoded together."""
     vocabulary, pieces, split = tokenizer(path, pattern)
-    words, n = split(text), 0
-    of_ids, of_bytes = hashlib.sha256(), hashlib.sha256()
-    for i in range(0, len(words), SEGMENT):
-        ids, _ = pieces.ids(words[i : i + SEGMENT])
-        of_ids.update((("," if n else "") + ",".join(map(vocabulary.text.__getitem__, ids.tolist()))).encode())
-        of_bytes.update(vocabulary.decode(ids))
-        n += len(ids)
-    return n, of_ids.hexdigest(), of_bytes.hexdigest()
+    out = []
+    for ids in encode_texts(pieces, split, texts):
+        of_ids, of_bytes = hashlib.sha256(), hashlib.sha256()
+        for i in range(0, len(ids), SEGMENT):
+            part = ids[i : i + SEGMENT]
+            of_ids.update(("," * (i > 0) + ",".join(map(vocabulary.text.__getitem__, part.tolist()))).encode())
+            of_bytes.update(vocabulary.decode(part))
+        out.append((len(ids), of_ids.hexdigest(), of_bytes.hexdigest()))
+    return out
 
 
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -202,8 +204,8 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN)
     """
 
     def run(part):
-        vocabulary, pieces, split = tokenizer(path, pattern)
-        return {"doc_id": part.column("doc_id"), "ids": [np.concatenate([pieces.ids(w[i : i + SEGMENT])[0] for i in range(0, len(w), SEGMENT)] or [np.zeros(0, np.int32)]) for w in map(split, part.column("text").to_pylist())]}
+        _, pieces, split = tokenizer(path, pattern)
+        return {"doc_id": part.column("doc_id"), "ids": encode_texts(pieces, split, part.column("text").to_pylist())}
 
     return common.map_slices(common.texts(docs), run, "doc_id long, ids array<int>")
 
@@ -225,7 +227,7 @@ def digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode and digest without writing the ids."""
 
     def run(part):
-        n, a, b = zip(*(_digests(path, pattern, t) for t in part.column("text").to_pylist()))
+        n, a, b = zip(*_digests(path, pattern, part.column("text").to_pylist()))
         return {"doc_id": part.column("doc_id"), "n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
 
     return common.map_slices(common.texts(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

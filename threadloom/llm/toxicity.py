@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import common
 
 THRESHOLD = 0.7
+TRAIN_ROWS = 20_000
 LEXICON = 8192  # features the model may hold
 MIN_ODDS = 2.0
 MIN_TOXIC = 3  # documents that must show a feature
@@ -44,7 +45,7 @@ _leet = re.compile(rf"(?<![\w{_signs}])(?!\d+(?:st|nd|rd|th)\b)(?=[^\W_]*[{_sign
 #: letters or signs one by one, with the same kind of gap between them
 _spaced = re.compile(rf"(?<![^\s])(?:[^\W\d_]|[{_signs}])(?:([ .\-_*])(?:[^\W\d_]|[{_signs}]))(?:\1(?:[^\W\d_]|[{_signs}])){{2,}}(?![^\s.,!?])")
 #: a letter three times in a row inside a word
-_repeated = re.compile(r"\w*([^\W\d_])\1\1\w*")
+_repeated = re.compile(r"([^\W\d_])\1\1")
 
 
 class Letters:
@@ -94,7 +95,7 @@ class Letters:
 
 
 class Restorer:
-    """restore(text): every suspicious span decoded, what was decoded before from memory."""
+    """Finds suspicious spans and decodes them; what was decoded before comes from memory."""
 
     def __init__(self, counts: np.ndarray, most: int = 100_000):
         self.model, self.known, self.most = Letters(counts), {}, most
@@ -106,18 +107,20 @@ class Restorer:
             found = self.known[text, gaps] = self.model.decode(text, gaps)
         return found
 
+    def disguised(self, low: str) -> list[str]:
+        """What spaced letters and leetspeak in a lower-case text stand for."""
+        out = [self.span(m[0], True) for m in _spaced.finditer(low) if len(set(m[0][::2])) > 2]
+        out += [self.span(m[0]) for m in _leet.finditer(low)]
+        return out
+
+    def drawn_out(self, word: str) -> str | None:
+        """A word with a letter three times in a row or more, restored."""
+        return self.span(word) if _repeated.search(word) else None
+
     def restore(self, text: str) -> str:
         """Lower case, with the restored words added after the text: nothing a reader could see is lost."""
         low = text.lower()
-        extra: list[str] = []
-        for m in _spaced.finditer(low):
-            letters = m[0][::2]
-            if len(set(letters)) > 2:
-                extra.append(self.span(m[0], True))
-        for m in _leet.finditer(low):
-            extra.append(self.span(m[0]))
-        for m in _repeated.finditer(low):
-            extra.append(self.span(m[0]))
+        extra = self.disguised(low) + [r for w in _word.findall(low) if (r := self.drawn_out(w))]
         return f"{low} {' '.join(extra)}" if extra else low
 
 
@@ -145,23 +148,29 @@ def keys(word: str) -> list[str]:
 
 
 class Hits:
-    """word -> buckets of its features, or with a lexicon the ones that the lexicon weighs."""
+    """Restored text -> buckets of its features, or with a lexicon of those that the lexicon weighs. Remembers words."""
 
-    def __init__(self, lexicon: dict[int, float] | None = None, most: int = 500_000):
-        self.lexicon, self.most, self.known = lexicon, most, {}
+    def __init__(self, counts: np.ndarray, lexicon: dict[int, float] | None = None, most: int = 500_000):
+        self.restorer, self.lexicon, self.most, self.known = Restorer(counts), lexicon, most, {}
 
     def word(self, word: str) -> tuple[int, ...]:
-        found = [zlib.crc32(k.encode("utf-8", "replace")) % BUCKETS for k in keys(word)]
+        restored = self.restorer.drawn_out(word)
+        found = {zlib.crc32(k.encode("utf-8", "replace")) % BUCKETS for w in ([word, restored] if restored else [word]) for k in keys(w)}
         return tuple(b for b in found if self.lexicon is None or b in self.lexicon)
 
     def text(self, text: str) -> set[int]:
         if len(self.known) > self.most:
             self.known.clear()
+        low = text.lower()
+        words = set(_word.findall(low))
+        for more in self.restorer.disguised(low):
+            words.update(_word.findall(more))
         out: set[int] = set()
-        for w in set(_word.findall(text)):
-            found = self.known.get(w)
+        known = self.known
+        for w in words:
+            found = known.get(w)
             if found is None:
-                found = self.known[w] = self.word(w)
+                found = known[w] = self.word(w)
             if found:
                 out.update(found)
         return out
@@ -194,17 +203,18 @@ def fit_curve(x: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int = 60) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray) -> tuple[dict[int, float], tuple[float, float, float]]:
-    """(lexicon, curve), from all labelled rows outside the held-out fold."""
+    """(lexicon, curve), from TRAIN_ROWS labelled rows outside the held-out fold at most, taken by a hash of doc_id."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1)
-    restored = common.texts(docs).join(known, "doc_id").select("text", "toxic")
+    known = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(10)), "doc_id").limit(TRAIN_ROWS)
+    restored = common.texts(docs).join(F.broadcast(known), "doc_id").select("text", "toxic")  # at most TRAIN_ROWS pairs of numbers
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, hits = Restorer(counts), Hits()
+        hits = Hits(counts)
         total = np.zeros((2, BUCKETS), np.int32)
         for part in common.slices(batches, "text"):
             for text, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                found = hits.text(restorer.restore(text))
+                found = hits.text(text)
                 total[y][np.fromiter(found, np.int64, len(found))] += 1
                 total[y][0] += 1  # bucket 0 counts documents
         at = np.flatnonzero(total.any(0))
@@ -220,10 +230,9 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray) -> tuple[dict[
     lexicon = {r["at"]: r["odds"] for r in strong.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "at").limit(LEXICON).collect()}
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, hits = Restorer(counts), Hits(lexicon)
+        hits = Hits(counts, lexicon)
         for part in common.slices(batches, "text"):
-            # a training row must not vouch for itself: its own count is taken out by the smoothing of MIN_TOXIC
-            told = [signal(hits.text(restorer.restore(t)), lexicon) for t in part.column(0).to_pylist()]
+            told = [signal(hits.text(t), lexicon) for t in part.column(0).to_pylist()]
             yield common.record_batch({"total": [round(np.log1p(a), 1) for a, _ in told], "most": [round(b, 1) for _, b in told], "y": part.column(1)}, common.arrow_schema("total double, most double, y int"))
 
     # sums and weights to one decimal: a bounded number of cells
@@ -245,10 +254,9 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
     def run(part: pa.RecordBatch) -> dict:
         if not workers:
-            n, words, _ = shared.value
-            workers["now"] = Restorer(n), Hits(words)
-        restorer, hits = workers["now"]
-        scores = [probability(*signal(hits.text(restorer.restore(t)), shared.value[1]), shared.value[2]) for t in part.column("text").to_pylist()]
+            workers["now"] = Hits(*shared.value[:2])
+        hits = workers["now"]
+        scores = [probability(*signal(hits.text(t), shared.value[1]), shared.value[2]) for t in part.column("text").to_pylist()]
         return {"doc_id": part.column("doc_id"), "score": scores}
 
     scored = common.map_slices(common.texts(docs), run, "doc_id long, score double")
