@@ -4,19 +4,19 @@ A byte goes if a 200-byte string that covers it also starts anywhere else. Ranki
 their first 2, 4, 8 ... bytes would sort every byte many times over, so three things keep the sorts small, none
 of which changes the result:
 
-- Ranking begins at CORE (32) bytes and at sampled positions: those whose 32-byte hash is the least in some
-  200-byte string. Equal 200-byte strings have their least hash at the same place, so each string is spoken for
-  by a position that its equals share. About one position in 85 is sampled.
+- Ranking begins at CORE (32) bytes and at sampled positions: every 200-byte string is spoken for by the place
+  in it whose 32-byte rank is least (the leftmost of such places). Equal strings are spoken for by equal places.
+  About one position in 85 speaks for any string.
 - Spark groups sampled positions by rank; a position of unique rank is dropped: none of its strings repeats.
 - The strings that a position speaks for start at consecutive places, so they travel as one row with their
-  bytes, and are ranked on at growing offsets. What all strings of a row have in common is their core, what any
-  of them covers is their span. In a round (rank of the core at the offset reached, rank of what lies beyond) is
-  reranked: a row whose span repeats is past the threshold as a whole and its bytes go; a row whose core is
-  unique is dropped; any other row is halved, which makes its cores longer: 32, 116, 158 ... 200 bytes.
-
-Rows of a rank held by up to LOCAL positions are brought together in one task, which goes on with numpy: ranks
-at offset 32, 64, 128 by doubling, then 200. Ranks held by more, such as a licence that a third of all documents
-carry, go on by Spark's rounds, which only meet partial aggregates and joins that Spark can split.
+  bytes, and are ranked on at growing offsets: ranks of 64, 128 and 200 bytes, each from the pair (rank at the
+  position, rank at the offset). A string whose rank is unique stays; the others are past the threshold.
+
+Positions of a rank held by up to LOCAL of them meet in one task, which reranks with numpy. Ranks held by more,
+such as a licence that a third of all documents carry, go on by Spark's rounds: what all strings of a row have
+in common is their core, what any of them covers is their span; a row whose span repeats goes as a whole, a row
+whose core is unique is dropped, any other row is halved, which makes its cores longer: 32, 116, 158 ... 200
+bytes. Those rounds meet only partial aggregates and joins that Spark can split.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from . import common
 
 THRESHOLD = 200
 CORE = 32
-LOCAL = 1000
+LOCAL = 1 << 16  # positions, with some 17 MB of bytes
 BUCKETS_PER_PARTITION = 8
 
 _A = np.uint64(0xBF58476D1CE4E5B9)
@@ -60,58 +60,32 @@ def ranks(data: np.ndarray, size: int) -> np.ndarray:
 SEGMENT = 4 << 20
 
 
-def sampled(data: np.ndarray, threshold: int = THRESHOLD, core: int = CORE) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, ranks) whose core-byte rank is the least of some string of `threshold` bytes."""
-    if len(data) <= SEGMENT:
-        return sampled_segment(data, threshold, core)
-    each = [(i, sampled_segment(data[i : i + SEGMENT + threshold - 1], threshold, core)) for i in range(0, len(data), SEGMENT)]
-    at, first = np.unique(np.concatenate([a + i for i, (a, _) in each]), return_index=True)
-    return at, np.concatenate([h for _, (_, h) in each])[first]
+def sampled(data: np.ndarray, threshold: int = THRESHOLD, core: int = CORE) -> tuple[np.ndarray, ...]:
+    """(positions, ranks, low, high): which places speak for strings; these start low to high bytes before them."""
+    each = [(i, sampled_segment(data[i : i + SEGMENT + threshold - 1], threshold, core)) for i in range(0, max(1, len(data)), SEGMENT)]
+    return tuple(np.concatenate([x[k] + (i if k == 0 else x[k].dtype.type(0)) for i, x in each]) for k in range(4))
 
 
-def sampled_segment(data: np.ndarray, threshold: int, core: int) -> tuple[np.ndarray, np.ndarray]:
+def sampled_segment(data: np.ndarray, threshold: int, core: int) -> tuple[np.ndarray, ...]:
     h = ranks(data, core)
     width = threshold - core + 1
     if len(h) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    least, n = h, 1  # sliding minimum by doubling
-    while 2 * n <= width:
-        least, n = np.minimum(least[:-n], least[n:]), 2 * n
-    least = np.minimum(least[: len(h) - width + 1], least[width - n : width - n + len(h) - width + 1])
-    # a position is sampled if a window that holds it has its rank as minimum: the greatest of those minima is it
-    padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-    most, n = padded, 1
-    while 2 * n <= width:
-        most, n = np.maximum(most[:-n], most[n:]), 2 * n
-    most = np.maximum(most[: len(h)], most[width - n : width - n + len(h)])
-    at = np.flatnonzero(most == h)
-    return at, h[at]
-
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least, at, n = h, np.arange(len(h), dtype=np.int32), 1  # the leftmost least of n places, by doubling
 
-def local_spans(contexts: list[bytes], before: np.ndarray, threshold: int = THRESHOLD, core: int = CORE) -> tuple[np.ndarray, np.ndarray]:
-    """(context, start) of every string of `threshold` bytes around the cores that another context has at the same place.
+    def better(i: slice, j: slice) -> tuple[np.ndarray, np.ndarray]:
+        left = least[i] <= least[j]
+        return np.where(left, least[i], least[j]), np.where(left, at[i], at[j])
 
-    before: bytes of a context in front of its core. Ranks grow by doubling at offsets within each context.
-    """
-    which, start, rank = [], [], []
-    for i, c in enumerate(contexts):
-        r = ranks(np.frombuffer(c, np.uint8), threshold)
-        first, last = max(0, int(before[i]) - (threshold - core)), min(len(r) - 1, int(before[i]))
-        if first <= last:
-            s = np.arange(first, last + 1)
-            which.append(np.full(len(s), i))
-            start.append(s)
-            # strings are equals only at equal distance from the core
-            rank.append(joined_rank(r[s], (int(before[i]) - s).astype(np.uint64)))
-    if not which:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    which, start, rank = np.concatenate(which), np.concatenate(start), np.concatenate(rank)
-    order = np.argsort(rank, kind="stable")
-    same = rank[order][1:] == rank[order][:-1]
-    twice = np.zeros(len(rank), bool)
-    twice[order[1:]] |= same
-    twice[order[:-1]] |= same
-    return which[twice], start[twice]
+    while 2 * n <= width:
+        least, at = better(slice(None, -n), slice(n, None))
+        n *= 2
+    count = len(h) - width + 1
+    least, at = better(slice(0, count), slice(width - n, width - n + count))
+    first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
+    last = np.append(first[1:], count) - 1
+    position = at[first].astype(np.int64)
+    return position, least[first], position - last, position - first
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -119,87 +93,110 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"))
 
 
-def anchors(docs: DataFrame, threshold: int, core: int) -> DataFrame:
-    """(h, k1, k2, pos): the sampled positions of every text."""
+ANCHOR = np.dtype([("h", "<u8"), ("k1", "<i8"), ("k2", "<i4"), ("pos", "<i4"), ("low", "<i2"), ("high", "<i2")])
+#: a record with this position says that its rank is known to repeat, k1 times
+MARK = -1
 
-    def run(part: pa.RecordBatch) -> dict:
-        got = [sampled(np.frombuffer(t.encode(), np.uint8), threshold, core) for t in part.column("text").to_pylist()]
-        n = [len(a) for a, _ in got]
-        return {
-            "h": np.concatenate([h for _, h in got]).view(np.int64), "k1": np.repeat(part.column("k1").to_numpy(), n), "k2": np.repeat(part.column("k2").to_numpy(), n),
-            "pos": np.concatenate([a for a, _ in got]).astype(np.int32),
-        }
 
-    return common.map_slices(keyed(docs).drop("doc_id"), run, "h long, k1 long, k2 int, pos int")
+def runs_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts of runs of equal keys in that order)."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    return order, np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(keys) else np.zeros(0, bool)
 
 
-def repeated_ranks(found: DataFrame) -> DataFrame:
-    """(h, n): ranks of two positions or more; positions of equal texts may count each.
+def repeated(records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Records sorted by rank, which of them have a rank of two places or more, and where ranks start."""
+    order, new = runs_of(records["h"])
+    records = records[order]
+    if not len(records):
+        return records, np.zeros(0, bool), new
+    group = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    lead = starts[group]
+    other = (records["pos"] == MARK) | (records["k1"] != records["k1"][lead]) | (records["k2"] != records["k2"][lead]) | (records["pos"] != records["pos"][lead])
+    return records, (np.add.reduceat(other, starts, dtype=np.int64) > 0)[group], new
 
-    Ranks are dealt by hash bits in packed arrays, counted within each map task first.
-    """
-    spark = found.sparkSession
-    parts = common.spread(spark) * BUCKETS_PER_PARTITION
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = common.arrow_schema("bucket int, packed binary")
-        for b in batches:
-            h, n = np.unique(b.column("h").to_numpy().view(np.uint64), return_counts=True)
-            bucket = (h % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            h, n, bucket = h[order], n[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            rows = [(int(bucket[i]), np.concatenate([h[i:j], n[i:j].astype(np.uint64)]).tobytes()) for i, j in zip([0, *cuts], [*cuts, len(h)]) if i < j]
-            yield common.record_batch({"bucket": [r[0] for r in rows], "packed": [r[1] for r in rows]}, names)
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = common.arrow_schema("h long, n long")
+def survivors(docs: DataFrame, threshold: int, core: int, local: int) -> tuple[DataFrame, DataFrame]:
+    """(h, k1, k2, pos, low, high) of sampled positions whose rank repeats; and (h) of ranks with over `local`.
+
+    Records are dealt by bits of their rank, packed. What a map task sees repeat needs no dealing: it goes on
+    at once, and one mark with its count goes in its place, so a frequent rank is no large group anywhere.
+    """
+    spark = docs.sparkSession
+    n = common.spread(spark) * BUCKETS_PER_PARTITION
+    sent = "bucket int, packed binary"
+
+    def packs(records: np.ndarray, bucket: np.ndarray) -> dict:
+        order, new = runs_of(bucket)
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(order))
+        ordered = records[order]
+        return {"bucket": bucket[order][starts], "packed": [ordered[i:j].tobytes() for i, j in zip(starts, ends)]}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = common.arrow_schema(sent)
+        for part in common.slices(batches, "text", 16 << 20):
+            found, seen = [], set()
+            for k1, k2, text in zip(part.column("k1").to_pylist(), part.column("k2").to_pylist(), part.column("text").to_pylist()):
+                if (k1, k2) not in seen:  # of copies one will do
+                    seen.add((k1, k2))
+                    at, h, low, high = sampled(np.frombuffer(text.encode(), np.uint8), threshold, core)
+                    r = np.empty(len(at), ANCHOR)
+                    r["h"], r["k1"], r["k2"], r["pos"], r["low"], r["high"] = h, k1, k2, at, low, high
+                    found.append(r)
+            r, twice, new = repeated(np.concatenate(found) if found else np.zeros(0, ANCHOR))
+            heads = np.flatnonzero(new & twice)
+            marks = r[heads].copy()
+            if len(marks):
+                marks["k1"], marks["pos"] = np.diff(np.append(np.flatnonzero(new), len(r)))[twice[new]], MARK
+            alone = np.concatenate([r[~twice], marks])
+            yield common.record_batch(packs(alone, (alone["h"] % np.uint64(n)).astype(np.int32)), names)
+            sure = r[twice]
+            yield common.record_batch(packs(sure, (-1 - (sure["k1"].view(np.uint64) % np.uint64(n)).astype(np.int64)).astype(np.int32)), names)
+
+    out = "h long, k1 long, k2 int, pos int, low int, high int"
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = common.arrow_schema(out)
         now, held = None, []
 
-        def counted() -> pa.RecordBatch:
-            both = [np.frombuffer(x, np.uint64) for x in held]
-            h, at = np.unique(np.concatenate([x[: len(x) // 2] for x in both]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([x[len(x) // 2 :] for x in both]).astype(float)).astype(np.int64)
-            return common.record_batch({"h": h[n > 1].view(np.int64), "n": n[n > 1]}, names)
+        def table(r: np.ndarray) -> pa.RecordBatch:
+            return common.record_batch({k: np.ascontiguousarray(r[k].view(np.int64) if k == "h" else r[k]) for k in names.names}, names)
+
+        def settled() -> pa.RecordBatch:
+            r, twice, new = repeated(np.concatenate(held))
+            often = np.add.reduceat(np.where(r["pos"] == MARK, r["k1"], 1), np.flatnonzero(new)) > local
+            hot = r[np.flatnonzero(new)[often]].copy()
+            hot["pos"] = MARK
+            return table(np.concatenate([r[twice & (r["pos"] != MARK)], hot]))
 
         for b in batches:
-            for bucket, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for bucket, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                r = np.frombuffer(x, ANCHOR)
+                if bucket < 0:
+                    yield table(r)
+                    continue
                 if bucket != now and held:
-                    yield counted()
+                    yield settled()
                     held = []
                 now = bucket
-                held.append(packed)
+                held.append(r)
         if held:
-            yield counted()
+            yield settled()
 
-    packed = found.select("h").mapInArrow(count, "bucket int, packed binary")
-    return packed.repartition(common.spread(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(total, "h long, n long")
+    dealt = docs.select("k1", "k2", "text").mapInArrow(deal, sent)
+    all_ = common.cut(dealt.repartition(common.spread(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(settle, out), "repeat-survivors")
+    return all_.where(F.col("pos") != MARK), common.cut(all_.where(F.col("pos") == MARK).select("h"), "repeat-hot")
 
 
-CONTEXT = "h long, n long, k1 long, k2 int, pos int, before int, context binary"
-
-
-def contexts(docs: DataFrame, held: DataFrame, threshold: int, core: int) -> DataFrame:
-    """The bytes that the strings of each held position cover, one row a position of a distinct text."""
-    lists = held.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "n", "pos")).alias("held"))  # a document's own positions
-    # of equal texts the least doc_id stands for all
+def with_texts(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """(k1, k2, packed, held): the held positions of each distinct text beside it; the least doc_id stands for copies."""
+    lists = held.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "pos", "low", "high")).alias("held"))
     first = docs.groupBy("k1", "k2").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("id"))
     lists = common.cut(lists.join(first, ["k1", "k2"]), "repeat-held")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = common.arrow_schema(CONTEXT)
-        expand = zstandard.ZstdDecompressor().decompress
-        for part in common.slices(batches, "packed", 1 << 20):
-            out: dict[str, list] = {f.name: [] for f in names}
-            for row in part.to_pylist():
-                raw = expand(row["packed"])
-                for a in row["held"]:
-                    low = max(0, a["pos"] - (threshold - core))
-                    for k, v in zip(out, (a["h"], a["n"], row["k1"], row["k2"], a["pos"], a["pos"] - low, raw[low : a["pos"] + threshold])):
-                        out[k].append(v)
-            yield common.record_batch(out, names)
-
-    return packed(docs).join(lists, ["id", "k1", "k2"]).select("k1", "k2", "packed", "held").mapInArrow(run, CONTEXT)
+    return packed(docs).join(lists, ["id", "k1", "k2"]).select("k1", "k2", "packed", "held")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -225,38 +222,134 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]
 
 
-def local_rounds(rows: DataFrame, threshold: int, core: int) -> DataFrame:
-    """Spans to remove, from ranks that few positions hold."""
+def local_rounds(rows: DataFrame, threshold: int) -> DataFrame:
+    """Spans to remove, from positions whose rank few others have."""
     spark = rows.sparkSession
+    n = common.spread(spark) * BUCKETS_PER_PARTITION
+    sent = "bucket int, records binary, sizes binary, bytes binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = common.arrow_schema(sent)
+        expand = zstandard.ZstdDecompressor().decompress
+        squeeze = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
+        for part in common.slices(batches, "packed", 2 << 20):
+            texts = [expand(x) for x in part.column("packed").to_pylist()]
+            lists = part.column("held")
+            flat = lists.flatten()
+            size = np.diff(lists.offsets.to_numpy())
+            r = np.empty(len(flat), ANCHOR)
+            for k in ("pos", "low", "high"):
+                r[k] = flat.field(k).to_numpy()
+            r["h"] = flat.field("h").to_numpy().view(np.uint64)
+            r["k1"], r["k2"] = np.repeat(part.column("k1").to_numpy(), size), np.repeat(part.column("k2").to_numpy(), size)
+            text = np.repeat(np.arange(len(texts)), size)
+            order, new = runs_of((r["h"] % np.uint64(n)).astype(np.int32))
+            starts = np.flatnonzero(new)
+            out: dict[str, list] = {f.name: [] for f in names}
+            begin, end = (r["pos"] - r["high"]).tolist(), (r["pos"] - r["low"] + threshold).tolist()
+            for i, j in zip(starts, np.append(starts[1:], len(order))):
+                known: dict = {}
+                sizes, bytes_ = [], []
+                for m in order[i:j].tolist():
+                    c = texts[text[m]][begin[m] : end[m]]
+                    # the same bytes around the same rank are sent once: a negative size points to them
+                    if (first := known.setdefault((r["h"][m], c), len(sizes))) == len(sizes):
+                        sizes.append(len(c))
+                        bytes_.append(c)
+                    else:
+                        sizes.append(-1 - first)
+                for k, v in zip(out, (int(r["h"][order[i]] % np.uint64(n)), r[order[i:j]].tobytes(), np.array(sizes, "<i8").tobytes(), squeeze(b"".join(bytes_)))):
+                    out[k].append(v)
+            yield common.record_batch(out, names)
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = common.arrow_schema(SPANS)
         now, held = None, []
 
-        def settled(out: list) -> None:
-            if len(held) < 2:
-                return
-            which, start = local_spans([r[5] for r in held], np.array([r[4] for r in held]), threshold, core)
-            for i in np.unique(which):
-                _, k1, k2, pos, before, _ = held[i]
-                s = start[which == i] + (pos - before)
-                for a, b in zip(*merged(s, s + threshold)):
-                    out.append((k1, k2, int(a), int(b)))
+        def settled() -> pa.RecordBatch:
+            return common.record_batch(dict(zip(names.names, repeated_spans(held, threshold))), names)
 
         for b in batches:
-            out: list[tuple] = []
-            for row in zip(*(b.column(c).to_pylist() for c in ("h", "k1", "k2", "pos", "before", "context"))):
-                if row[0] != now:
-                    settled(out)
-                    now, held = row[0], []
-                held.append(row)
-            yield common.record_batch(dict(zip(names.names, zip(*out))) if out else {n: [] for n in names.names}, names)
-        out = []
-        settled(out)
-        yield common.record_batch(dict(zip(names.names, zip(*out))) if out else {n: [] for n in names.names}, names)
+            for row in zip(*(b.column(c).to_pylist() for c in ("bucket", "records", "sizes", "bytes"))):
+                if row[0] != now and held:
+                    yield settled()
+                    held = []
+                now = row[0]
+                held.append(row[1:])
+        if held:
+            yield settled()
+
+    dealt = rows.mapInArrow(deal, sent).repartition(common.spread(spark), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(rerank, SPANS)
+
+
+def repeated_spans(packs: list[tuple[bytes, bytes, bytes]], threshold: int) -> tuple[np.ndarray, ...]:
+    """(k1, k2, start, end) to remove, of all records of a bucket."""
+    expand = zstandard.ZstdDecompressor().decompress
+    known: dict = {}
+    records, context, weight, buffers = [], [], [], []
+    for r, sizes, data in packs:
+        r, sizes, data = np.frombuffer(r, ANCHOR), np.frombuffer(sizes, "<i8").tolist(), expand(data)
+        at, mine = 0, []
+        for h, high, size in zip(r["h"].tolist(), r["high"].tolist(), sizes):
+            if size < 0:
+                c = mine[-1 - size]
+            else:
+                x = data[at : at + size]
+                at += size
+                if (c := known.setdefault((h, high, x), len(buffers))) == len(buffers):
+                    buffers.append(x)
+                    weight.append(0)
+            mine.append(c)
+            weight[c] += 1
+        records.append(r)
+        context.append(np.array(mine, np.int64))
+    r, context, weight = np.concatenate(records), np.concatenate(context), np.array(weight)
+    _, first = np.unique(context, return_index=True)  # a record of each distinct context
+    size = np.fromiter(map(len, buffers), np.int64, len(buffers))
+    strings = size - threshold + 1
+    rank = ranks(np.frombuffer(b"".join(buffers), np.uint8), threshold)
+    which = np.repeat(np.arange(len(buffers)), strings)
+    j = np.arange(len(which)) - np.repeat(np.cumsum(strings) - strings, strings)
+    distance = (r["high"][first][which] - j).astype(np.uint64)
+    # equal strings lie alike around equal ranks
+    key = joined_rank(joined_rank(rank[(np.cumsum(size) - size)[which] + j], r["h"][first][which]), distance)
+    order, new = runs_of(key)
+    twice = np.zeros(len(key), bool)
+    twice[order] = ~new | np.append(~new[1:], False)
+    twice |= weight[which] > 1
+    # runs of repeated strings in each context, then for each record with it
+    edge = np.concatenate([[True], (which[1:] != which[:-1])]) if len(which) else np.zeros(0, bool)
+    begins = np.flatnonzero(twice & (edge | ~np.concatenate([[False], twice[:-1]])))
+    ends = np.flatnonzero(twice & np.append(edge[1:] | ~twice[1:], True))
+    of = which[begins]
+    count = np.bincount(of, minlength=len(buffers))
+    at = (np.cumsum(count) - count)[context]
+    span = np.repeat(at - (np.cumsum(count[context]) - count[context]), count[context]) + np.arange(count[context].sum())
+    owner = np.repeat(np.arange(len(r)), count[context])
+    base = (r["pos"] - r["high"])[owner]
+    return r["k1"][owner], r["k2"][owner], (base + j[begins][span]).astype(np.int32), (base + j[ends][span] + threshold).astype(np.int32)
+
+
+HOT = "h long, k1 long, k2 int, pos int, before int, context binary"
+
+
+def hot_contexts(rows: DataFrame, threshold: int) -> DataFrame:
+    """The same bytes as rows, for Spark's rounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = common.arrow_schema(HOT)
+        expand = zstandard.ZstdDecompressor().decompress
+        for part in common.slices(batches, "packed", 1 << 20):
+            out: dict[str, list] = {f.name: [] for f in names}
+            for row in part.to_pylist():
+                raw = expand(row["packed"])
+                for a in row["held"]:
+                    for k, v in zip(out, (a["h"], row["k1"], row["k2"], a["pos"], a["high"], raw[a["pos"] - a["high"] : a["pos"] - a["low"] + threshold])):
+                        out[k].append(v)
+            yield common.record_batch(out, names)
 
-    dealt = rows.select("h", "k1", "k2", "pos", "before", "context").repartition(common.spread(spark), "h").sortWithinPartitions("h", "k1", "k2", "pos")
-    return dealt.mapInArrow(run, SPANS)
+    return rows.mapInArrow(run, HOT)
 
 
 STEP = "h long, k1 long, k2 int, pos int, before int, context binary, low int, high int, core_rank binary, span_rank binary"
@@ -294,8 +387,8 @@ def spark_rounds(rows: DataFrame, threshold: int, core: int) -> list[DataFrame]:
             return gone
         for kind in ("core", "span"):
             twice = ranked.where(f"{kind}_rank is not null").groupBy(f"{kind}_rank").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "pos")).alias(f"{kind}_lead")).where("times > 1")
-            ranked = ranked.join(common.cut(twice.select(f"{kind}_rank", f"{kind}_lead", F.lit(True).alias(f"{kind}_twice")), "repeat-ranks"), f"{kind}_rank", "left")
-        ranked = common.cut(ranked.where("core_twice"), "repeat-ranked")
+            ranked = ranked.join(common.cut(twice.select(f"{kind}_rank", f"{kind}_lead", F.lit(True).alias(f"{kind}_twice")), "repeat-ranks"), f"{kind}_rank", "inner" if kind == "core" else "left")
+        ranked = common.cut(ranked, "repeat-ranked")
         gone.append(ranked.where("span_twice").select("k1", "k2", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + threshold).cast("int").alias("end")))
         middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
         halves = F.array(F.struct(F.col("low").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("high").alias("b")))
@@ -307,13 +400,13 @@ def spark_rounds(rows: DataFrame, threshold: int, core: int) -> list[DataFrame]:
 def cuts(docs: DataFrame, threshold: int = THRESHOLD, core: int = CORE, local: int = LOCAL) -> tuple[DataFrame, DataFrame]:
     """(keyed docs, (k1, k2, copies, spans)): what to remove from each distinct text that repeats anything."""
     docs = keyed(common.texts(docs))
-    found = common.cut(anchors(docs, threshold, core), "repeat-anchors")
-    often = common.cut(repeated_ranks(found), "repeat-ranks")
-    held = common.cut(found.join(often, "h").groupBy("h", "k1", "k2", "pos").agg(F.max("n").alias("n")), "repeat-survivors")
-    rows = common.cut(contexts(docs, held, threshold, core), "repeat-contexts")
-    spans = local_rounds(rows.where(F.col("n") <= local), threshold, core)
-    for more in spark_rounds(rows.where(F.col("n") > local), threshold, core):
-        spans = spans.unionByName(more)
+    held, hot = survivors(docs, threshold, core, local)
+    any_hot = not hot.isEmpty()
+    spans = local_rounds(with_texts(docs, held.join(hot, "h", "left_anti") if any_hot else held), threshold)
+    if any_hot:
+        rows = common.cut(hot_contexts(with_texts(docs, held.join(hot, "h", "left_semi")), threshold), "repeat-hot-contexts")
+        for more in spark_rounds(rows, threshold, core):
+            spans = spans.unionByName(more)
     by_text = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     copies = docs.groupBy("k1", "k2").agg(F.count("*").alias("copies")).where("copies > 1")
     return docs, common.cut(by_text.join(copies, ["k1", "k2"], "full"), "repeat-spans")
