@@ -48,14 +48,17 @@ def state(spark: SparkSession, path: str, digest: Callable[[Column], Column] = s
     def sink(batch: DataFrame, k: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={k}")  # a batch that is run again replaces itself
 
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, ROCKS)
+    # without fallocate the files of a small state are small as well
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         query = kept.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", common.new_path(spark, "exact-checkpoint")).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     from pyspark.sql.utils import AnalysisException
 
     schema = kept.schema
