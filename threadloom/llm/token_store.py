@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -78,15 +79,16 @@ def library(path: str) -> tuple[Pieces, object]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True  # their strings in a text are ordinary text
+        t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # the pieces are split already
 
         def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
             ids = [e.ids for e in t.encode_batch_fast(new, add_special_tokens=False)]
             n = np.fromiter(map(len, ids), np.int64, len(ids))
-            return np.fromiter((x for i in ids for x in i), np.int32, int(n.sum())), n
+            return np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())), n
 
         _workers[path] = Pieces(encode), splitter(public_tokenizers.PATTERN)
     return _workers[path]
