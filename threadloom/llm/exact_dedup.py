@@ -84,7 +84,9 @@ def dedup(spark: SparkSession, path: str, digest: Callable[[Column], Column] = s
 
     hits = joined.where("n > 1")
     stay = common.cut(hits.where("doc_id <=> keep_id").groupBy("digest").agg(F.min("normal").alias("stays")), "exact-stay")
-    odd = common.cut(hits.join(stay, "digest").where("normal <> stays").select("digest").distinct(), "exact-odd")
+    # written before distinct: a join that an aggregate on its key follows could not be split
+    differ = common.cut(hits.join(stay, "digest").where("normal <> stays").select("digest"), "exact-differ")
+    odd = common.cut(differ.distinct(), "exact-odd")
     columns = ["doc_id", "keep_id", F.col("n").alias("group_size"), F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256"]
     if odd.isEmpty():
         return joined.select(*columns)
