@@ -154,11 +154,11 @@ def brute_lines(rows):
             if len(n := lines.normalised(line)) >= lines.MIN_CHARS:
                 places.append(((d is None, key(d), i), n))
     nodes = sorted({n for _, n in places})
-    fps = lines.simhashes(nodes)
+    fps = lines.simhashes([n.split() for n in nodes])
     long = [len(n.split()) >= lines.MIN_WORDS for n in nodes]
 
     def linked(i, j):
-        return long[i] and long[j] and int(np.bitwise_count(fps[i] ^ fps[j])) <= lines.RADIUS and lines.similarity_at_least(nodes[i], nodes[j], lines.SIMILARITY)
+        return long[i] and long[j] and int(np.bitwise_count(fps[i] ^ fps[j])) <= lines.RADIUS and lines.similarity_at_least(nodes[i].decode(), nodes[j].decode(), lines.SIMILARITY)
 
     near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= lines.RADIUS
     label = brute_components(len(nodes), lambda i, j: near[i, j] and linked(i, j))
