@@ -1,6 +1,539 @@
-"""All queries of the engine by name, with the SQL each is checked against."""
+"""All queries of the engine by name, with the SQL each is checked against.
+
+The driver's tables lack intents, drafts and verdicts; queries that need them derive them from ids by fixed
+arithmetic, which both engines do alike. Such rows test the operator, not the domain.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from ..functions import stats as S, text as T
+from ..operators import complete, corpus, evaluate, learn, policy, retrieve, sample
+from ..sources import files
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+r6 = lambda c: F.round(c, 6)
+share = lambda c: r6(F.avg(c.cast("int")))
+
+# ---------------------------------------------------------------- threads
+
+
+def conversation_episodes(spark: SparkSession, d: str) -> DataFrame:
+    """First user turn and the first assistant turn after it, with the number of later user turns; one aggregate."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    first = F.min(F.when(F.col("role") == "user", F.col("turn"))).over(Window.partitionBy("conv_id"))
+    c = c.withColumn("opened", first).where("opened is not null")
+    reply = (F.col("role") == "assistant") & (F.col("turn") > F.col("opened"))
+    return c.groupBy("conv_id").agg(
+        F.min("opened").alias("open_turn"), F.max(F.when(F.col("turn") == F.col("opened"), F.col("text"))).alias("customer_msg"), F.min(F.when(reply, F.col("turn"))).alias("reply_turn"),
+        F.min_by(F.when(reply, F.col("text")), F.when(reply, F.col("turn"))).alias("brand_reply"), F.count_if((F.col("role") == "user") & (F.col("turn") > F.col("opened"))).alias("n_followups"),
+    ).where("reply_turn is not null")
+
+
+EPISODES = """
+WITH o AS (SELECT conv_id, min(turn) AS open_turn FROM conversations WHERE role = 'user' GROUP BY 1),
+r AS (SELECT c.conv_id, min(c.turn) AS reply_turn FROM conversations c JOIN o USING (conv_id) WHERE role = 'assistant' AND turn > open_turn GROUP BY 1),
+f AS (SELECT c.conv_id, count(*) AS n FROM conversations c JOIN o USING (conv_id) WHERE role = 'user' AND turn > open_turn GROUP BY 1),
+e AS (SELECT o.conv_id, open_turn, a.text AS customer_msg, reply_turn, b.text AS brand_reply, coalesce(n, 0) AS n_followups
+  FROM o JOIN r USING (conv_id) JOIN conversations a ON a.conv_id = o.conv_id AND a.turn = open_turn
+  JOIN conversations b ON b.conv_id = o.conv_id AND b.turn = reply_turn LEFT JOIN f ON f.conv_id = o.conv_id)"""
+
+
+@query(EPISODES + " SELECT * FROM e")
+def conv_episodes(spark, d):
+    return conversation_episodes(spark, d)
+
+
+@query(EPISODES + """, s AS (SELECT *, row_number() OVER (ORDER BY conv_id) AS k, count(*) OVER () AS n FROM e)
+SELECT CASE WHEN k <= round_even(n * 0.7, 0) THEN 'train' WHEN k <= round_even(n * 0.7, 0) + round_even(n * 0.1, 0) THEN 'dev' ELSE 'test' END AS split,
+  count(*) AS n, min(conv_id) AS first_id, max(conv_id) AS last_id, round(avg(CASE WHEN length(brand_reply) >= 60 THEN 1 ELSE 0 END), 6) AS long_reply_rate, round(avg(n_followups), 6) AS followups
+FROM s GROUP BY 1""")
+def conv_episode_splits(spark, d):
+    e = corpus.chronological_split(conversation_episodes(spark, d), "conv_id")
+    return e.groupBy("split").agg(F.count("*").alias("n"), F.min("conv_id").alias("first_id"), F.max("conv_id").alias("last_id"), share(F.length("brand_reply") >= 60).alias("long_reply_rate"), r6(F.avg("n_followups")).alias("followups"))
+
+
+@query("SELECT DISTINCT a.conv_id FROM conversations a WHERE role = 'assistant' AND EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.role = 'user' AND b.turn = a.turn + 1)")
+def conv_multi_turn_flag(spark, d):
+    c = table(spark, d, "conversations")
+    after = c.where("role = 'user'").select("conv_id", (F.col("turn") - 1).alias("turn"))
+    return c.where("role = 'assistant'").join(after, ["conv_id", "turn"], "left_semi").select("conv_id").distinct()
+
+
+@query("SELECT DISTINCT conv_id FROM conversations a WHERE NOT EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.role = 'assistant')")
+def conv_open_threads(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "role")
+    return c.groupBy("conv_id").agg(F.bool_or(F.col("role") == "assistant").alias("answered")).where("not answered").select("conv_id")
+
+
+@query("SELECT conv_id, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) AS turns, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1")
+def conv_followups(spark, d):
+    c = table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("t"))
+    return c.select("conv_id", F.array_join(F.col("t").cast("array<string>"), ",").alias("turns"), F.size("t").cast("long").alias("n"))
+
+
+# ---------------------------------------------------------------- scorecards
+
+
+CARD = """WITH c AS (SELECT source, count(*) AS docs, avg(CASE WHEN n_chars >= 60 THEN 1 ELSE 0 END) AS substantive_rate, avg(CASE WHEN lang <> 'en' THEN 1 ELSE 0 END) AS non_latin_rate,
+  median(n_chars) AS median_chars, coalesce(avg(toxic), 0) AS thanks_rate, coalesce(avg(quality), 0) AS multi_turn_rate, count(DISTINCT lang) AS langs
+  FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1),
+v AS (SELECT *, least(1.0, (log10(docs) - min(log10(docs)) OVER ()) / greatest(max(log10(docs)) OVER () - min(log10(docs)) OVER (), 1e-9)) AS vol FROM c)
+SELECT source, docs, round(substantive_rate, 6) AS substantive_rate, round(non_latin_rate, 6) AS non_latin_rate, median_chars, langs,
+  round(0.45 * substantive_rate + 0.15 * vol + 0.15 * (1 - non_latin_rate) + 0.10 * least(thanks_rate, 0.15) / 0.15 + 0.15 * least(multi_turn_rate, 0.6) / 0.6, 6) AS usable_score FROM v"""
+
+
+@query(CARD)
+def source_scorecard(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars").join(table(spark, d, "labels"), "doc_id", "left")
+    rate = lambda c: F.avg(c.cast("int"))
+    cards = rows.groupBy("source").agg(
+        F.count("*").alias("docs"), rate(F.col("n_chars") >= 60).alias("substantive_rate"), rate(F.col("lang") != "en").alias("non_latin_rate"), F.median("n_chars").alias("median_chars"),
+        F.coalesce(F.avg("toxic"), F.lit(0.0)).alias("thanks_rate"), F.coalesce(F.avg("quality"), F.lit(0.0)).alias("multi_turn_rate"), F.countDistinct("lang").alias("langs"),
+    )
+    return corpus.usable(cards, "docs").select("source", "docs", r6("substantive_rate").alias("substantive_rate"), r6("non_latin_rate").alias("non_latin_rate"), "median_chars", "langs", r6("usable_score").alias("usable_score"))
+
+
+@query(f"SELECT source, usable_score FROM ({CARD}) ORDER BY usable_score DESC, source LIMIT 5")
+def source_scorecard_top(spark, d):
+    return source_scorecard(spark, d).select("source", "usable_score").orderBy(F.desc("usable_score"), "source").limit(5)
+
+
+# ---------------------------------------------------------------- text
+
+
+DUCK = {k: v.replace("'", "''") for k, v in T.PATTERNS.items()}
+CLEAN = r"""trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(text, 'https?://[^\s]+', ' <url> ', 'g'), '@[\p{L}\p{N}_]+', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '\s+', ' ', 'g'))"""
+
+
+@query(f"SELECT doc_id, md5({CLEAN}) AS clean_md5, length({CLEAN}) AS n FROM documents")
+def text_clean(spark, d):
+    c = T.clean_text(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.md5(c).alias("clean_md5"), F.length(c).cast("long").alias("n"))
+
+
+@query(r"SELECT doc_id, round(coalesce(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / nullif(length(regexp_replace(text, '[^\p{L}]', '', 'g')), 0), 0.0), 6) AS latin_ratio FROM documents")
+def text_latin_ratio(spark, d):
+    return table(spark, d, "documents").select("doc_id", r6(T.latin_ratio(F.col("text"))).alias("latin_ratio"))
+
+
+@query("SELECT doc_id, " + ", ".join(f"regexp_matches(text, '{DUCK[p]}') AS {p}" for p in ("money", "safety", "sarcasm", "existing_case", "multi_question", "legal", "thanks", "deflection")) + " FROM documents")
+def text_probe_hits(spark, d):
+    return table(spark, d, "documents").select("doc_id", *(T.hit(p, F.col("text")).alias(p) for p in ("money", "safety", "sarcasm", "existing_case", "multi_question", "legal", "thanks", "deflection")))
+
+
+@query(f"SELECT conv_id, turn, length(text) AS length, length(text) > 280 AS over_length, len(regexp_extract_all(text, '{DUCK['live_claim']}'))[1] IS NOT NULL AS x, trim(text) = '' AS empty FROM conversations".replace("len(regexp_extract_all(text, '" + DUCK["live_claim"] + "'))[1] IS NOT NULL AS x", f"CAST(len(regexp_extract_all(text, '{DUCK['live_claim']}')[1:5]) AS BIGINT) AS claims"))
+def text_automated_flags(spark, d):
+    f = T.automated_flags(F.col("text"), F.lit(""))
+    return table(spark, d, "conversations").select("conv_id", "turn", f.alias("f")).select("conv_id", "turn", F.col("f.length").cast("long").alias("length"), "f.over_length", F.size("f.claims").cast("long").alias("claims"), "f.empty")
+
+
+@query(f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{DUCK['live_claim']}')) AS BIGINT) AS n_claims, array_to_string(regexp_extract_all(text, '{DUCK['live_claim']}'), '|') AS claims FROM documents")
+def text_live_claims(spark, d):
+    c = T.live_claims(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(c).cast("long").alias("n_claims"), F.array_join(c, "|").alias("claims"))
+
+
+@query(EPISODES + f""", c AS (SELECT conv_id, regexp_replace(lower(customer_msg), '[^0-9a-z]', '', 'g') AS said, unnest(regexp_extract_all(brand_reply, '{DUCK['live_claim']}')) AS claim FROM e)
+SELECT e.conv_id, count(claim) AS n_novel FROM e LEFT JOIN (SELECT * FROM c WHERE regexp_replace(lower(claim), '[^0-9a-z]', '', 'g') <> '' AND NOT contains(said, regexp_replace(lower(claim), '[^0-9a-z]', '', 'g'))) x USING (conv_id) GROUP BY 1""")
+def text_novel_claims(spark, d):
+    return conversation_episodes(spark, d).select("conv_id", F.size(T.novel_live_claims(F.col("brand_reply"), F.col("customer_msg"))).cast("long").alias("n_novel"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\b[0-9]{1,2}[:.][0-9]{2}\b', '<time>', 'g'), '\b[0-9]+\b', '<num>', 'g')) AS normal_md5 FROM documents WHERE lang = 'en'")
+def text_cluster_normal(spark, d):
+    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.md5(T.normalise_for_clustering(F.col("text"))).alias("normal_md5"))
+
+
+# ---------------------------------------------------------------- time splits, set operations, resume
+
+
+@query("""WITH s AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS k, count(*) OVER () AS m FROM events),
+t AS (SELECT *, CASE WHEN k <= round_even(m * 0.7, 0) THEN 'train' WHEN k <= round_even(m * 0.7, 0) + round_even(m * 0.1, 0) THEN 'dev' ELSE 'test' END AS split FROM s)
+SELECT coalesce(split, 'all') AS split, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at, round(avg(value), 4) AS mean_value FROM t GROUP BY ROLLUP (split)""")
+def events_split_meta(spark, d):
+    e = corpus.chronological_split(table(spark, d, "events").select("event_id", "ts", "value"), "ts", "event_id")
+    return corpus.split_meta(e, "split", "ts", F.round(F.avg("value"), 4).alias("mean_value"))
+
+
+@query("""SELECT 'union' AS op, count(*) AS n FROM (SELECT o_custkey FROM orders UNION SELECT c_custkey FROM customer)
+UNION ALL SELECT 'intersect', count(*) FROM (SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer)
+UNION ALL SELECT 'except', count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)""")
+def orders_union_intersect_except(spark, d):
+    o, c = table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    n = lambda df, op: df.agg(F.count("*").alias("n")).select(F.lit(op).alias("op"), "n")
+    return n(o.union(c).distinct(), "union").unionByName(n(o.intersect(c), "intersect")).unionByName(n(c.subtract(o), "except"))
+
+
+@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+def resume_not_done(spark, d):
+    return files.not_done(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT user_id) AS authors FROM events")
+def source_profile(spark, d):
+    return files.profile(table(spark, d, "events"), "user_id")
+
+
+# ---------------------------------------------------------------- samples
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY md5(concat_ws('|', CAST(doc_id AS VARCHAR), 'natural')), doc_id LIMIT 120")
+def strata_natural(spark, d):
+    return sample.uniform(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", 120)
+
+
+@query("""WITH s AS (SELECT lang, count(*) AS size FROM documents GROUP BY 1), k AS (SELECT lang, row_number() OVER (ORDER BY size, lang) AS class_rank, count(*) OVER () AS classes FROM s),
+r AS (SELECT lang, doc_id, class_rank, classes, row_number() OVER (PARTITION BY lang ORDER BY md5(concat_ws('|', CAST(doc_id AS VARCHAR), 'enriched')), doc_id) AS rn FROM documents JOIN k USING (lang))
+SELECT doc_id, lang, class_rank, rn FROM r WHERE rn <= greatest(3, floor(60 / classes) + 2) ORDER BY rn, class_rank LIMIT 60""")
+def strata_enriched(spark, d):
+    return sample.enriched(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang", 60).select("doc_id", "lang", F.col("class_rank").cast("long").alias("class_rank"), F.col("rn").cast("long").alias("rn"))
+
+
+@query("""WITH p AS (SELECT doc_id, unnest(list_filter([CASE WHEN quality = 0 THEN 'junk' END, CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN doc_id % 3 = 0 THEN 'third' END], lambda x: x IS NOT NULL)) AS probe FROM labels),
+a AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY md5(concat_ws('|', CAST(doc_id AS VARCHAR), 'adversarial')), doc_id) AS rn FROM p),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rn, probe) AS use FROM a),
+c AS (SELECT doc_id, probe, row_number() OVER (PARTITION BY probe ORDER BY rn) AS rn FROM b WHERE use = 1)
+SELECT doc_id, probe, rn FROM c WHERE rn <= 16 ORDER BY rn, probe LIMIT 40""")
+def strata_adversarial(spark, d):
+    probes = F.array_compact(F.array(F.when(F.col("quality") == 0, "junk"), F.when(F.col("toxic") == 1, "toxic"), F.when(F.col("doc_id") % 3 == 0, "third")))
+    return sample.adversarial(table(spark, d, "labels").select("doc_id", probes.alias("probes")), "doc_id", "probes", 40, 13).select("doc_id", "probe", F.col("rn").cast("long").alias("rn"))
+
+
+U = "CAST(concat('0x', substr(md5(concat_ws('|', {})), 1, 8)) AS BIGINT) / 4294967296.0"
+
+
+@query(f"SELECT doc_id FROM labels WHERE {U.format('CAST(doc_id AS VARCHAR), ' + chr(39) + 'audit' + chr(39))} < 0.25")
+def audit_sample(spark, d):
+    return sample.audit(table(spark, d, "labels").select("doc_id"), "doc_id")
+
+
+@query("""WITH a AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat_ws('|', CAST(doc_id AS VARCHAR), 'blind')), doc_id) AS rn FROM documents)
+SELECT doc_id, lang, rn, row_number() OVER (ORDER BY md5(concat_ws('|', CAST(doc_id AS VARCHAR), 'blind-order')), doc_id) AS position FROM a WHERE rn <= 20""")
+def balanced_blind_sample(spark, d):
+    return sample.balanced(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang").select("doc_id", "lang", F.col("rn").cast("long").alias("rn"), F.col("position").cast("long").alias("position"))
+
+
+# ---------------------------------------------------------------- retrieval
+
+
+def tfidf(spark, d, terms):
+    w, idf = retrieve.index(table(spark, d, "documents").select("doc_id", "text"), "doc_id", terms(F.col("text")))
+    return retrieve.search(table(spark, d, "benchmark").select("item_id", "text"), "item_id", terms(F.col("text")), w, idf, "doc_id")
+
+
+TFIDF = """tf AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY 1, 2), idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1 HAVING count(*) >= 2),
+w0 AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (term)), w AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w0),
+qf AS (SELECT item_id, term, count(*) AS tf FROM qt GROUP BY 1, 2), q0 AS (SELECT item_id, term, (1 + ln(tf)) * idf AS w FROM qf JOIN idf USING (term)), q AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS wq FROM q0),
+s AS (SELECT item_id, doc_id, round(sum(wq * w), 6) AS score FROM q JOIN w USING (term) GROUP BY 1, 2),
+top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s)"""
+WORDS = "WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS ws FROM documents), b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS ws FROM benchmark),\n" + ", ".join(
+    f"{o} AS (SELECT {k}, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM {t})" for o, k, t in (("dt", "doc_id", "d"), ("qt", "item_id", "b"))
+)
+
+
+@query(WORDS + ",\n" + TFIDF + " SELECT item_id, round(score, 4) AS score, rank FROM top WHERE rank <= 4")
+def tfidf_word_topk(spark, d):
+    return tfidf(spark, d, retrieve.word_terms).select("item_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(WORDS + ",\n" + TFIDF + " SELECT item_id, count(*) AS n, round(max(score), 4) AS best FROM top WHERE rank <= 1 AND score >= 0.22 GROUP BY 1")
+def nn_reply(spark, d):
+    """The nearest-neighbour baseline: the best precedent, if it is near enough."""
+    got = tfidf(spark, d, retrieve.word_terms).where("rank = 1 and score >= 0.22")
+    return got.groupBy("item_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 4).alias("best"))
+
+
+@query()
+def tfidf_char_topk(spark, d):
+    return tfidf(spark, d, retrieve.char_terms)
+
+
+@query()
+def tfidf_combined_topk(spark, d):
+    docs, q = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text")
+    scores = []
+    for terms in (retrieve.word_terms, retrieve.char_terms):
+        w, idf = retrieve.index(docs, "doc_id", terms(F.col("text")))
+        scores.append(retrieve.search(q, "item_id", terms(F.col("text")), w, idf, "doc_id", 100))
+    return retrieve.top(retrieve.combined(*scores, "item_id", "doc_id"), "item_id", "doc_id", 4)
+
+
+DENSE = """u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+p AS (SELECT q.vec_id AS query, d.vec_id AS doc, round(list_dot_product(q.e, d.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(d.e, d.e))), 6) AS score FROM u q JOIN u d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM p)"""
+
+
+@query(f"WITH {DENSE} SELECT query, doc, round(score, 4) AS score, rank FROM k WHERE rank <= 4")
+def dense_topk(spark, d):
+    e = table(spark, d, "embeddings")
+    return retrieve.dense_top(e.where("vec_id % 20 = 0"), e).select("query", "doc", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def nearest_labels(spark, d):
+    e = table(spark, d, "embeddings")
+    k = retrieve.dense_top(e.where("vec_id % 20 = 0"), e, k=1)
+    own = lambda i, c: e.select(F.col("vec_id").alias(i), F.col("label").alias(c))
+    return k.join(own("query", "y_true"), "query").join(own("doc", "y_pred"), "doc").select("query", "y_true", "y_pred")
+
+
+KNN = f"""WITH {DENSE}, n AS (SELECT a.label AS y_true, b.label AS y_pred FROM k JOIN embeddings a ON a.vec_id = query JOIN embeddings b ON b.vec_id = doc WHERE rank = 1),
+l AS (SELECT DISTINCT y_true AS label FROM n UNION SELECT DISTINCT y_pred FROM n),
+c AS (SELECT t.label AS y_true, p.label AS y_pred, count(n.y_true) AS n FROM l t CROSS JOIN l p LEFT JOIN n ON n.y_true = t.label AND n.y_pred = p.label GROUP BY 1, 2),
+f0 AS (SELECT label, (SELECT sum(n) FROM c WHERE y_true = label) AS support, (SELECT sum(n) FROM c WHERE y_pred = label) AS predicted, (SELECT sum(n) FROM c WHERE y_true = label AND y_pred = label) AS tp FROM l),
+f1 AS (SELECT label, support, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS p, CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS r FROM f0),
+f AS (SELECT label, CAST(support AS BIGINT) AS support, round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 4) AS f1 FROM f1)"""
+
+
+@query(KNN + " SELECT y_true, y_pred, n FROM c")
+def knn_confusion(spark, d):
+    return S.confusion(nearest_labels(spark, d), "y_true", "y_pred")
+
+
+@query(KNN + " SELECT * FROM f")
+def knn_per_class_f1(spark, d):
+    return S.per_class(nearest_labels(spark, d), "y_true", "y_pred")
+
+
+@query(KNN + " SELECT round(avg(f1), 4) AS macro_f1, round(sum(f1 * support) / sum(support), 4) AS weighted_f1, (SELECT round(avg(CASE WHEN y_true = y_pred THEN 1 ELSE 0 END), 4) FROM n) AS accuracy FROM f WHERE support > 0")
+def knn_macro_f1(spark, d):
+    return S.macro_f1(nearest_labels(spark, d), "y_true", "y_pred")
+
+
+@query(KNN + " SELECT y_true, y_pred, n FROM c WHERE y_true <> y_pred AND n > 0 ORDER BY n DESC, y_true, y_pred LIMIT 5")
+def top_confusions(spark, d):
+    return S.confusion(nearest_labels(spark, d), "y_true", "y_pred").where("y_true <> y_pred and n > 0").orderBy(F.desc("n"), "y_true", "y_pred").limit(5)
+
+
+# ---------------------------------------------------------------- statistics
+
+
+@query("SELECT lang AS label, round(n / sum(n) OVER (), 6) AS share FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1) ORDER BY n DESC, lang LIMIT 1".replace("SELECT lang AS label, round(n / sum(n) OVER (), 6) AS share FROM", "SELECT lang AS label, round(n / (SELECT count(*) FROM documents), 6) AS share FROM"))
+def majority_baseline(spark, d):
+    return learn.majority(table(spark, d, "documents").select("lang"), "lang")
+
+
+def rated(spark, d):
+    return table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars", "lang"), "doc_id").withColumn("guess", (F.col("n_chars") >= 800).cast("int"))
+
+
+@query("""WITH r AS (SELECT quality AS a, CASE WHEN n_chars >= 800 THEN 1 ELSE 0 END AS b FROM labels JOIN documents USING (doc_id)),
+k AS (SELECT count(*) AS n, avg(CASE WHEN a = b THEN 1.0 ELSE 0 END) AS po, avg(a) * avg(b) + (1 - avg(a)) * (1 - avg(b)) AS pe FROM r),
+x AS (SELECT n, po, CASE WHEN abs(1 - pe) < 1e-12 THEN CASE WHEN po = 1 THEN 1.0 ELSE 0.0 END ELSE (po - pe) / (1 - pe) END AS k FROM k)
+SELECT n, round(po, 6) AS agreement, round(k, 6) AS kappa, CASE WHEN k < 0 THEN 'poor' WHEN k < 0.2 THEN 'slight' WHEN k < 0.4 THEN 'fair' WHEN k < 0.6 THEN 'moderate' WHEN k < 0.8 THEN 'substantial' ELSE 'almost perfect' END AS band FROM x""")
+def kappa_labels(spark, d):
+    return S.kappa(rated(spark, d), "quality", "guess")
+
+
+@query("""WITH g AS (SELECT lang, sum(quality) AS k, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1)
+SELECT lang, CAST(k AS BIGINT) AS k, n, round(greatest(0.0, (k / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt((k / n) * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)), 6) AS low,
+  round(least(1.0, (k / n + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt((k / n) * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)), 6) AS high FROM g""")
+def wilson_by_group(spark, d):
+    g = rated(spark, d).groupBy("lang").agg(F.sum("quality").alias("k"), F.count("*").alias("n"))
+    low, high = S.wilson(F.col("k"), F.col("n"))
+    return g.select("lang", "k", "n", r6(low).alias("low"), r6(high).alias("high"))
+
+
+CURVE = """WITH r AS (SELECT floor(n_chars / 500) AS score, quality AS y FROM labels JOIN documents USING (doc_id)), g AS (SELECT score, count(*) AS n, sum(y) AS k FROM r GROUP BY 1),
+h AS (SELECT n, k, sum(n) OVER (ORDER BY score DESC) - n AS n0, sum(k) OVER (ORDER BY score DESC) - k AS k0, sum(n) OVER () AS total FROM g),
+c AS (SELECT CAST(n0 + i AS BIGINT) AS rank, (n0 + i) / total AS coverage, 1 - (k0 + i * k / n) / (n0 + i) AS error FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM h))"""
+
+
+def scored(spark, d):
+    return rated(spark, d).select(F.floor(F.col("n_chars") / 500).alias("score"), "quality")
+
+
+@query(CURVE + " SELECT rank, round(coverage, 6) AS coverage, round(error, 6) AS error FROM c")
+def risk_coverage(spark, d):
+    return S.risk_coverage(scored(spark, d), "score", "quality").select(F.col("rank").cast("long").alias("rank"), r6("coverage").alias("coverage"), r6("error").alias("error"))
+
+
+@query(CURVE + ", l AS (SELECT *, lag(coverage) OVER (ORDER BY rank) AS c0, lag(error) OVER (ORDER BY rank) AS e0 FROM c) SELECT round(sum((coverage - c0) * (error + e0) / 2), 6) AS aurc FROM l")
+def aurc(spark, d):
+    return S.aurc(scored(spark, d), "score", "quality")
+
+
+def acted(spark, d):
+    action = F.when(F.col("value") < 20, "auto").when(F.col("value") < 60, "assist").otherwise("escalate")
+    return table(spark, d, "events").select("event_type", "user_id", action.alias("action"), (F.col("event_id") % 3 != 0).alias("correct"), (F.col("event_id") % 17 == 0).alias("catastrophic"))
+
+
+ACTED = "WITH a AS (SELECT event_type, CASE WHEN value < 20 THEN 'auto' WHEN value < 60 THEN 'assist' ELSE 'escalate' END AS action, event_id % 3 <> 0 AS correct, event_id % 17 = 0 AS catastrophic FROM events), "
+SELECTIVE = """s AS (SELECT {by} count(*) AS n, count_if(action = 'auto') AS n_auto, avg(CAST(action = 'auto' AS INT)) AS coverage, avg(CAST(action = 'assist' AS INT)) AS assist_rate, avg(CAST(action = 'escalate' AS INT)) AS escalate_rate,
+  count_if(action = 'auto' AND correct) AS k, avg(CASE WHEN action = 'assist' THEN CAST(correct AS INT) END) AS quality_assist, avg(CAST(correct AS INT)) AS quality_overall, count_if(action = 'auto' AND catastrophic) AS escapes, avg(CAST(catastrophic AS INT)) AS catastrophic_overall FROM a {group}),
+t AS (SELECT *, k / nullif(n_auto, 0) AS p FROM s)
+SELECT {by} CAST(n AS BIGINT) AS n, CAST(n_auto AS BIGINT) AS n_auto, round(coverage, 6) AS coverage, round(assist_rate, 6) AS assist_rate, round(escalate_rate, 6) AS escalate_rate, round(p, 6) AS quality_auto,
+  round(greatest(0.0, (p + 3.8416 / (2 * n_auto) - 1.96 * sqrt(p * (1 - p) / n_auto + 3.8416 / (4 * n_auto * n_auto))) / (1 + 3.8416 / n_auto)), 6) AS quality_low, round(least(1.0, (p + 3.8416 / (2 * n_auto) + 1.96 * sqrt(p * (1 - p) / n_auto + 3.8416 / (4 * n_auto * n_auto))) / (1 + 3.8416 / n_auto)), 6) AS quality_high,
+  round(quality_assist, 6) AS quality_assist, round(quality_overall, 6) AS quality_overall, round(escapes / nullif(n_auto, 0), 6) AS catastrophic_auto, round(catastrophic_overall, 6) AS catastrophic_overall, CAST(escapes AS BIGINT) AS escapes FROM t"""
+
+
+@query(ACTED + SELECTIVE.format(by="", group=""))
+def selective_operating_point(spark, d):
+    return S.selective(acted(spark, d))
+
+
+@query(ACTED + SELECTIVE.format(by="event_type,", group="GROUP BY event_type"))
+def selective_by_stratum(spark, d):
+    return S.selective(acted(spark, d), "event_type")
+
+
+@query("SELECT coalesce(lang, 'all') AS lang, count(*) AS n, round(avg(CASE WHEN quality = CASE WHEN n_chars >= 800 THEN 1 ELSE 0 END THEN 1 ELSE 0 END), 6) AS agreement FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)")
+def agreement_by_stratum(spark, d):
+    return evaluate.agreement(rated(spark, d), "lang", "quality", "guess")
+
+
+@query(f"""WITH r AS (SELECT b, quality, {U.format("CAST(doc_id AS VARCHAR), CAST(b AS VARCHAR), '20260913'")} AS u FROM labels, (SELECT unnest(range(1, 101)) AS b)),
+w AS (SELECT b, quality, CAST(u >= 0.36787944 AS INT) + CAST(u >= 0.73575888 AS INT) + CAST(u >= 0.91969860 AS INT) + CAST(u >= 0.98101184 AS INT) + CAST(u >= 0.99634015 AS INT) + CAST(u >= 0.99940582 AS INT) AS w FROM r),
+m AS (SELECT b, sum(w * quality) / sum(w) AS m FROM w GROUP BY 1)
+SELECT (SELECT round(avg(quality), 6) FROM labels) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
+def bootstrap_mean_ci(spark, d):
+    return S.bootstrap_mean(table(spark, d, "labels"), "doc_id", "quality", 100)
+
+
+# ---------------------------------------------------------------- router
+
+
+NAMES = [i[0] for i in policy.INTENTS]
+
+
+def drafts(spark, d):
+    c = table(spark, d, "labels").select("doc_id", "quality", "toxic")
+    k = lambda m: F.pmod(F.col("doc_id") * m, F.lit(100))
+    msg = F.when(k(13) < 5, "my lawyer will hear of this").when(k(13) < 10, "I want a refund").when(k(13) < 14, "a dangerous door").when(k(13) < 17, "still waiting for an answer").when(k(13) < 19, "<url>").otherwise("when does my train leave from the station")
+    reply = F.when(k(29) < 4, F.lit(None).cast("string")).when(k(29) < 8, "  ").when(k(29) < 25, "It is running from platform 4").otherwise("Please ask the staff at the gate")
+    intent = F.element_at(F.array(*map(F.lit, [*NAMES, "no such intent"])), (F.pmod(F.col("doc_id"), F.lit(13)) + 1).cast("int"))
+    return c.select("doc_id", msg.alias("msg"), intent.alias("intent"), (F.pmod(F.col("doc_id") * 7919, F.lit(100)) / 100.0).alias("confidence"), reply.alias("reply"), (F.pmod(F.col("doc_id") * 31, F.lit(60)) / 100.0).alias("score"), (F.pmod(F.col("doc_id"), F.lit(11)) == 0).alias("self_report"), "quality", "toxic")
+
+
+def routed_sql(configs: list[tuple]) -> str:
+    boolean = lambda v: "TRUE" if v is True else "FALSE" if v is False else f"'{v}'" if isinstance(v, str) else str(v)
+    values = lambda rows: ", ".join("(" + ", ".join(map(boolean, r)) + ")" for r in rows)
+    m, r = "(doc_id * 13) % 100", "(doc_id * 29) % 100"
+    return f"""WITH tax(intent, prior_share, live, disposition) AS (VALUES {values(policy.INTENTS)}),
+cfg(config, min_confidence, min_score, {', '.join(policy.GUARDS)}) AS (VALUES {values(configs)}),
+d0 AS (SELECT doc_id, quality, toxic, {m} AS m, {r} AS r, [{', '.join(f"'{n}'" for n in [*NAMES, 'no such intent'])}][doc_id % 13 + 1] AS intent, (doc_id * 7919) % 100 / 100.0 AS confidence, (doc_id * 31) % 60 / 100.0 AS score, doc_id % 11 = 0 AS self_report FROM labels),
+f AS (SELECT d0.*, cfg.*, coalesce(disposition, '') AS disposition FROM d0 LEFT JOIN tax USING (intent) CROSS JOIN cfg),
+x AS (SELECT *, CASE WHEN block_on_safety AND m >= 10 AND m < 14 THEN 'R1-safety' WHEN block_on_legal AND m < 5 THEN 'R2-legal' WHEN block_on_money AND m >= 5 AND m < 10 THEN 'R3-money' WHEN block_on_existing_case AND m >= 14 AND m < 17 THEN 'R4-existing-case'
+ WHEN block_on_unreadable AND m >= 17 AND m < 19 THEN 'R5-unreadable' WHEN use_intent_policy AND disposition = 'escalate' THEN 'R6-intent-policy' WHEN confidence < min_confidence THEN 'R7-low-confidence' WHEN r < 4 THEN 'R8-no-draft'
+ WHEN block_live_claims AND (self_report OR (r >= 8 AND r < 25)) THEN 'R9-live-claim' WHEN score < min_score THEN 'R10-weak-grounding' WHEN r >= 4 AND r < 8 THEN 'R11-empty-draft' WHEN disposition = 'auto' THEN 'R12-auto-eligible' ELSE 'R13-default-assist' END AS rule FROM f),
+routed AS (SELECT *, CASE WHEN rule IN ('R8-no-draft', 'R10-weak-grounding', 'R13-default-assist') THEN 'assist' WHEN rule = 'R12-auto-eligible' THEN 'auto' ELSE 'escalate' END AS action FROM x) """
+
+
+def routed(spark, d, configs):
+    return policy.route(drafts(spark, d), policy.taxonomy(spark), configs)
+
+
+DEFAULT = [policy.config_row("default")]
+SWEEP = [policy.config_row(f"conf={c:.2f} score={s:.2f}", c, s) for c in (0.35, 0.45, 0.55, 0.65, 0.75, 0.85) for s in (0.20, 0.28, 0.36)]
+ABLATIONS = [policy.config_row("default"), policy.config_row("no text blocks", off=policy.GUARDS[:5]), policy.config_row("no intent policy", off=("use_intent_policy",)), policy.config_row("no confidence floor", 0.0), policy.config_row("no live-claim check", off=("block_live_claims", "block_unresponsive")), policy.config_row("no grounding floor", score=0.0), policy.config_row("all guards off", 0.0, 0.0, policy.GUARDS)]
+
+
+@query(routed_sql(DEFAULT) + "SELECT doc_id, action, rule FROM routed")
+def router_decisions(spark, d):
+    return routed(spark, d, policy.default_config(spark)).select("doc_id", "action", "rule")
+
+
+@query(routed_sql(DEFAULT) + "SELECT rule, action, count(*) AS n FROM routed GROUP BY 1, 2")
+def router_rule_distribution(spark, d):
+    return routed(spark, d, policy.default_config(spark)).groupBy("rule", "action").agg(F.count("*").alias("n"))
+
+
+COUNTS = "SELECT config, count_if(action = 'auto')::BIGINT AS auto, count_if(action = 'assist')::BIGINT AS assist, count_if(action = 'escalate')::BIGINT AS escalate, round(avg(CASE WHEN action = 'auto' THEN quality END), 6) AS quality_auto FROM routed GROUP BY 1"
+
+
+def counted(df):
+    n = lambda a: F.count_if(F.col("action") == a).alias(a)
+    return df.groupBy("config").agg(n("auto"), n("assist"), n("escalate"), r6(F.avg(F.when(F.col("action") == "auto", F.col("quality")))).alias("quality_auto"))
+
+
+@query(routed_sql(SWEEP) + COUNTS)
+def router_sweep(spark, d):
+    return counted(routed(spark, d, policy.sweep(spark)))
+
+
+@query(routed_sql(ABLATIONS) + COUNTS)
+def router_ablation(spark, d):
+    return counted(routed(spark, d, policy.ablations(spark)))
+
+
+@query("SELECT 0.529 AS live_share, 2 AS n_auto")
+def live_traffic_share(spark, d):
+    return policy.live_share(policy.taxonomy(spark)).select(F.round("live_share", 6).cast("decimal(4,3)").alias("live_share"), F.size("auto_eligible").alias("n_auto"))
+
+
+# ---------------------------------------------------------------- evaluation
+
+
+@query("""WITH v AS (SELECT doc_id, doc_id % 3 AS a, (doc_id // 3) % 3 AS b, (doc_id // 9) % 3 AS c, (doc_id // 27) % 3 AS e, toxic = 1 AS cat, quality = 1 AS ok FROM labels),
+o AS (SELECT *, CASE WHEN cat AND ok THEN 'catastrophic cannot be sent' WHEN a = 0 AND ok THEN 'unsafe cannot be sent' WHEN b = 0 AND ok THEN 'does not address the need' END AS override_reason FROM v)
+SELECT doc_id, ok AND override_reason IS NULL AS acceptable_to_send, override_reason, round((a + b + c + e) / 8, 6) AS composite FROM o""")
+def judge_consistency(spark, d):
+    v = table(spark, d, "labels").select("doc_id", *((F.floor(F.col("doc_id") / n) % 3).cast("string").alias(c) for n, c in zip((1, 3, 9, 27), evaluate.ORDINALS)), (F.col("toxic") == 1).alias("catastrophic"), (F.col("quality") == 1).alias("acceptable_to_send"))
+    return evaluate.consistent(v).select("doc_id", "acceptable_to_send", "override_reason", r6("composite").alias("composite"))
+
+
+@query(routed_sql(DEFAULT) + """, m AS (SELECT count(*) AS denominator, count_if(r >= 8 AND r < 25) AS invented_fact, count_if(r >= 8 AND r < 25 AND NOT self_report) AS misreport, count_if(score < 0.22) AS weak_grounding, 0 AS deflection, 0 AS over_length, count_if(r < 8) AS empty, count_if(toxic = 1) AS catastrophic, count_if(toxic = 1 AND action = 'auto') AS router_escape FROM routed)
+SELECT mode, CAST(n AS BIGINT) AS n, denominator, round(n / denominator, 6) AS rate FROM (UNPIVOT (SELECT denominator, invented_fact::BIGINT AS invented_fact, misreport::BIGINT AS misreport, weak_grounding::BIGINT AS weak_grounding, deflection::BIGINT AS deflection, over_length::BIGINT AS over_length, empty::BIGINT AS empty, catastrophic::BIGINT AS catastrophic, router_escape::BIGINT AS router_escape FROM m) ON invented_fact, misreport, weak_grounding, deflection, over_length, empty, catastrophic, router_escape INTO NAME mode VALUE n)""")
+def failure_mode_rates(spark, d):
+    return evaluate.failure_modes(routed(spark, d, policy.default_config(spark)).withColumn("catastrophic", F.col("toxic") == 1))
+
+
+KIND = "CASE event_type WHEN 'click' THEN 'auto_agreed' WHEN 'view' THEN 'llm_adjudicated' WHEN 'error' THEN 'audit' ELSE 'adjudicate' END"
+
+
+@query(f"SELECT user_id, event_id, kind FROM (SELECT user_id, event_id, {KIND} AS kind, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN {KIND} IN ('adjudicate', 'audit') THEN 0 WHEN {KIND} = 'llm_adjudicated' THEN 1 ELSE 2 END, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def label_precedence(spark, d):
+    return evaluate.precedence(table(spark, d, "events").select("user_id", "event_id", F.expr(KIND).alias("kind")), "user_id", "kind", "event_id")
+
+
+@query("SELECT coalesce(root, 'all') AS root, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(wait), 4) AS wait FROM (SELECT event_type AS root, user_id % 100 AS tokens, value AS wait FROM events) GROUP BY ROLLUP (root)")
+def ledger_by_tag(spark, d):
+    return complete.ledger_summary(table(spark, d, "events").select(F.concat("event_type", F.lit(":"), F.col("user_id").cast("string")).alias("tag"), (F.col("user_id") % 100).alias("tokens"), F.col("value").alias("wait")))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def completion_cache_misses(spark, d):
+    return complete.cached(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id", "quality"), "doc_id")[1]
+
+
+@query("SELECT doc_id, NOT (quality = toxic) OR doc_id % 7 = 0 AS needs_adjudication FROM labels")
+def needs_adjudication(spark, d):
+    v = table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("a"), F.col("toxic").cast("string").alias("b"), (F.col("doc_id") % 7 == 0).alias("doubt"))
+    return v.select("doc_id", evaluate.needs_adjudication("a", "b", "doubt").alias("needs_adjudication"))
+
+
+# ---------------------------------------------------------------- learning
+
+
+@query()
+def kmeans_clusters(spark, d):
+    return learn.kmeans(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", 10, 2).select("vec_id", "cluster_id")
+
+
+@query()
+def kmeans_split_clusters(spark, d):
+    return learn.kmeans_with_splits(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", 5).select("vec_id", "cluster_id")
+
+
+@query()
+def weak_logreg(spark, d):
+    e = table(spark, d, "embeddings")
+    return learn.weak_logreg(e.where("vec_id % 3 <> 1"), e.where("vec_id % 3 = 1"), "embedding", "label").drop("embedding")
