@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Characters that separate words in every contract of this subpackage.
 BLANKS = " \t\n\x0b\x0c\r"
 
+BATCH_ROWS = 2000
+
 _own_dir: list[str] = []
 
 
@@ -24,6 +26,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of any table that has these columns, whatever else it has; a null text is empty."""
+    conf = docs.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:  # texts are long: smaller batches hold less memory
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

@@ -35,7 +35,7 @@ class Pieces(dict):
     Holds `most` pieces at most; then it starts anew, so memory is bounded whatever the corpus holds.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 300_000):
         super().__init__()
         self.encode, self.most = encode, most
         self.clear()

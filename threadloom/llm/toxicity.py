@@ -150,7 +150,7 @@ def keys(word: str) -> list[str]:
 class Hits:
     """Restored text -> buckets of its features, or with a lexicon of those that the lexicon weighs. Remembers words."""
 
-    def __init__(self, counts: np.ndarray, lexicon: dict[int, float] | None = None, most: int = 500_000):
+    def __init__(self, counts: np.ndarray, lexicon: dict[int, float] | None = None, most: int = 200_000):
         self.restorer, self.lexicon, self.most, self.known = Restorer(counts), lexicon, most, {}
 
     def word(self, word: str) -> tuple[int, ...]:
