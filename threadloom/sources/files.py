@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-RAW = T.StructType.fromDDL("tweet_id long, author_id string, inbound string, created_at string, text string, in_response_to_tweet_id double")
+RAW = "tweet_id long, author_id string, inbound string, created_at string, text string, in_response_to_tweet_id double"
 
 
 def settle(df: DataFrame) -> DataFrame:
