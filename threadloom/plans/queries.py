@@ -270,11 +270,7 @@ def tfidf_char_topk(spark, d):
 @query()
 def tfidf_combined_topk(spark, d):
     docs, q = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text")
-    scores = []
-    for terms in (retrieve.word_terms, retrieve.char_terms):
-        w, idf = retrieve.index(docs, "doc_id", terms(F.col("text")))
-        scores.append(retrieve.search(q, "item_id", terms(F.col("text")), w, idf, "doc_id", 100))
-    return retrieve.top(retrieve.combined(*scores, "item_id", "doc_id"), "item_id", "doc_id", 4)
+    return retrieve.combined(q, docs, "item_id", "doc_id", [retrieve.word_terms(F.col("text")), retrieve.char_terms(F.col("text"))])
 
 
 DENSE = """u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
