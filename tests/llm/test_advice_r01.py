@@ -7,7 +7,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat, lines
+import corpus_pipeline as cp
+from threadloom.llm import chat, lines, simhash
 from threadloom.operators import retrieve
 
 from .test_dedup import brute_components
@@ -76,3 +77,23 @@ def test_op8_long_texts_and_conversations(spark):
     got = {r.conv_id: r for r in chat.formats(long.unionByName(many)).collect()}
     assert (got[1].n_turns, got[1].loss_chars, got[1].loss_sha256) == (1, 30_000_000, hashlib.sha256(b"z" * 30_000_000).hexdigest())
     assert (got[2].n_turns, got[2].loss_chars, got[2].loss_sha256) == (60, 60_000_000, hashlib.sha256(b"y" * 60_000_000).hexdigest())
+
+
+def test_pipeline_near_copies_against_jaccard(spark):
+    """Copies of Jaccard 0.8 and more of five-word shingles go, as brute force finds them, though over four bits differ."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("etaoinshrdlu", k=rng.choice([2, 3, 5, 7])))
+    texts = []
+    for edits in (0, 1, 2, 3, 4, 6, 9) * 6:
+        base = [word() for _ in range(rng.randint(60, 300))]
+        near = list(base)
+        for _ in range(edits):
+            near[rng.randrange(len(near))] = word()
+        texts += [" ".join(base), " ".join(near)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    label = brute_components(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {i for i in range(len(texts)) if label[i] == i}
+    assert {r.doc_id for r in cp.drop_near_copies(spark, docs, "").collect()} == want
+    far = [i for i in range(len(texts)) if label[i] < i and (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[label[i]])).bit_count() > 4]
+    assert len(far) > 5
