@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Characters that separate words in every contract of this subpackage.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -26,16 +26,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of any table that has these columns, whatever else it has; a null text is empty."""
-    conf = docs.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:  # texts are long: smaller batches hold less memory
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: Arrow batches of few rows hold less memory. Larger settings are lowered, for the whole session."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def row_key() -> Column:
+    """64 bits of key for a row's doc_id and text; with doc_id beside it, rows are told apart by both."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(0))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (local tests only) a folder of our own."""
+    """The folder all executors share: spark.checkpoint.dir, or (local masters only) a folder of our own."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="threadloom-"))
         spark.sparkContext.setCheckpointDir(_own_dir[0])
@@ -66,6 +77,14 @@ def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
 def spread(spark: SparkSession) -> int:
     """Partitions for small rows that stand for much work, where sizes in bytes would merge too many."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
@@ -106,7 +125,7 @@ def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([array(f) for f in schema], schema=pa.schema([f.with_nullable(True) for f in schema]))
 
 
-TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
 
 
 def arrow_schema(ddl: str) -> pa.Schema:

@@ -240,28 +240,31 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray) -> tuple[dict[
     return lexicon, fit_curve(cells[["total", "most"]].to_numpy(float), cells.y.to_numpy(float), cells.n.to_numpy(float))
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row.
+def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """`columns` (doc_id among them) of every row of docs, with held_out, score and predicted (columns of these names are replaced).
 
     A null or empty text gets the score of a text without signals. A null doc_id is never held out and never
     learned from; repeated rows get equal scores; repeated labels count once (toxic if one of them is). Without
-    labels of both classes every score is that of the class there is, and 0 without labels.
+    labels of both classes every score is that of the class there is, and 0 without labels. Very long texts are
+    scored whole, one at a time.
     """
     counts = trigram_counts(docs)
     lexicon, curve = train(docs, labels, counts)
     shared = docs.sparkSession.sparkContext.broadcast((counts, lexicon, curve))  # K ** 3 counts and LEXICON weights
-    workers: dict = {}
+    names = [c for c in columns if c not in ("held_out", "score", "predicted")]
+    text = common.free_name(docs, "scored_text")
 
-    def run(part: pa.RecordBatch) -> dict:
-        if not workers:
-            workers["now"] = Hits(*shared.value[:2])
-        hits = workers["now"]
-        scores = [probability(*signal(hits.text(t), shared.value[1]), shared.value[2]) for t in part.column("text").to_pylist()]
-        return {"doc_id": part.column("doc_id"), "score": scores}
-
-    scored = common.map_slices(common.texts(docs), run, "doc_id long, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = Hits(*shared.value[:2])  # one a task; gone with it
+        for part in common.slices(batches, text):
+            scores = [probability(*signal(hits.text(t), shared.value[1]), shared.value[2]) for t in part.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(scores, pa.float64())], names=[*names, "score"])
+
+    common.small_batches(docs.sparkSession)
+    rows = docs.select(*names, F.coalesce(F.col("text"), F.lit("")).alias(text))
+    scored = rows.mapInArrow(run, rows.drop(text).withColumn("score", F.lit(0.0)).schema)
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select(*names, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
