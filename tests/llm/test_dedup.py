@@ -102,14 +102,15 @@ def brute_repeats(texts, size=200):
     return out
 
 
-@pytest.mark.parametrize("local", [1, 3, repeats.LOCAL])
+@pytest.mark.parametrize("split", [2, repeats.SPLIT])
 @pytest.mark.parametrize("name", ["odd", "real", "none"])
-def test_op9_removed(request, name, local):
+def test_op9_removed(request, monkeypatch, name, split):
+    monkeypatch.setattr(repeats, "SPLIT", split)
     docs = request.getfixturevalue(name)
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect() if len(r.text or "") < 50_000]
     docs = docs.where("text is null or length(text) < 50000")
     want = sorted((key(d), *x) for (d, _), x in zip(rows, brute_repeats([t for _, t in rows])))
-    assert sorted((key(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.removed(docs, local=local).collect()) == want
+    assert sorted((key(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.removed(docs).collect()) == want
 
 
 def test_op9_sampling_in_segments(monkeypatch):

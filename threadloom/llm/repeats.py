@@ -1,22 +1,21 @@
 """Removal of repeated 200-byte passages by distributed prefix doubling.
 
-A byte goes if a 200-byte string that covers it also starts anywhere else. Ranking all positions of a corpus by
-their first 2, 4, 8 ... bytes would sort every byte many times over, so three things keep the sorts small, none
-of which changes the result:
-
-- Ranking begins at CORE (32) bytes and at sampled positions: every 200-byte string is spoken for by the place
-  in it whose 32-byte rank is least (the leftmost of such places). Equal strings are spoken for by equal places.
-  About one position in 85 speaks for any string.
-- Spark groups sampled positions by rank; a position of unique rank is dropped: none of its strings repeats.
-- The strings that a position speaks for start at consecutive places, so they travel as one row with their
-  bytes, and are ranked on at growing offsets: ranks of 64, 128 and 200 bytes, each from the pair (rank at the
-  position, rank at the offset). A string whose rank is unique stays; the others are past the threshold.
-
-Positions of a rank held by up to LOCAL of them meet in one task, which reranks with numpy. Ranks held by more,
-such as a licence that a third of all documents carry, go on by Spark's rounds: what all strings of a row have
-in common is their core, what any of them covers is their span; a row whose span repeats goes as a whole, a row
-whose core is unique is dropped, any other row is halved, which makes its cores longer: 32, 116, 158 ... 200
-bytes. Those rounds meet only partial aggregates and joins that Spark can split.
+A byte goes if a 200-byte string that covers it also starts anywhere else. Sorting every position of a corpus once a
+round would move each byte many times over, so a filter comes first, which changes no result: every 200-byte string
+is spoken for by the place in it whose 32 bytes hash least (the leftmost of such places), so equal strings are spoken
+for by equal places. About one position in 85 speaks for any string; a place whose 32 bytes occur once is dropped.
+
+What is left is ranked by Spark in rounds, by one path whatever a rank's frequency. A row is a place with a cell: the
+strings that start `lo` to `hi` bytes before the place. All strings of a cell have their middle in common, its core:
+32 bytes in the beginning. A round splits each cell in SPLIT, which lets the cores grow at offsets to both sides (to
+158, 190, 198, 200 bytes); the new rank of a core is that of the pair (rank so far, rank of what was added): Spark
+groups the rows by the pair, and the least member of a group is its rank. A row of unique rank is dropped, none of
+its strings repeats. Rows with equal rank that also agree in all bytes their strings cover repeat as a whole; one of
+them goes on, for rows that share a part of it. At 200 bytes what still shares its rank is removed.
+
+Ranks are names of members, not hashes. What is added in a round, and the bytes a row covers, are compared by BLAKE2b
+digests of 128 bits: among 1e14 different strings the chance that any two agree is below 1e-10. Equal texts are known
+by 96 bits of hash.
 """
 
 from __future__ import annotations
@@ -33,7 +32,7 @@ from . import common
 
 THRESHOLD = 200
 CORE = 32
-LOCAL = 1 << 16  # positions, with some 17 MB of bytes
+SPLIT = 4  # cells that a cell becomes in a round
 BUCKETS_PER_PARTITION = 8
 
 _A = np.uint64(0xBF58476D1CE4E5B9)
@@ -41,13 +40,13 @@ _B = np.uint64(0x9E3779B97F4A7C15)
 
 
 def joined_rank(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The rank of left followed by right, as a hash of both ranks."""
+    """A hash of two hashes, in order."""
     x = (left ^ (left >> np.uint64(29))) * _A + (right ^ (right >> np.uint64(32))) * _B
     return x ^ (x >> np.uint64(31))
 
 
-def ranks(data: np.ndarray, size: int) -> np.ndarray:
-    """Ranks of all strings of `size` bytes, by doubling."""
+def hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all strings of `size` bytes, by doubling."""
     if len(data) < size:
         return np.zeros(0, np.uint64)
     h, n = (data.astype(np.uint64) + np.uint64(7)) * _A, 1
@@ -56,18 +55,18 @@ def ranks(data: np.ndarray, size: int) -> np.ndarray:
     return h if n == size else joined_rank(h[: len(data) - size + 1], h[size - n :])
 
 
-#: Bytes of a text sampled at once.
-SEGMENT = 4 << 20
+#: Bytes of a text sampled at once: some ten arrays of 8 bytes each.
+SEGMENT = 1 << 19
 
 
 def sampled(data: np.ndarray, threshold: int = THRESHOLD, core: int = CORE) -> tuple[np.ndarray, ...]:
-    """(positions, ranks, low, high): which places speak for strings; these start low to high bytes before them."""
+    """(positions, hashes, low, high): which places speak for strings; these start low to high bytes before them."""
     each = [(i, sampled_segment(data[i : i + SEGMENT + threshold - 1], threshold, core)) for i in range(0, max(1, len(data)), SEGMENT)]
     return tuple(np.concatenate([x[k] + (i if k == 0 else x[k].dtype.type(0)) for i, x in each]) for k in range(4))
 
 
 def sampled_segment(data: np.ndarray, threshold: int, core: int) -> tuple[np.ndarray, ...]:
-    h = ranks(data, core)
+    h = hashes(data, core)
     width = threshold - core + 1
     if len(h) < width:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -88,14 +87,24 @@ def sampled_segment(data: np.ndarray, threshold: int, core: int) -> tuple[np.nda
     return position, least[first], position - last, position - first
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Texts with 96 bits of key for their content: equal texts share it."""
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"))
+PLACE = np.dtype([("h", "<u8"), ("k1", "<i8"), ("k2", "<i4"), ("pos", "<i4"), ("low", "<i2"), ("high", "<i2"), ("s1", "<i8"), ("s2", "<i8")])
+#: a record with this position says that its hash is known to repeat
+MARK = -1
 
 
-ANCHOR = np.dtype([("h", "<u8"), ("k1", "<i8"), ("k2", "<i4"), ("pos", "<i4"), ("low", "<i2"), ("high", "<i2")])
-#: a record with this position says that its rank is known to repeat, k1 times
-MARK = -1
+def digests(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of BLAKE2b of each, as two columns."""
+    found = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in parts]), "<i8").reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def places(k1: int, k2: int, raw: bytes, threshold: int, core: int) -> np.ndarray:
+    """The places of a text that speak for strings, with a digest of all bytes these cover."""
+    at, h, low, high = sampled(np.frombuffer(raw, np.uint8), threshold, core)
+    r = np.empty(len(at), PLACE)
+    r["h"], r["k1"], r["k2"], r["pos"], r["low"], r["high"] = h, k1, k2, at, low, high
+    r["s1"], r["s2"] = digests([raw[i:j] for i, j in zip((at - high).tolist(), (at - low + threshold).tolist())])
+    return r
 
 
 def runs_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +115,7 @@ def runs_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated(records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Records sorted by rank, which of them have a rank of two places or more, and where ranks start."""
+    """Records sorted by hash, which of them have a hash of two places or more, and where hashes start."""
     order, new = runs_of(records["h"])
     records = records[order]
     if not len(records):
@@ -118,11 +127,11 @@ def repeated(records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return records, (np.add.reduceat(other, starts, dtype=np.int64) > 0)[group], new
 
 
-def survivors(docs: DataFrame, threshold: int, core: int, local: int) -> tuple[DataFrame, DataFrame]:
-    """(h, k1, k2, pos, low, high) of sampled positions whose rank repeats; and (h) of ranks with over `local`.
+def survivors(docs: DataFrame, threshold: int, core: int) -> DataFrame:
+    """(h, k1, k2, pos, low, high, s1, s2) of the places whose hash repeats.
 
-    Records are dealt by bits of their rank, packed. What a map task sees repeat needs no dealing: it goes on
-    at once, and one mark with its count goes in its place, so a frequent rank is no large group anywhere.
+    Records are dealt by bits of their hash, packed. What a map task sees repeat needs no dealing: it goes on
+    at once, and one mark goes in its place, so a frequent hash is no large group anywhere.
     """
     spark = docs.sparkSession
     n = common.spread(spark) * BUCKETS_PER_PARTITION
@@ -137,26 +146,21 @@ def survivors(docs: DataFrame, threshold: int, core: int, local: int) -> tuple[D
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = common.arrow_schema(sent)
-        for part in common.slices(batches, "text", 16 << 20):
-            found, seen = [], set()
-            for k1, k2, text in zip(part.column("k1").to_pylist(), part.column("k2").to_pylist(), part.column("text").to_pylist()):
+        for part in common.slices(batches, "text", 8 << 20):
+            found, seen = [np.zeros(0, PLACE)], set()
+            for k1, k2, text in zip(part.column("k1").to_pylist(), part.column("k2").to_pylist(), part.column("text")):
                 if (k1, k2) not in seen:  # of copies one will do
                     seen.add((k1, k2))
-                    at, h, low, high = sampled(np.frombuffer(text.encode(), np.uint8), threshold, core)
-                    r = np.empty(len(at), ANCHOR)
-                    r["h"], r["k1"], r["k2"], r["pos"], r["low"], r["high"] = h, k1, k2, at, low, high
-                    found.append(r)
-            r, twice, new = repeated(np.concatenate(found) if found else np.zeros(0, ANCHOR))
-            heads = np.flatnonzero(new & twice)
-            marks = r[heads].copy()
-            if len(marks):
-                marks["k1"], marks["pos"] = np.diff(np.append(np.flatnonzero(new), len(r)))[twice[new]], MARK
+                    found.append(places(k1, k2, text.as_buffer().to_pybytes(), threshold, core))
+            r, twice, new = repeated(np.concatenate(found))
+            marks = r[new & twice]
+            marks["pos"] = MARK
             alone = np.concatenate([r[~twice], marks])
             yield common.record_batch(packs(alone, (alone["h"] % np.uint64(n)).astype(np.int32)), names)
             sure = r[twice]
             yield common.record_batch(packs(sure, (-1 - (sure["k1"].view(np.uint64) % np.uint64(n)).astype(np.int64)).astype(np.int32)), names)
 
-    out = "h long, k1 long, k2 int, pos int, low int, high int"
+    out = "h long, k1 long, k2 int, pos int, low int, high int, s1 long, s2 long"
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = common.arrow_schema(out)
@@ -166,15 +170,12 @@ def survivors(docs: DataFrame, threshold: int, core: int, local: int) -> tuple[D
             return common.record_batch({k: np.ascontiguousarray(r[k].view(np.int64) if k == "h" else r[k]) for k in names.names}, names)
 
         def settled() -> pa.RecordBatch:
-            r, twice, new = repeated(np.concatenate(held))
-            often = np.add.reduceat(np.where(r["pos"] == MARK, r["k1"], 1), np.flatnonzero(new)) > local
-            hot = r[np.flatnonzero(new)[often]].copy()
-            hot["pos"] = MARK
-            return table(np.concatenate([r[twice & (r["pos"] != MARK)], hot]))
+            r, twice, _ = repeated(np.concatenate(held))
+            return table(r[twice & (r["pos"] != MARK)])
 
         for b in batches:
             for bucket, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                r = np.frombuffer(x, ANCHOR)
+                r = np.frombuffer(x, PLACE)
                 if bucket < 0:
                     yield table(r)
                     continue
@@ -187,280 +188,197 @@ def survivors(docs: DataFrame, threshold: int, core: int, local: int) -> tuple[D
             yield settled()
 
     dealt = docs.select("k1", "k2", "text").mapInArrow(deal, sent)
-    all_ = common.cut(dealt.repartition(common.spread(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(settle, out), "repeat-survivors")
-    return all_.where(F.col("pos") != MARK), common.cut(all_.where(F.col("pos") == MARK).select("h"), "repeat-hot")
-
+    return common.cut(dealt.repartition(common.spread(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(settle, out), "repeat-survivors")
 
-def with_texts(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """(k1, k2, packed, held): the held positions of each distinct text beside it; the least doc_id stands for copies."""
-    lists = held.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "pos", "low", "high")).alias("held"))
-    first = docs.groupBy("k1", "k2").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("id"))
-    lists = common.cut(lists.join(first, ["k1", "k2"]), "repeat-held")
-    return packed(docs).join(lists, ["id", "k1", "k2"]).select("k1", "k2", "packed", "held")
 
+def squeezed(docs: DataFrame, *more: str) -> DataFrame:
+    """(k1, k2, packed, *more): texts as zstandard frames, so that a shuffle of whole texts moves fewer bytes."""
+    rows = docs.select("k1", "k2", "text", *more)
 
-def packed(docs: DataFrame) -> DataFrame:
-    """Texts as zstandard frames, so that a shuffle of whole texts moves fewer bytes."""
-
-    def run(part: pa.RecordBatch) -> dict:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
-        return {"id": part.column("id"), "doc_id": part.column("doc_id"), "k1": part.column("k1"), "k2": part.column("k2"), "packed": [squeeze(t.encode()) for t in part.column("text").to_pylist()]}
+        for part in common.slices(batches, "text"):
+            held = pa.array([squeeze(t.as_buffer()) for t in part.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), held, *(part.column(c) for c in more)], names=["k1", "k2", "packed", *more])
 
-    return common.map_slices(docs.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))), run, "id long, doc_id long, k1 long, k2 int, packed binary")
+    return rows.mapInArrow(run, rows.withColumn("text", F.col("text").cast("binary")).withColumnRenamed("text", "packed").schema)
 
 
-SPANS = "k1 long, k2 int, start int, end int"
+#: a place with a cell: rank (a member's name), the cell, the place, its own strings in the cell, the bytes these cover
+CELL = "r1 long, r2 int, r3 int, lo int, hi int, k1 long, k2 int, pos int, low int, high int, context binary"
 
 
-def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union of [start, end), touching ones joined."""
-    if not len(start):
-        return start, end
-    order = np.argsort(start, kind="stable")
-    start, reach = start[order], np.maximum.accumulate(end[order])
-    new = np.concatenate([[True], start[1:] > reach[:-1]])
-    return start[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]
+def first_cells(docs: DataFrame, places: DataFrame, threshold: int, core: int) -> DataFrame:
+    """Each place (h, k1, k2, pos, low, high) with the whole cell; its bytes come from one of the copies of its text."""
+    lists = places.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "pos", "low", "high")).alias("held"))
+    least = docs.groupBy("k1", "k2").agg(F.min("id").alias("id"))
+    lists = common.cut(lists.join(least, ["k1", "k2"]), "repeat-held")
 
-
-def local_rounds(rows: DataFrame, threshold: int) -> DataFrame:
-    """Spans to remove, from positions whose rank few others have."""
-    spark = rows.sparkSession
-    n = common.spread(spark) * BUCKETS_PER_PARTITION
-    sent = "bucket int, records binary, sizes binary, bytes binary"
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = common.arrow_schema(sent)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = common.arrow_schema(CELL)
         expand = zstandard.ZstdDecompressor().decompress
-        squeeze = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
-        for part in common.slices(batches, "packed", 2 << 20):
-            texts = [expand(x) for x in part.column("packed").to_pylist()]
-            lists = part.column("held")
-            flat = lists.flatten()
-            size = np.diff(lists.offsets.to_numpy())
-            r = np.empty(len(flat), ANCHOR)
-            for k in ("pos", "low", "high"):
-                r[k] = flat.field(k).to_numpy()
-            r["h"] = flat.field("h").to_numpy().view(np.uint64)
-            r["k1"], r["k2"] = np.repeat(part.column("k1").to_numpy(), size), np.repeat(part.column("k2").to_numpy(), size)
-            text = np.repeat(np.arange(len(texts)), size)
-            order, new = runs_of((r["h"] % np.uint64(n)).astype(np.int32))
-            starts = np.flatnonzero(new)
+        for part in common.slices(batches, "packed", 1 << 20):
             out: dict[str, list] = {f.name: [] for f in names}
-            begin, end = (r["pos"] - r["high"]).tolist(), (r["pos"] - r["low"] + threshold).tolist()
-            for i, j in zip(starts, np.append(starts[1:], len(order))):
-                known: dict = {}
-                sizes, bytes_ = [], []
-                for m in order[i:j].tolist():
-                    c = texts[text[m]][begin[m] : end[m]]
-                    # the same bytes around the same rank are sent once: a negative size points to them
-                    if (first := known.setdefault((r["h"][m], c), len(sizes))) == len(sizes):
-                        sizes.append(len(c))
-                        bytes_.append(c)
-                    else:
-                        sizes.append(-1 - first)
-                for k, v in zip(out, (int(r["h"][order[i]] % np.uint64(n)), r[order[i:j]].tobytes(), np.array(sizes, "<i8").tobytes(), squeeze(b"".join(bytes_)))):
-                    out[k].append(v)
+            for row in part.to_pylist():
+                raw = expand(row["packed"])
+                for p in row["held"]:
+                    begin, end = p["pos"] - p["high"], p["pos"] - p["low"] + threshold
+                    for k, v in zip(out, (p["h"], 0, MARK, 0, threshold - core, row["k1"], row["k2"], p["pos"], p["low"], p["high"], raw[begin:end])):
+                        out[k].append(v)
             yield common.record_batch(out, names)
 
-    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = common.arrow_schema(SPANS)
-        now, held = None, []
+    return squeezed(docs, "id").join(lists, ["id", "k1", "k2"]).select("k1", "k2", "packed", "held").mapInArrow(run, CELL)
 
-        def settled() -> pa.RecordBatch:
-            return common.record_batch(dict(zip(names.names, repeated_spans(held, threshold))), names)
 
-        for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("bucket", "records", "sizes", "bytes"))):
-                if row[0] != now and held:
-                    yield settled()
-                    held = []
-                now = row[0]
-                held.append(row[1:])
-        if held:
-            yield settled()
+GROWN = CELL.replace("context", "x1 long, x2 long, s1 long, s2 long, context")
 
-    dealt = rows.mapInArrow(deal, sent).repartition(common.spread(spark), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(rerank, SPANS)
-
-
-def repeated_spans(packs: list[tuple[bytes, bytes, bytes]], threshold: int) -> tuple[np.ndarray, ...]:
-    """(k1, k2, start, end) to remove, of all records of a bucket."""
-    expand = zstandard.ZstdDecompressor().decompress
-    known: dict = {}
-    records, context, weight, buffers = [], [], [], []
-    for r, sizes, data in packs:
-        r, sizes, data = np.frombuffer(r, ANCHOR), np.frombuffer(sizes, "<i8").tolist(), expand(data)
-        at, mine = 0, []
-        for h, high, size in zip(r["h"].tolist(), r["high"].tolist(), sizes):
-            if size < 0:
-                c = mine[-1 - size]
-            else:
-                x = data[at : at + size]
-                at += size
-                if (c := known.setdefault((h, high, x), len(buffers))) == len(buffers):
-                    buffers.append(x)
-                    weight.append(0)
-            mine.append(c)
-            weight[c] += 1
-        records.append(r)
-        context.append(np.array(mine, np.int64))
-    r, context, weight = np.concatenate(records), np.concatenate(context), np.array(weight)
-    _, first = np.unique(context, return_index=True)  # a record of each distinct context
-    size = np.fromiter(map(len, buffers), np.int64, len(buffers))
-    strings = size - threshold + 1
-    rank = ranks(np.frombuffer(b"".join(buffers), np.uint8), threshold)
-    which = np.repeat(np.arange(len(buffers)), strings)
-    j = np.arange(len(which)) - np.repeat(np.cumsum(strings) - strings, strings)
-    distance = (r["high"][first][which] - j).astype(np.uint64)
-    # equal strings lie alike around equal ranks
-    key = joined_rank(joined_rank(rank[(np.cumsum(size) - size)[which] + j], r["h"][first][which]), distance)
-    order, new = runs_of(key)
-    twice = np.zeros(len(key), bool)
-    twice[order] = ~new | np.append(~new[1:], False)
-    twice |= weight[which] > 1
-    # runs of repeated strings in each context, then for each record with it
-    edge = np.concatenate([[True], (which[1:] != which[:-1])]) if len(which) else np.zeros(0, bool)
-    begins = np.flatnonzero(twice & (edge | ~np.concatenate([[False], twice[:-1]])))
-    ends = np.flatnonzero(twice & np.append(edge[1:] | ~twice[1:], True))
-    of = which[begins]
-    count = np.bincount(of, minlength=len(buffers))
-    at = (np.cumsum(count) - count)[context]
-    span = np.repeat(at - (np.cumsum(count[context]) - count[context]), count[context]) + np.arange(count[context].sum())
-    owner = np.repeat(np.arange(len(r)), count[context])
-    base = (r["pos"] - r["high"])[owner]
-    return r["k1"][owner], r["k2"][owner], (base + j[begins][span]).astype(np.int32), (base + j[ends][span] + threshold).astype(np.int32)
-
-
-HOT = "h long, k1 long, k2 int, pos int, before int, context binary"
-
-
-def hot_contexts(rows: DataFrame, threshold: int) -> DataFrame:
-    """The same bytes as rows, for Spark's rounds."""
+
+def grown(cells: DataFrame, threshold: int) -> DataFrame:
+    """The parts of each cell that hold strings of its place, with digests of what their cores have more than the cell's,
+    and of all bytes the place's strings in them cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = common.arrow_schema(HOT)
-        expand = zstandard.ZstdDecompressor().decompress
-        for part in common.slices(batches, "packed", 1 << 20):
-            out: dict[str, list] = {f.name: [] for f in names}
-            for row in part.to_pylist():
-                raw = expand(row["packed"])
-                for a in row["held"]:
-                    for k, v in zip(out, (a["h"], row["k1"], row["k2"], a["pos"], a["high"], raw[a["pos"] - a["high"] : a["pos"] - a["low"] + threshold])):
-                        out[k].append(v)
+        names = common.arrow_schema(GROWN)
+        for part in common.slices(batches, "context", 2 << 20):
+            lo, hi, low, high = (part.column(c).to_pylist() for c in ("lo", "hi", "low", "high"))
+            of, cut, more, span = [], [], [], []
+            for i, (a, b, l, m, c) in enumerate(zip(lo, hi, low, high, part.column("context").to_pylist())):
+                step = -(-(b - a + 1) // SPLIT)
+                for x in range(a + (max(a, l) - a) // step * step, min(b, m) + 1, step):
+                    y = min(x + step - 1, b)
+                    own = max(x, l), min(y, m)
+                    of.append(i)
+                    cut.append((x, y, *own))
+                    more.append(c[m - x : m - a] + c[m - b + threshold : m - y + threshold])  # the place lies at m
+                    span.append(c[m - own[1] : m - own[0] + threshold])
+            at = pa.array(of, pa.int64())
+            out = {k: part.column(k).take(at) for k in ("r1", "r2", "r3", "k1", "k2", "pos")}
+            out |= dict(zip(("lo", "hi", "low", "high"), np.array(cut, np.int32).reshape(-1, 4).T))
+            (out["x1"], out["x2"]), (out["s1"], out["s2"]), out["context"] = digests(more), digests(span), span
             yield common.record_batch(out, names)
 
-    return rows.mapInArrow(run, HOT)
+    return cells.mapInArrow(run, GROWN)
 
 
-STEP = "h long, k1 long, k2 int, pos int, before int, context binary, low int, high int, core_rank binary, span_rank binary"
+RANK, ADDED, COVERED, PLACED = ["r1", "r2", "r3", "lo", "hi"], ["x1", "x2"], ["low", "high", "s1", "s2"], ["k1", "k2", "pos"]
 
 
-def spark_rounds(rows: DataFrame, threshold: int, core: int) -> list[DataFrame]:
-    """The same for ranks that many positions hold: (rank, rank at a growing offset) is reranked by Spark.
+def spans_of(rows: DataFrame, threshold: int) -> DataFrame:
+    """The bytes that the strings of each row cover."""
+    return rows.select("k1", "k2", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + threshold).alias("end"))
 
-    A row stands for the strings that start low to high bytes before its position, as far as the text reaches.
-    Near an end of its text a row has the core of all its strings, but no whole span.
-    """
 
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = common.arrow_schema(STEP)
-
-        def digest(h: int, low: int, high: int, x: bytes) -> bytes:  # equals lie alike around the sampled position
-            return hashlib.blake2b(x, digest_size=16, key=b"%d,%d,%d" % (h, low, high)).digest()
-
-        for part in common.slices(batches, "context"):
-            t = part.to_pydict()
-            t["core_rank"], t["span_rank"] = [], []
-            for h, c, before, low, high in zip(t["h"], t["context"], t["before"], t["low"], t["high"]):
-                t["core_rank"].append(digest(h, low, high, c[before - low : before - high + threshold]))
-                whole = high <= before and before - low + threshold <= len(c)
-                t["span_rank"].append(digest(h, low, high, c[before - high : before - low + threshold]) if whole else None)
-            yield common.record_batch(t, names)
-
-    kept = ["h", "k1", "k2", "pos", "before", "context"]
-    reached = (F.col("low") <= F.col("before")) & (F.col("before") - F.col("high") + threshold <= F.length("context"))
-    now = rows.select(*kept, F.lit(0).alias("low"), F.lit(threshold - core).alias("high")).where(reached)
-    gone: list[DataFrame] = []
-    while True:
-        ranked = common.cut(now.mapInArrow(rank, STEP), "repeat-round")
-        if ranked.isEmpty():
-            return gone
-        for kind in ("core", "span"):
-            twice = ranked.where(f"{kind}_rank is not null").groupBy(f"{kind}_rank").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "pos")).alias(f"{kind}_lead")).where("times > 1")
-            ranked = ranked.join(common.cut(twice.select(f"{kind}_rank", f"{kind}_lead", F.lit(True).alias(f"{kind}_twice")), "repeat-ranks"), f"{kind}_rank", "inner" if kind == "core" else "left")
-        ranked = common.cut(ranked, "repeat-ranked")
-        gone.append(ranked.where("span_twice").select("k1", "k2", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + threshold).cast("int").alias("end")))
-        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
-        halves = F.array(F.struct(F.col("low").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("high").alias("b")))
-        # of equal spans one goes on, for rows that share a part of it
-        now = ranked.where("low < high and (span_twice is null or span_lead = struct(k1, k2, pos))").select(*kept, F.explode(halves).alias("half"))
-        now = now.select(*kept, F.col("half.a").alias("low"), F.col("half.b").alias("high")).where(reached)
-
-
-def cuts(docs: DataFrame, threshold: int = THRESHOLD, core: int = CORE, local: int = LOCAL) -> tuple[DataFrame, DataFrame]:
-    """(keyed docs, (k1, k2, copies, spans)): what to remove from each distinct text that repeats anything."""
-    docs = keyed(common.texts(docs))
-    held, hot = survivors(docs, threshold, core, local)
-    any_hot = not hot.isEmpty()
-    spans = local_rounds(with_texts(docs, held.join(hot, "h", "left_anti") if any_hot else held), threshold)
-    if any_hot:
-        rows = common.cut(hot_contexts(with_texts(docs, held.join(hot, "h", "left_semi")), threshold), "repeat-hot-contexts")
-        for more in spark_rounds(rows, threshold, core):
-            spans = spans.unionByName(more)
-    by_text = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+def grouped(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows alike in `by`: the least place of each group, and whether it has another."""
+    of = rows.groupBy(*by).agg(F.min(F.struct(*PLACED)).alias("lead"), F.max(F.struct(*PLACED)).alias("last"))
+    return common.cut(of.withColumn("twice", F.expr("lead <> last")), "repeat-groups")
+
+
+def ranking(docs: DataFrame, threshold: int, core: int) -> list[DataFrame]:
+    """Spans (k1, k2, start, end) of repeated strings, by round. Joins meet rows with groups, so Spark can split them."""
+    found = survivors(docs, threshold, core)
+    key = ["h", *COVERED]
+    groups = grouped(found, *key)
+    gone = [spans_of(found.join(groups.where("twice").select(*key), key, "left_semi"), threshold)]
+    several = common.cut(groups.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeat-several")
+    ahead = groups.join(several, "h", "left_semi").select("h", "lead.k1", "lead.k2", "lead.pos", "low", "high")
+    cells = first_cells(docs, ahead, threshold, core)
+    width = threshold - core + 1
+    while width > 1:
+        width = -(-width // SPLIT)
+        rows = common.cut(grown(cells, threshold), "repeat-cells")
+        if rows.isEmpty():
+            break
+        key = [*RANK, *ADDED, *COVERED]
+        groups = grouped(rows, *key)
+        ranks = groups.groupBy(*RANK, *ADDED).agg(F.min("lead").alias("name"), F.max("last").alias("top"), F.count("*").alias("n")).where("n > 1 and name <> top")
+        gone.append(spans_of(rows.join(groups.where("twice").select(*key), key, "left_semi"), threshold))
+        leads = groups.where("lo < hi").join(common.cut(ranks, "repeat-ranks"), [*RANK, *ADDED]).select(*key, "lead.*", "name")
+        ahead = rows.join(leads, [*key, *PLACED])
+        cells = ahead.select(F.col("name.k1").alias("r1"), F.col("name.k2").alias("r2"), F.col("name.pos").alias("r3"), "lo", "hi", *PLACED, "low", "high", "context")
+    return gone
+
+
+def cuts(docs: DataFrame, threshold: int = THRESHOLD, core: int = CORE) -> DataFrame:
+    """(k1, k2, copies, spans): what to remove from each distinct text of docs(id, k1, k2, text) that repeats anything."""
+    first, *more = ranking(docs, threshold, core)
+    for spans in more:
+        first = first.unionByName(spans)
+    by_text = first.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     copies = docs.groupBy("k1", "k2").agg(F.count("*").alias("copies")).where("copies > 1")
-    return docs, common.cut(by_text.join(copies, ["k1", "k2"], "full"), "repeat-spans")
+    return common.cut(by_text.join(copies, ["k1", "k2"], "full"), "repeat-spans")
+
+
+def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union of [start, end), touching ones joined."""
+    if not len(start):
+        return start, end
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    new = np.concatenate([[True], start[1:] > reach[:-1]])
+    return start[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]
+
+
+def kept_bytes(raw: bytes, start: list[int], end: list[int]) -> bytes:
+    return b"".join(raw[a:b] for a, b in zip([0, *end], [*start, len(raw)]))
 
 
-def applied(docs: DataFrame, threshold: int, core: int, local: int, out: str, made) -> DataFrame:
-    """made(doc_id, raw bytes, starts, ends) for every row, as the columns of `out`."""
-    docs, spans = cuts(docs, threshold, core, local)
+def applied(docs: DataFrame, columns: tuple[str, ...], out: str, made, threshold: int, core: int) -> DataFrame:
+    """The struct `row` of `columns` of every row of docs, and made(raw bytes, starts, ends) as the columns of `out`."""
+    common.small_batches(docs.sparkSession)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select(F.struct(*columns).alias("row"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"))
+    spans = cuts(keyed.drop("row"), threshold, core)
     names = common.arrow_schema(out)
+    joined = squeezed(keyed, "row").join(spans, ["k1", "k2"], "left").select("row", "packed", "copies", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
         for part in common.slices(batches, "packed", 1 << 20):
             rows = []
-            for row in part.to_pylist():
-                raw = expand(row["packed"])
-                if (row["copies"] or 1) > 1 and len(raw) >= threshold:  # every string of a copied text repeats
+            for packed, copies, s in zip(*(part.column(c).to_pylist() for c in ("packed", "copies", "spans"))):
+                raw = expand(packed)
+                if (copies or 1) > 1 and len(raw) >= threshold:  # every string of a copied text repeats
                     start, end = np.array([0]), np.array([len(raw)])
                 else:
-                    s = row["spans"] or []
-                    start, end = merged(np.array([x["start"] for x in s], np.int64), np.array([x["end"] for x in s], np.int64))
-                rows.append(made(row["doc_id"], raw, start.tolist(), end.tolist()))
-            yield common.record_batch(dict(zip(names.names, zip(*rows))) if rows else {n: [] for n in names.names}, names)
-
-    joined = packed(docs).join(spans, ["k1", "k2"], "left").select("doc_id", "packed", "copies", "spans")
-    return joined.mapInArrow(run, out)
+                    start, end = merged(np.array([x["start"] for x in s or ()], np.int64), np.array([x["end"] for x in s or ()], np.int64))
+                rows.append(made(raw, start.tolist(), end.tolist()))
+            made_of = common.record_batch(dict(zip(names.names, zip(*rows))) if rows else {n: [] for n in names.names}, names)
+            yield pa.RecordBatch.from_arrays([part.column("row"), *made_of.columns], names=["row", *names.names])
 
+    from pyspark.sql.types import StructType
 
-def kept_bytes(raw: bytes, start: list[int], end: list[int]) -> bytes:
-    return b"".join(raw[a:b] for a, b in zip([0, *end], [*start, len(raw)]))
+    return joined.mapInArrow(run, StructType([joined.schema["row"], *StructType.fromDDL(out)]))
 
 
-def removed(docs: DataFrame, threshold: int = THRESHOLD, core: int = CORE, local: int = LOCAL) -> DataFrame:
+def removed(docs: DataFrame, threshold: int = THRESHOLD, core: int = CORE) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row.
 
     A null text is empty; texts under the threshold lose nothing. Equal texts of the threshold's length or more
     lose everything, as do repeated rows; null doc_ids are treated like any other. Bytes may leave a character
-    of several bytes in part. Further columns are not read.
+    of several bytes in part. An empty table gives no rows. Further columns are not read.
     """
 
-    def made(doc_id, raw, start, end):
-        return doc_id, len(raw), sum(end) - sum(start), len(start), hashlib.sha256(kept_bytes(raw, start, end)).hexdigest()
+    def made(raw, start, end):
+        return len(raw), sum(end) - sum(start), len(start), hashlib.sha256(kept_bytes(raw, start, end)).hexdigest()
 
-    return applied(docs, threshold, core, local, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", made)
+    out = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return applied(docs, ("doc_id",), out, made, threshold, core).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def kept_texts(docs: DataFrame, threshold: int = THRESHOLD, core: int = CORE, local: int = LOCAL, least: int = 1) -> DataFrame:
-    """(doc_id, text) of what remains, for texts with `least` bytes left; halves of a character go with the passage."""
+def kept_texts(docs: DataFrame, threshold: int = THRESHOLD, core: int = CORE, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """`columns` of every row, with the text that remains; halves of a character go with the passage.
+
+    Every row keeps its own other columns, also where doc_ids repeat or are null; see removed() for odd rows.
+    """
 
-    def made(doc_id, raw, start, end):
-        return doc_id, kept_bytes(raw, start, end).decode("utf-8", "ignore")
+    def made(raw, start, end):
+        return (kept_bytes(raw, start, end).decode("utf-8", "ignore"),)
 
-    return applied(docs, threshold, core, local, "doc_id long, text string", made)
+    kept = applied(docs, tuple(c for c in columns if c != "text"), "text string", made, threshold, core)
+    return kept.select(*("text" if c == "text" else f"row.{c}" for c in columns))
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated passages; see removed()."""
     return removed(common.documents(spark, sf_dir))
