@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 
@@ -8,9 +9,10 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from threadloom.llm import bpe, common, packing, token_store
+from threadloom.llm import bpe, common, packing, pretokens, token_store
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 JSON = P.path("byte_bpe_50k.json")
@@ -25,7 +27,6 @@ def theirs():
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -56,6 +57,12 @@ def test_op1_any_text(text):
     assert bpe._digests(RANKS, P.PATTERN, [text])[0] == expected(test_op1_any_text.e, text)
 
 
+def test_splitter_keeps_to_its_pattern():
+    for text in ("ab cd", "ab cd \u65e5"):
+        assert pretokens.splitter(r"\S")(text) == re.findall(r"\S", text)
+    assert pretokens.splitter(P.PATTERN, ("<|endoftext|>",))("12 <|endoftext|> x") == ["12", " ", "<|endoftext|>", " x"]
+
+
 def test_op1_heap_and_matrix_agree():
     v = bpe.Vocabulary(RANKS)
     rng = np.random.default_rng(0)
@@ -125,6 +132,19 @@ def test_op7_packs_every_piece(request, library, name):
         assert n <= -(-sum(r.length for r in got) // 1024) * 1.05 + 2
 
 
+def test_op7_scheme_is_near_the_bound(spark):
+    """On sf0.01 the returned plan is that of the configurations, and within a quarter of a percent of the bound."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    histogram = {r.length: r.n for r in packing.cut_pieces(docs, JSON).groupBy("length").agg(F.count("*").alias("n")).collect()}
+    runs = packing.plan(histogram)
+    bound = -(-sum(k * n for k, n in histogram.items()) // 1024)
+    assert sum(n for n, _ in runs) <= 1.0025 * bound
+    left = packing.counts_of(histogram, 1024)
+    left[1024] = 0
+    of_scheme = sum(n for n, _ in packing.configured(left, int(1024 * packing.SMALL) + 1, 1024, packing.GROUPS))
+    assert of_scheme >= 0.9 * (sum(n for n, _ in runs) - histogram[1024])
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 300), max_size=40))
 def test_op7_plan_holds_everything_and_is_short(histogram):

@@ -3,8 +3,9 @@
 Lengths are at most the capacity (1024), so the corpus is known to the planner by a histogram of 1024 counts,
 whatever its size. Large lengths are sorted and cut into groups of equal cardinality, each rounded up to its
 longest; how often to use each configuration of these few sizes is a linear program, solved by column
-generation over a knapsack. Rounded-down configurations get actual documents in place of the rounded sizes;
-what is left over of the large ones, and then the small ones, go best-fit into the free room. The plan is a
+generation over a knapsack. Rounded-down configurations get actual documents in place of the rounded sizes, the
+last of a sequence fitted to the room that the others really leave; what is over of the large ones, and then the
+small ones, go best-fit into the free room. The plan is a
 short list of runs of equal sequences; every piece finds its place by its length and its rank among the pieces
 of that length, so no task ever sees more than its own rows.
 """
@@ -23,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import common
-from .pretokens import encode_texts
+from .pretokens import encode_runs
 from .token_store import library
 
 CAPACITY = 1024
-GROUPS = 48
-SMALL = 1 / 8  # of the capacity: shorter pieces only fill room
+GROUPS = 40
+SMALL = 1 / 3  # of the capacity: shorter pieces only fill room
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, slot long"
 
 
@@ -46,14 +47,19 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPA
         table, split = library(path)
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for rows in common.slices(batches, "text"):
-            out: dict[str, list] = {f.name: [] for f in names}
-            for doc_id, ids in zip(rows.column("doc_id").to_pylist(), encode_texts(table, split, rows.column("text").to_pylist())):
-                raw = memoryview(np.append(ids, end_id).astype("<u4").tobytes())
-                for k, (start, n) in enumerate(pieces_of(len(ids) + 1, capacity)):
-                    for key, v in zip(out, (doc_id, k, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)]), part, seen[n])):
-                        out[key].append(v)
-                    seen[n] += 1
-            yield common.record_batch(out, names)
+            at = 0
+            for ids, lengths in encode_runs(table, split, rows.column("text").to_pylist(), end_id):
+                raw, begin, of = memoryview(ids.tobytes()), 0, []
+                out: dict[str, list] = {k: [] for k in ("piece", "start", "length", "ids_crc32", "slot")}
+                for i, whole in enumerate(lengths.tolist(), at):
+                    for k, (start, n) in enumerate(pieces_of(whole, capacity)):
+                        of.append(i)
+                        for key, v in zip(out, (k, start, n, zlib.crc32(raw[4 * (begin + start) : 4 * (begin + start + n)]), seen[n])):
+                            out[key].append(v)
+                        seen[n] += 1
+                    begin += whole
+                at += len(lengths)
+                yield common.record_batch({**out, "doc_id": rows.column("doc_id").take(pa.array(of, pa.int64())), "part": np.full(len(of), part, np.int32)}, names)
 
     return common.texts(docs).mapInArrow(run, PIECES)
 
@@ -94,66 +100,69 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, most: int
     return [([int(v) for v in basis[:, j]], float(x[j])) for j in range(m)]
 
 
-def take(queue: list[list[int]], n: int) -> list[tuple[int, int]]:
-    """The next n pieces of a group, as runs of (length, count)."""
-    out = []
-    while n and queue:
-        length, held = queue[-1]
-        k = min(n, held)
-        out.append((length, k))
-        n -= k
-        if k == held:
-            queue.pop()
-        else:
-            queue[-1][1] = held - k
-    return out
+def group_sizes(left: np.ndarray, least: int, n_groups: int) -> dict[int, int]:
+    """{size: how many} of the lengths from `least` on, in groups of equal cardinality rounded up to their longest.
+
+    No more lengths than groups: none has to be rounded.
+    """
+    lengths = np.flatnonzero(left[least:])[::-1] + least
+    if len(lengths) <= n_groups:
+        return {int(n): int(left[n]) for n in lengths}
+    total, ends = int(left[lengths].sum()), np.cumsum(left[lengths])
+    per, out = -(-total // n_groups), defaultdict(int)
+    for first in range(0, total, per):
+        out[int(lengths[np.searchsorted(ends, first, side="right")])] += min(per, total - first)
+    return dict(out)
+
+
+def filled(slots: list[int], left: np.ndarray, least: int, capacity: int) -> dict[int, int]:
+    """{length: how many} of one sequence: for each slot of a configuration the longest there is that fits it, for the
+    last the longest that fits the room which actual lengths leave, and more of those while any fits."""
+    used: dict[int, int] = {}
+    room, i = capacity, 0
+    while True:
+        limit = min(slots[i], room) if i < len(slots) - 1 else room
+        there = np.flatnonzero(left[least : limit + 1])[::-1] + least
+        length = next((n for n in there.tolist() if left[n] > used.get(n, 0)), 0)
+        if not length and i >= len(slots) - 1:
+            return used
+        if length:
+            used[length] = used.get(length, 0) + 1
+            room -= length
+        i += 1
+
+
+def configured(left: np.ndarray, least: int, capacity: int, n_groups: int) -> list[tuple[int, list[int]]]:
+    """The runs that the scheme's configurations give; what they hold is taken out of `left`."""
+    runs: list[tuple[int, list[int]]] = []
+    if not (sizes := group_sizes(left, least, n_groups)):
+        return runs
+    size = list(sizes)
+    for pattern, often in sorted(configurations(size, list(sizes.values()), capacity), key=lambda x: -x[1]):
+        n, slots = int(often + 1e-6), sorted((size[g] for g, k in enumerate(pattern) for _ in range(k)), reverse=True)
+        while n and slots and (used := filled(slots, left, least, capacity)):
+            k = min(n, *(int(left[length]) // u for length, u in used.items()))
+            for length, u in used.items():
+                left[length] -= u * k
+            runs.append((k, [length for length, u in used.items() for _ in range(u)]))
+            n -= k
+    return runs
+
+
+def counts_of(histogram: dict[int, int], capacity: int) -> np.ndarray:
+    left = np.zeros(capacity + 1, np.int64)
+    for length, n in histogram.items():
+        left[length] += n
+    return left
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, n_groups: int = GROUPS) -> list[tuple[int, list[int]]]:
     """Runs (how many sequences, the lengths in each) that hold every piece of the histogram exactly once."""
-    h = {length: n for length, n in histogram.items() if n}
-    runs: list[tuple[int, list[int]]] = [(h.pop(capacity), [capacity])] if capacity in h else []
-    large = sorted((length for length in h if length > capacity * SMALL), reverse=True)
-    total = sum(h[x] for x in large)
-    queues: list[list[list[int]]] = []
-    if large:
-        per, held = -(-total // n_groups), 0
-        few = len(large) <= n_groups  # then no length has to be rounded
-        for length in large:  # equal cardinality: a length may lie in two groups
-            n = h[length]
-            while n:
-                if not queues or held == per or few and n == h[length]:
-                    queues.append([])
-                    held = 0
-                k = n if few else min(n, per - held)
-                queues[-1].append([length, k])
-                held, n = held + k, n - k
-        sizes = [q[0][0] for q in queues]
-        merged: dict[int, list[list[int]]] = {}
-        for size, q in zip(sizes, queues):
-            merged.setdefault(size, []).extend(q)
-        sizes, queues = list(merged), [q[::-1] for q in merged.values()]  # the longest is taken first
-        for pattern, often in configurations(sizes, [sum(n for _, n in q) for q in queues], capacity):
-            n, slots = int(often + 1e-6), [g for g, k in enumerate(pattern) for _ in range(k)]
-            n = min([n, *(sum(c for _, c in queues[g]) // pattern[g] for g in set(slots))])
-            if not n or not slots:
-                continue
-            filled = [take(queues[g], n) for g in slots]
-            ends = sorted({e for f in filled for e in np.cumsum([c for _, c in f]).tolist()})
-            begin = 0
-            for end in ends:  # between two ends all sequences are alike
-                runs.append((end - begin, [next(x for x, e in zip((x for x, _ in f), np.cumsum([c for _, c in f])) if e > begin) for f in filled]))
-                begin = end
-    rest: dict[int, int] = defaultdict(int)
-    for q in queues:
-        for length, n in q:
-            rest[length] += n
-    for length, n in h.items():
-        if length <= capacity * SMALL:
-            rest[length] += n
-    grouped = best_fit(runs, rest, capacity)
-    plain = best_fit([], histogram, capacity)
-    return min(grouped, plain, key=lambda x: sum(n for n, _ in x))
+    left = counts_of(histogram, capacity)
+    runs: list[tuple[int, list[int]]] = [(int(left[capacity]), [capacity])] if left[capacity] else []
+    left[capacity] = 0
+    runs += configured(left, int(capacity * SMALL) + 1, capacity, n_groups)
+    return best_fit(runs, {int(n): int(left[n]) for n in np.flatnonzero(left)}, capacity)
 
 
 def best_fit(runs: list[tuple[int, list[int]]], rest: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:

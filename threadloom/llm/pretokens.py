@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import public_tokenizers
 import regex
 
 #: White space as the tokenizer libraries mean it: the Unicode property, without the separators \x1c-\x1f.
@@ -19,14 +20,24 @@ _latin = re.compile(f" ?[{_L}]+|[{_S}]+(?![^{_S}])|'(?:s|t|re|ve|m|ll|d)| ?[{_N}
 _beyond = re.compile("[^\x00-ſ]")
 
 
-def splitter(pattern: str) -> Callable[[str], list[str]]:
-    """A function from text to its pieces by `pattern`, the usual GPT-2 pattern of the vocabulary files."""
+def splitter(pattern: str, special: tuple[str, ...] = ()) -> Callable[[str], list[str]]:
+    """A function from text to its pieces by `pattern`; strings of `special` tokens are pieces of their own."""
     full = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]"))
+    usual = pattern == public_tokenizers.PATTERN  # the usual GPT-2 pattern, which _latin holds below U+0180
 
     def split(text: str) -> list[str]:
-        return full.findall(text) if _beyond.search(text) else _latin.findall(text)
+        return _latin.findall(text) if usual and not _beyond.search(text) else full.findall(text)
 
-    return split
+    if not special:
+        return split
+    apart = re.compile("(" + "|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)) + ")")
+
+    def split_around(text: str) -> list[str]:
+        if not apart.search(text):
+            return split(text)
+        return [p for i, x in enumerate(apart.split(text)) for p in ([x] if i % 2 else split(x))]
+
+    return split_around
 
 
 class Pieces(dict):
@@ -74,34 +85,52 @@ def ragged(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return flat[index], n
 
 
-#: Pieces handled at once: bounds memory for a text of any length.
-SEGMENT = 1 << 20
+#: Pieces handled at once: bounds memory for a text of any length, and lets strings and arrays stay in a core's cache.
+SEGMENT = 1 << 14
 
 
-def encode_texts(table: Pieces, split: Callable[[str], list[str]], texts: list[str]) -> list[np.ndarray]:
-    """The ids of each text."""
-    out: list[np.ndarray] = []
+def encode_runs(table: Pieces, split: Callable[[str], list[str]], texts: list[str], end_id: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids of some texts in a row, ids of each) until all texts are told; each text's ids end with end_id, if given."""
     held: list[str] = []
     counts: list[int] = []
 
-    def flush() -> None:
+    def flush() -> tuple[np.ndarray, np.ndarray]:
         ids, n = table.ids(held)
         ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(counts)]
-        out.extend(np.split(ids, ends[:-1]) if counts else [])
+        lengths = np.diff(ends, prepend=0)
         held.clear()
         counts.clear()
+        return ended(ids.astype(np.int32, copy=False), lengths, end_id)
 
     for text in texts:
         pieces = split(text)
+        if counts and len(held) + len(pieces) > SEGMENT:
+            yield flush()
         if len(pieces) > SEGMENT:
-            if counts:
-                flush()
-            out.append(np.concatenate([table.ids(pieces[i : i + SEGMENT])[0] for i in range(0, len(pieces), SEGMENT)]))
+            ids = np.concatenate([table.ids(pieces[i : i + SEGMENT])[0] for i in range(0, len(pieces), SEGMENT)])
+            yield ended(ids.astype(np.int32, copy=False), np.array([len(ids)]), end_id)
             continue
-        if len(held) + len(pieces) > SEGMENT and counts:
-            flush()
         held += pieces
         counts.append(len(pieces))
     if counts:
-        flush()
+        yield flush()
+
+
+def ended(ids: np.ndarray, lengths: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts in a row and their lengths, with end_id after each text."""
+    if end_id is None:
+        return ids, lengths
+    last = np.cumsum(lengths) + np.arange(len(lengths))
+    mine = np.ones(len(ids) + len(lengths), bool)
+    mine[last] = False
+    out = np.full(len(mine), end_id, np.int32)
+    out[mine] = ids
+    return out, lengths + 1
+
+
+def encode_texts(table: Pieces, split: Callable[[str], list[str]], texts: list[str]) -> list[np.ndarray]:
+    """The ids of each text."""
+    out: list[np.ndarray] = []
+    for ids, lengths in encode_runs(table, split, texts):
+        out.extend(np.split(ids, np.cumsum(lengths)[:-1]))
     return out

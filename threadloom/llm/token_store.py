@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import common
-from .pretokens import Pieces, encode_texts, splitter
+from .pretokens import Pieces, encode_runs, splitter
 
 BLOCK = 1 << 16
 SEGMENT_IDS = 1 << 20
@@ -82,7 +82,9 @@ def library(path: str) -> tuple[Pieces, object]:
         from tokenizers import Tokenizer, pre_tokenizers
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = list(t.get_added_tokens_decoder().values())
+        if any(a.lstrip or a.rstrip or a.single_word or a.normalized for a in added):
+            raise ValueError(f"{path}: added tokens that take in what is around them are not supported")
         t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # the pieces are split already
 
         def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,24 +92,28 @@ def library(path: str) -> tuple[Pieces, object]:
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             return np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())), n
 
-        _workers[path] = Pieces(encode), splitter(public_tokenizers.PATTERN)
+        # the library takes the strings of added tokens out of a text before it splits the rest
+        _workers[path] = Pieces(encode), splitter(public_tokenizers.PATTERN, tuple(a.content for a in added))
     return _workers[path]
 
 
-def segments(doc_ids: list, ids: list[np.ndarray], shard: int, segment: int, mode: str) -> dict:
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+def segment(runs: list[tuple[pa.Array, np.ndarray, np.ndarray]], shard: int, number: int, mode: str) -> dict:
+    """A stored row of runs (doc_ids, ids of all their texts in a row, ids of each)."""
+    docs = pa.concat_arrays([d for d, _, _ in runs])
+    flat = np.concatenate([ids for _, ids, _ in runs])
     payload, index = pack(flat, mode)
     return {
-        "shard": [shard], "segment": [segment], "n_ids": [len(flat)], "n_docs": [len(doc_ids)],
-        "doc_ids": [np.array([d or 0 for d in doc_ids], "<i8").tobytes()], "no_doc_id": [np.array([d is None for d in doc_ids], np.uint8).tobytes()],
-        "lengths": [np.array([len(i) for i in ids], "<i8").tobytes()], "index": [index], "payload": [payload],
+        "shard": [shard], "segment": [number], "n_ids": [len(flat)], "n_docs": [len(docs)],
+        "doc_ids": [docs.fill_null(0).to_numpy().astype("<i8").tobytes()], "no_doc_id": [docs.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()],
+        "lengths": [np.concatenate([n for _, _, n in runs]).astype("<i8").tobytes()], "index": [index], "payload": [payload],
     }
 
 
 def write(docs: DataFrame, to: str, path: str, end_id: int = 0, mode: str = "byte") -> None:
     """Encode every text, append end_id, and store the ids at `to` in ascending order of doc_id.
 
-    A null text is empty (its end id remains). Rows without doc_id come first and are read back as null;
+    Strings of the file's added tokens in a text become those tokens, as in the library's own call. A null text is
+    empty (its end id remains). Rows without doc_id come first and are read back as null;
     repeated rows are stored as often as they occur; an empty table leaves an empty store.
     """
     names = common.arrow_schema(STORED)
@@ -115,27 +121,30 @@ def write(docs: DataFrame, to: str, path: str, end_id: int = 0, mode: str = "byt
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, split = library(path)
         shard, k = TaskContext.get().partitionId(), 0
-        held_docs: list = []
-        held: list[np.ndarray] = []
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         total = 0
         for part in common.slices(batches, "text"):
-            got = encode_texts(pieces, split, part.column("text").to_pylist())
-            for d, ids in zip(part.column("doc_id").to_pylist(), got):
-                held_docs.append(d)
-                held.append(np.append(ids, np.int32(end_id)))
-                total += len(ids) + 1
+            at = 0
+            for ids, lengths in encode_runs(pieces, split, part.column("text").to_pylist(), end_id):
+                held.append((part.column("doc_id").slice(at, len(lengths)), ids, lengths))
+                at += len(lengths)
+                total += len(ids)
                 if total >= SEGMENT_IDS:
-                    yield common.record_batch(segments(held_docs, held, shard, k, mode), names)
-                    held_docs, held, total, k = [], [], 0, k + 1
-        if held_docs:
-            yield common.record_batch(segments(held_docs, held, shard, k, mode), names)
+                    yield common.record_batch(segment(held, shard, k, mode), names)
+                    held, total, k = [], 0, k + 1
+        if held:
+            yield common.record_batch(segment(held, shard, k, mode), names)
 
     ordered = common.texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(run, STORED).write.option("compression", "none").parquet(to)
 
 
 def read(spark: SparkSession, frm: str, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32[, ids]) of every stored document, decoded from the planes."""
+    """(doc_id, start, n_tokens, ids_crc32[, ids]) of every stored document, decoded from the planes.
+
+    Rows written without doc_id come back with null, repeated rows as often as they were written; an empty store
+    gives no rows.
+    """
     from pyspark.sql.types import StructType
 
     stored = spark.read.schema(StructType.fromDDL(STORED)).parquet(frm)
@@ -159,8 +168,11 @@ def read(spark: SparkSession, frm: str, with_ids: bool = False) -> DataFrame:
                     each["ids"] = np.split(ids.astype(np.int32), ends[:-1])
                 yield common.record_batch(each, names)
 
-    # one row a segment (a million ids), so this window is short; it reads the small columns only
-    before = stored.select("shard", "segment", (F.sum("n_ids").over(Window.orderBy("shard", "segment").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_ids")).alias("before"))
+    # one row a shard in the window over all: as many as tasks wrote; segments are numbered within their shard
+    shards = stored.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    shards = shards.select("shard", (F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("shards_before"))
+    inside = Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, 0)
+    before = stored.select("shard", "segment", (F.sum("n_ids").over(inside) - F.col("n_ids")).alias("inside")).join(shards, "shard").select("shard", "segment", (F.col("shards_before") + F.col("inside")).alias("before"))
     rows = stored.mapInArrow(run, out).join(before, ["shard", "segment"])
     return rows.select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
