@@ -102,7 +102,7 @@ def brute_repeats(texts, size=200):
     return out
 
 
-@pytest.mark.parametrize("split", [2, repeats.SPLIT])
+@pytest.mark.parametrize("split", [4, repeats.SPLIT])
 @pytest.mark.parametrize("name", ["odd", "real", "none"])
 def test_op9_removed(request, monkeypatch, name, split):
     monkeypatch.setattr(repeats, "SPLIT", split)

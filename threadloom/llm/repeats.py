@@ -8,7 +8,7 @@ for by equal places. About one position in 85 speaks for any string; a place who
 What is left is ranked by Spark in rounds, by one path whatever a rank's frequency. A row is a place with a cell: the
 strings that start `lo` to `hi` bytes before the place. All strings of a cell have their middle in common, its core:
 32 bytes in the beginning. A round splits each cell in SPLIT, which lets the cores grow at offsets to both sides (to
-158, 190, 198, 200 bytes); the new rank of a core is that of the pair (rank so far, rank of what was added): Spark
+188, then 200 bytes); the new rank of a core is that of the pair (rank so far, rank of what was added): Spark
 groups the rows by the pair, and the least member of a group is its rank. A row of unique rank is dropped, none of
 its strings repeats. Rows with equal rank that also agree in all bytes their strings cover repeat as a whole; one of
 them goes on, for rows that share a part of it. At 200 bytes what still shares its rank is removed.
@@ -25,14 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from . import common
 
 THRESHOLD = 200
 CORE = 32
-SPLIT = 4  # cells that a cell becomes in a round
+SPLIT = 13  # cells that a cell becomes in a round
 BUCKETS_PER_PARTITION = 8
 
 _A = np.uint64(0xBF58476D1CE4E5B9)
@@ -46,45 +49,59 @@ def joined_rank(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all strings of `size` bytes, by doubling."""
+    """Hashes of all strings of `size` bytes (8 at least): of eight bytes as they are, then by doubling."""
     if len(data) < size:
         return np.zeros(0, np.uint64)
-    h, n = (data.astype(np.uint64) + np.uint64(7)) * _A, 1
+    h = np.empty(len(data) - 7, np.uint64)
+    for i in range(min(8, len(h))):
+        eight = np.frombuffer(data, np.uint64, (len(data) - i) // 8, i)
+        h[i::8] = eight
+    h *= _A
+    n = 8
     while 2 * n <= size:
         h, n = joined_rank(h[:-n], h[n:]), 2 * n
     return h if n == size else joined_rank(h[: len(data) - size + 1], h[size - n :])
 
 
-#: Bytes of a text sampled at once: some ten arrays of 8 bytes each.
-SEGMENT = 1 << 19
+#: Bytes sampled at once, so that the arrays stay in a core's cache.
+SEGMENT = 1 << 16
+_PLACES = np.uint64((1 << 20) - 1)
 
 
-def sampled(data: np.ndarray, threshold: int = THRESHOLD, core: int = CORE) -> tuple[np.ndarray, ...]:
-    """(positions, hashes, low, high): which places speak for strings; these start low to high bytes before them."""
-    each = [(i, sampled_segment(data[i : i + SEGMENT + threshold - 1], threshold, core)) for i in range(0, max(1, len(data)), SEGMENT)]
-    return tuple(np.concatenate([x[k] + (i if k == 0 else x[k].dtype.type(0)) for i, x in each]) for k in range(4))
+def sampled(data: np.ndarray, ends: np.ndarray | None = None, threshold: int = THRESHOLD, core: int = CORE) -> tuple[np.ndarray, ...]:
+    """(positions, hashes, low, high): which places speak for strings; these start low to high bytes before them.
+
+    data holds texts one after the other, which end at `ends`; no string lies in two texts.
+    """
+    whole = np.zeros(len(data), bool)  # where a string of one text starts
+    begin = 0
+    for end in [len(data)] if ends is None else ends.tolist():
+        whole[begin : max(begin, end - threshold + 1)] = True
+        begin = end
+    each = [sampled_segment(data[i : i + SEGMENT + threshold - 1], whole[i : i + SEGMENT], i, threshold, core) for i in range(0, max(1, len(data)), SEGMENT)]
+    return tuple(np.concatenate(x) for x in zip(*each))
 
 
-def sampled_segment(data: np.ndarray, threshold: int, core: int) -> tuple[np.ndarray, ...]:
+def sampled_segment(data: np.ndarray, whole: np.ndarray, base: int, threshold: int, core: int) -> tuple[np.ndarray, ...]:
+    none = np.zeros(0, np.int64)
     h = hashes(data, core)
     width = threshold - core + 1
     if len(h) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least, at, n = h, np.arange(len(h), dtype=np.int32), 1  # the leftmost least of n places, by doubling
-
-    def better(i: slice, j: slice) -> tuple[np.ndarray, np.ndarray]:
-        left = least[i] <= least[j]
-        return np.where(left, least[i], least[j]), np.where(left, at[i], at[j])
-
+        return none, none.astype(np.uint64), none, none
+    # the place stands in the low bits: the least of these is the leftmost least hash, to 44 bits
+    least, n = h & ~_PLACES | np.arange(len(h), dtype=np.uint64), 1
     while 2 * n <= width:
-        least, at = better(slice(None, -n), slice(n, None))
-        n *= 2
+        least, n = np.minimum(least[:-n], least[n:]), 2 * n
     count = len(h) - width + 1
-    least, at = better(slice(0, count), slice(width - n, width - n + count))
+    least = np.minimum(least[:count], least[width - n : width - n + count])
+    start = np.flatnonzero(whole[:count])
+    if not len(start):
+        return none, none.astype(np.uint64), none, none
+    at = (least & _PLACES).astype(np.int64)[start]
     first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-    last = np.append(first[1:], count) - 1
-    position = at[first].astype(np.int64)
-    return position, least[first], position - last, position - first
+    last = np.append(first[1:], len(at)) - 1
+    position = at[first]
+    return position + base, h[position], position - start[last], position - start[first]
 
 
 PLACE = np.dtype([("h", "<u8"), ("k1", "<i8"), ("k2", "<i4"), ("pos", "<i4"), ("low", "<i2"), ("high", "<i2"), ("s1", "<i8"), ("s2", "<i8")])
@@ -98,11 +115,14 @@ def digests(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return found[:, 0], found[:, 1]
 
 
-def places(k1: int, k2: int, raw: bytes, threshold: int, core: int) -> np.ndarray:
-    """The places of a text that speak for strings, with a digest of all bytes these cover."""
-    at, h, low, high = sampled(np.frombuffer(raw, np.uint8), threshold, core)
+def places(keys: list[tuple[int, int]], texts: list[bytes], threshold: int, core: int) -> np.ndarray:
+    """The places of texts that speak for strings, with a digest of all bytes these cover."""
+    raw, ends = b"".join(texts), np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    at, h, low, high = sampled(np.frombuffer(raw, np.uint8), ends, threshold, core)
+    text = np.searchsorted(ends, at, side="right")
     r = np.empty(len(at), PLACE)
-    r["h"], r["k1"], r["k2"], r["pos"], r["low"], r["high"] = h, k1, k2, at, low, high
+    r["h"], r["low"], r["high"], r["pos"] = h, low, high, at - (ends - np.diff(ends, prepend=0))[text]
+    r["k1"], r["k2"] = np.array(keys, np.int64).reshape(-1, 2)[text].T
     r["s1"], r["s2"] = digests([raw[i:j] for i, j in zip((at - high).tolist(), (at - low + threshold).tolist())])
     return r
 
@@ -147,12 +167,9 @@ def survivors(docs: DataFrame, threshold: int, core: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = common.arrow_schema(sent)
         for part in common.slices(batches, "text", 8 << 20):
-            found, seen = [np.zeros(0, PLACE)], set()
-            for k1, k2, text in zip(part.column("k1").to_pylist(), part.column("k2").to_pylist(), part.column("text")):
-                if (k1, k2) not in seen:  # of copies one will do
-                    seen.add((k1, k2))
-                    found.append(places(k1, k2, text.as_buffer().to_pybytes(), threshold, core))
-            r, twice, new = repeated(np.concatenate(found))
+            of_key = dict(zip(zip(part.column("k1").to_pylist(), part.column("k2").to_pylist()), part.column("text")))  # of copies one will do
+            texts = [t.as_buffer().to_pybytes() for t in of_key.values()]
+            r, twice, new = repeated(places(list(of_key), texts, threshold, core))
             marks = r[new & twice]
             marks["pos"] = MARK
             alone = np.concatenate([r[~twice], marks])
@@ -196,7 +213,7 @@ def squeezed(docs: DataFrame, *more: str) -> DataFrame:
     rows = docs.select("k1", "k2", "text", *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
+        squeeze = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
         for part in common.slices(batches, "text"):
             held = pa.array([squeeze(t.as_buffer()) for t in part.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), held, *(part.column(c) for c in more)], names=["k1", "k2", "packed", *more])
@@ -204,13 +221,13 @@ def squeezed(docs: DataFrame, *more: str) -> DataFrame:
     return rows.mapInArrow(run, rows.withColumn("text", F.col("text").cast("binary")).withColumnRenamed("text", "packed").schema)
 
 
-#: a place with a cell: rank (a member's name), the cell, the place, its own strings in the cell, the bytes these cover
-CELL = "r1 long, r2 int, r3 int, lo int, hi int, k1 long, k2 int, pos int, low int, high int, context binary"
+#: a place with a cell: its rank so far, the cell, the place, its own strings in the cell, the bytes these cover
+CELL = "rank long, lo int, hi int, k1 long, k2 int, pos int, low int, high int, context binary"
 
 
-def first_cells(docs: DataFrame, places: DataFrame, threshold: int, core: int) -> DataFrame:
-    """Each place (h, k1, k2, pos, low, high) with the whole cell; its bytes come from one of the copies of its text."""
-    lists = places.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "pos", "low", "high")).alias("held"))
+def first_cells(docs: DataFrame, found: DataFrame, threshold: int, core: int) -> DataFrame:
+    """Each place found (h, k1, k2, pos, low, high) with the whole cell; its bytes come from one of the copies of its text."""
+    lists = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "pos", "low", "high")).alias("held"))
     least = docs.groupBy("k1", "k2").agg(F.min("id").alias("id"))
     lists = common.cut(lists.join(least, ["k1", "k2"]), "repeat-held")
 
@@ -218,27 +235,30 @@ def first_cells(docs: DataFrame, places: DataFrame, threshold: int, core: int) -
         names = common.arrow_schema(CELL)
         expand = zstandard.ZstdDecompressor().decompress
         for part in common.slices(batches, "packed", 1 << 20):
-            out: dict[str, list] = {f.name: [] for f in names}
-            for row in part.to_pylist():
-                raw = expand(row["packed"])
-                for p in row["held"]:
-                    begin, end = p["pos"] - p["high"], p["pos"] - p["low"] + threshold
-                    for k, v in zip(out, (p["h"], 0, MARK, 0, threshold - core, row["k1"], row["k2"], p["pos"], p["low"], p["high"], raw[begin:end])):
-                        out[k].append(v)
-            yield common.record_batch(out, names)
+            held, n = part.column("held"), part.num_rows
+            row = np.repeat(np.arange(n), np.diff(held.offsets.to_numpy()))
+            of = {k: held.flatten().field(k).to_numpy() for k in ("h", "pos", "low", "high")}
+            texts = [expand(x) for x in part.column("packed").to_pylist()]
+            spans = zip(row.tolist(), (of["pos"] - of["high"]).tolist(), (of["pos"] - of["low"] + threshold).tolist())
+            at, count = pa.array(row), len(row)
+            yield common.record_batch({
+                "rank": of["h"], "lo": np.zeros(count, np.int32), "hi": np.full(count, threshold - core, np.int32), "k1": part.column("k1").take(at), "k2": part.column("k2").take(at),
+                "pos": of["pos"], "low": of["low"], "high": of["high"], "context": [texts[i][a:b] for i, a, b in spans],
+            }, names)
 
     return squeezed(docs, "id").join(lists, ["id", "k1", "k2"]).select("k1", "k2", "packed", "held").mapInArrow(run, CELL)
 
 
-GROWN = CELL.replace("context", "x1 long, x2 long, s1 long, s2 long, context")
+GROWN = CELL.replace("context", "id long, x1 long, x2 long, s1 long, s2 long, context")
 
 
 def grown(cells: DataFrame, threshold: int) -> DataFrame:
     """The parts of each cell that hold strings of its place, with digests of what their cores have more than the cell's,
-    and of all bytes the place's strings in them cover."""
+    and of all bytes the place's strings in them cover; each with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = common.arrow_schema(GROWN)
+        next_id = TaskContext.get().partitionId() << 40
         for part in common.slices(batches, "context", 2 << 20):
             lo, hi, low, high = (part.column(c).to_pylist() for c in ("lo", "hi", "low", "high"))
             of, cut, more, span = [], [], [], []
@@ -246,21 +266,24 @@ def grown(cells: DataFrame, threshold: int) -> DataFrame:
                 step = -(-(b - a + 1) // SPLIT)
                 for x in range(a + (max(a, l) - a) // step * step, min(b, m) + 1, step):
                     y = min(x + step - 1, b)
-                    own = max(x, l), min(y, m)
+                    u, v = max(x, l), min(y, m)
                     of.append(i)
-                    cut.append((x, y, *own))
+                    cut.append((x, y, u, v))
                     more.append(c[m - x : m - a] + c[m - b + threshold : m - y + threshold])  # the place lies at m
-                    span.append(c[m - own[1] : m - own[0] + threshold])
+                    span.append(c[m - v : m - u + threshold] if x < y else b"")  # of one string, that is its core
             at = pa.array(of, pa.int64())
-            out = {k: part.column(k).take(at) for k in ("r1", "r2", "r3", "k1", "k2", "pos")}
+            out = {k: part.column(k).take(at) for k in ("rank", "k1", "k2", "pos")}
             out |= dict(zip(("lo", "hi", "low", "high"), np.array(cut, np.int32).reshape(-1, 4).T))
-            (out["x1"], out["x2"]), (out["s1"], out["s2"]), out["context"] = digests(more), digests(span), span
+            out["x1"], out["x2"] = digests(more)
+            out["s1"], out["s2"] = digests(span)
+            out["id"], next_id = np.arange(next_id, next_id + len(of)), next_id + len(of)
+            out["context"] = span
             yield common.record_batch(out, names)
 
     return cells.mapInArrow(run, GROWN)
 
 
-RANK, ADDED, COVERED, PLACED = ["r1", "r2", "r3", "lo", "hi"], ["x1", "x2"], ["low", "high", "s1", "s2"], ["k1", "k2", "pos"]
+COVERED, PLACED = ["low", "high", "s1", "s2"], ["k1", "k2", "pos"]
 
 
 def spans_of(rows: DataFrame, threshold: int) -> DataFrame:
@@ -268,20 +291,15 @@ def spans_of(rows: DataFrame, threshold: int) -> DataFrame:
     return rows.select("k1", "k2", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + threshold).alias("end"))
 
 
-def grouped(rows: DataFrame, *by: str) -> DataFrame:
-    """Rows alike in `by`: the least place of each group, and whether it has another."""
-    of = rows.groupBy(*by).agg(F.min(F.struct(*PLACED)).alias("lead"), F.max(F.struct(*PLACED)).alias("last"))
-    return common.cut(of.withColumn("twice", F.expr("lead <> last")), "repeat-groups")
-
-
 def ranking(docs: DataFrame, threshold: int, core: int) -> list[DataFrame]:
     """Spans (k1, k2, start, end) of repeated strings, by round. Joins meet rows with groups, so Spark can split them."""
     found = survivors(docs, threshold, core)
     key = ["h", *COVERED]
-    groups = grouped(found, *key)
+    place = F.struct(*PLACED)
+    groups = common.cut(found.groupBy(*key).agg(F.min(place).alias("lead"), F.max(place).alias("last")).withColumn("twice", F.expr("lead <> last")).drop("last"), "repeat-groups")
     gone = [spans_of(found.join(groups.where("twice").select(*key), key, "left_semi"), threshold)]
     several = common.cut(groups.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeat-several")
-    ahead = groups.join(several, "h", "left_semi").select("h", "lead.k1", "lead.k2", "lead.pos", "low", "high")
+    ahead = groups.join(several, "h", "left_semi").select("h", "lead.*", "low", "high")
     cells = first_cells(docs, ahead, threshold, core)
     width = threshold - core + 1
     while width > 1:
@@ -289,13 +307,15 @@ def ranking(docs: DataFrame, threshold: int, core: int) -> list[DataFrame]:
         rows = common.cut(grown(cells, threshold), "repeat-cells")
         if rows.isEmpty():
             break
-        key = [*RANK, *ADDED, *COVERED]
-        groups = grouped(rows, *key)
-        ranks = groups.groupBy(*RANK, *ADDED).agg(F.min("lead").alias("name"), F.max("last").alias("top"), F.count("*").alias("n")).where("n > 1 and name <> top")
-        gone.append(spans_of(rows.join(groups.where("twice").select(*key), key, "left_semi"), threshold))
-        leads = groups.where("lo < hi").join(common.cut(ranks, "repeat-ranks"), [*RANK, *ADDED]).select(*key, "lead.*", "name")
-        ahead = rows.join(leads, [*key, *PLACED])
-        cells = ahead.select(F.col("name.k1").alias("r1"), F.col("name.k2").alias("r2"), F.col("name.pos").alias("r3"), "lo", "hi", *PLACED, "low", "high", "context")
+        core_key = ["rank", "lo", "hi", "x1", "x2"]
+        key = [*core_key, *COVERED]
+        of_rows = rows.groupBy(*key).agg(F.min("id").alias("lead"), F.max("id").alias("last"))
+        groups = common.cut(of_rows, "repeat-groups")
+        gone.append(spans_of(rows.join(groups.where("lead <> last").select(*key), key, "left_semi"), threshold))
+        if width > 1:
+            ranks = groups.groupBy(*core_key).agg(F.min("lead").alias("name"), F.count("*").alias("n")).where("n > 1").drop("n")
+            leads = groups.join(common.cut(ranks, "repeat-ranks"), core_key).select(F.col("lead").alias("id"), "name")
+            cells = rows.join(leads, "id").select(F.col("name").alias("rank"), "lo", "hi", *PLACED, "low", "high", "context")
     return gone
 
 
@@ -335,19 +355,23 @@ def applied(docs: DataFrame, columns: tuple[str, ...], out: str, made, threshold
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
         for part in common.slices(batches, "packed", 1 << 20):
+            held = part.column("spans")
+            size = pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False)
+            flat = held.flatten()
+            base = np.repeat(np.arange(len(size), dtype=np.int64) << 32, size)  # rows far apart, so one union serves all
+            start, end = merged(base + flat.field("start").to_numpy(zero_copy_only=False), base + flat.field("end").to_numpy(zero_copy_only=False))
+            cuts_at = np.searchsorted(start, np.arange(len(size) + 1, dtype=np.int64) << 32).tolist()
+            start, end = (start & 0xFFFFFFFF).tolist(), (end & 0xFFFFFFFF).tolist()
             rows = []
-            for packed, copies, s in zip(*(part.column(c).to_pylist() for c in ("packed", "copies", "spans"))):
+            for i, (packed, copies) in enumerate(zip(part.column("packed").to_pylist(), part.column("copies").to_pylist())):
                 raw = expand(packed)
                 if (copies or 1) > 1 and len(raw) >= threshold:  # every string of a copied text repeats
-                    start, end = np.array([0]), np.array([len(raw)])
+                    rows.append(made(raw, [0], [len(raw)]))
                 else:
-                    start, end = merged(np.array([x["start"] for x in s or ()], np.int64), np.array([x["end"] for x in s or ()], np.int64))
-                rows.append(made(raw, start.tolist(), end.tolist()))
+                    rows.append(made(raw, start[cuts_at[i] : cuts_at[i + 1]], end[cuts_at[i] : cuts_at[i + 1]]))
             made_of = common.record_batch(dict(zip(names.names, zip(*rows))) if rows else {n: [] for n in names.names}, names)
             yield pa.RecordBatch.from_arrays([part.column("row"), *made_of.columns], names=["row", *names.names])
 
-    from pyspark.sql.types import StructType
-
     return joined.mapInArrow(run, StructType([joined.schema["row"], *StructType.fromDDL(out)]))
 
 
