@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 Z = 1.96
@@ -55,19 +58,36 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def band(k: Column) -> Column:
-    """Landis and Koch."""
-    return F.when(k < 0, "poor").when(k < 0.2, "slight").when(k < 0.4, "fair").when(k < 0.6, "moderate").when(k < 0.8, "substantial").otherwise("almost perfect")
+    """Landis and Koch; below 0 raters agree less than by chance."""
+    return F.when(k < 0, "worse than chance").when(k < 0.2, "slight").when(k < 0.4, "fair").when(k < 0.6, "moderate").when(k < 0.8, "substantial").otherwise("almost perfect")
+
+
+def tie_groups(df: DataFrame, score: str, correct: str) -> tuple[DataFrame, int]:
+    """(n, k right, n0 and k0 of all higher scores) of each distinct score, and the number of rows.
+
+    Range partitions by score are summed by themselves and the sums of those before are added, so no task holds
+    all scores, however many there are. Rows without a score come last.
+    """
+    from ..sources.files import settle
+
+    at = F.coalesce(-F.col(score).cast("double"), F.lit(float("inf")))
+    groups = df.groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col(correct).cast("int"), F.lit(0))).alias("k"))
+    parted = settle(groups.repartitionByRange("at").withColumn("part", F.spark_partition_id()))
+    before, n, k = {}, 0, 0
+    for r in parted.groupBy("part").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).orderBy("part").collect():  # one row a partition
+        before[r["part"]], n, k = (n, k), n + r["n"], k + r["k"]
+    w = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    base = lambda j: F.element_at(F.create_map(*(F.lit(x) for p, v in before.items() for x in (p, v[j]))), F.col("part")) if before else F.lit(0)
+    return parted.select("n", "k", (F.coalesce(F.sum("n").over(w), F.lit(0)) + base(0)).alias("n0"), (F.coalesce(F.sum("k").over(w), F.lit(0)) + base(1)).alias("k0")), n
 
 
 def risk_coverage(df: DataFrame, score: str, correct: str, thin: int | None = None) -> DataFrame:
     """(rank, coverage, error): the expected curve, in closed form within ties of the score.
 
-    Ties are aggregated before anything is ordered, so the window holds one row a distinct score; the rows of
-    the curve are then made from the groups.
+    Ties are aggregated before anything is ordered; the rows of the curve are then made from the groups.
     """
-    groups = df.groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(correct).cast("int")).alias("k"))
-    before = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select("n", "k", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k0"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    groups, total = tie_groups(df, score, correct)
+    groups = groups.withColumn("total", F.lit(total))
     rows = groups.withColumn("i", F.explode(F.sequence(F.lit(1), "n")))
     rank = F.col("n0") + F.col("i")
     out = rows.select(rank.alias("rank"), (rank / F.col("total")).alias("coverage"), (1 - (F.col("k0") + F.col("i") * F.col("k") / F.col("n")) / rank).alias("error"), "total")
@@ -77,11 +97,16 @@ def risk_coverage(df: DataFrame, score: str, correct: str, thin: int | None = No
 
 
 def aurc(df: DataFrame, score: str, correct: str) -> DataFrame:
-    """Area under risk-coverage by trapezoids."""
-    w = Window.orderBy("rank")
-    c = risk_coverage(df, score, correct)
-    area = (F.col("coverage") - F.lag("coverage").over(w)) * (F.col("error") + F.lag("error").over(w)) / 2
-    return c.select(area.alias("area")).agg(F.round(F.coalesce(F.sum("area"), F.lit(0.0)), 6).alias("aurc"))
+    """Area under risk-coverage by trapezoids: the sum over points of (error + error before) / 2, over n.
+
+    A point needs only its own group of ties and the last point before it, so each is summed where it is made.
+    """
+    groups, total = tie_groups(df, score, correct)
+    rows = groups.withColumn("i", F.explode(F.sequence(F.lit(1), "n")))
+    error = lambda i: 1 - (F.col("k0") + i * F.col("k") / F.col("n")) / (F.col("n0") + i)
+    before = F.when(F.col("i") > 1, error(F.col("i") - 1)).otherwise(1 - F.col("k0") / F.col("n0"))
+    area = F.sum(F.when(F.col("n0") + F.col("i") > 1, (error(F.col("i")) + before) / (2 * F.lit(total))))
+    return rows.agg(F.round(F.coalesce(area, F.lit(0.0)), 6).alias("aurc"))
 
 
 def selective(df: DataFrame, *by: str, action: str = "action", correct: str = "correct", catastrophic: str = "catastrophic") -> DataFrame:
@@ -118,3 +143,88 @@ def bootstrap_mean(df: DataFrame, key: str, value: str, replicates: int = 200, s
     means = rows.groupBy("b").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
     ends = means.agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
     return df.agg(F.round(F.avg(value), 6).alias("mean")).crossJoin(ends)  # one row each
+
+
+#: labels whose table of pairs may come to the driver
+MOST_LABELS = 1000
+
+
+def matrix(df: DataFrame, true: str, pred: str) -> tuple[list, np.ndarray]:
+    """(labels, counts[true, pred]): of rows only this table leaves Spark. More than MOST_LABELS labels are refused."""
+    rows = df.groupBy(F.col(true).cast("string").alias("t"), F.col(pred).cast("string").alias("p")).agg(F.count("*").alias("n"))
+    cells = rows.limit(MOST_LABELS**2 + 1).collect()
+    labels = sorted({x for r in cells for x in (r.t, r.p)}, key=lambda x: (x is None, x or ""))
+    if len(labels) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    at = {x: i for i, x in enumerate(labels)}
+    out = np.zeros((len(labels), len(labels)), np.int64)
+    for r in cells:
+        out[at[r.t], at[r.p]] = r.n
+    return labels, out
+
+
+def macro_of(c: np.ndarray) -> np.ndarray:
+    """Macro-F1 of tables [..., true, pred], over the labels that occur in the first of them as true."""
+    tp, support, predicted = np.diagonal(c, axis1=-2, axis2=-1), c.sum(-1), c.sum(-2)
+    f1 = np.divide(2.0 * tp, support + predicted, out=np.zeros(tp.shape), where=support + predicted > 0)
+    there = support.reshape(-1, support.shape[-1])[0] > 0
+    return f1[..., there].mean(-1) if there.any() else np.zeros(f1.shape[:-1])
+
+
+def kappa_of(c: np.ndarray) -> np.ndarray:
+    """Cohen's kappa of tables [..., a, b]; where all is agreed by chance, 1 if all agree and else 0."""
+    n = np.maximum(c.sum((-2, -1)), 1).astype(float)
+    po, pe = np.trace(c, axis1=-2, axis2=-1) / n, (c.sum(-1).astype(float) * c.sum(-2)).sum(-1) / n**2
+    return np.where(np.abs(1 - pe) < 1e-12, (po == 1).astype(float), (po - pe) / np.where(np.abs(1 - pe) < 1e-12, 1, 1 - pe))
+
+
+def interval(counts: np.ndarray, statistic: Callable[[np.ndarray], np.ndarray], replicates: int, seed: int) -> tuple[float, float]:
+    """The 95% bootstrap interval of a statistic of a table. Drawing n rows again is drawing the table's cells by their
+    shares, so replicates cost what the table costs, whatever n is. No rows: (nan, nan)."""
+    n = int(counts.sum())
+    if not n:
+        return float("nan"), float("nan")
+    flat, rng, out = np.flatnonzero(counts), np.random.default_rng(seed), []
+    for i in range(0, replicates, 100):
+        draws = rng.multinomial(n, counts.ravel()[flat] / n, min(100, replicates - i))
+        tables = np.zeros((len(draws), counts.size), np.int64)
+        tables[:, flat] = draws
+        # the table itself comes first, so that the same labels count in all
+        out.append(statistic(np.concatenate([counts[None], tables.reshape(-1, *counts.shape)]))[1:])
+    low, high = np.percentile(np.concatenate(out), [2.5, 97.5])
+    return round(float(low), 4), round(float(high), 4)
+
+
+def classification_report(df: DataFrame, true: str, pred: str, replicates: int = 2000, seed: int = 20260913) -> DataFrame:
+    """One row: n, accuracy, macro_f1 with their 95% bootstrap intervals, weighted_f1. Without rows all but n are null."""
+    _, c = matrix(df, true, pred)
+    accuracy = interval(c, lambda t: np.trace(t, axis1=-2, axis2=-1) / t.sum((-2, -1)), replicates, seed)
+    macro = interval(c, macro_of, replicates, seed)
+    number = lambda x: F.lit(None if x != x else x).cast("double")
+    ends = {"accuracy_low": accuracy[0], "accuracy_high": accuracy[1], "macro_f1_low": macro[0], "macro_f1_high": macro[1]}
+    return macro_f1(df, true, pred).select(F.lit(int(c.sum())).alias("n"), "accuracy", "macro_f1", "weighted_f1", *(number(v).alias(k) for k, v in ends.items()))
+
+
+def kappa_with_interval(df: DataFrame, a: str, b: str, replicates: int = 4000, seed: int = 20260913) -> DataFrame:
+    """n, agreement, kappa, band, and the 95% bootstrap interval of kappa (null without rows)."""
+    low, high = interval(matrix(df, a, b)[1], kappa_of, replicates, seed)
+    number = lambda x: F.lit(None if x != x else x).cast("double")
+    return kappa(df, a, b).withColumn("kappa_low", number(low)).withColumn("kappa_high", number(high))
+
+
+def report_by(df: DataFrame, true: str, pred: str, *by: str) -> DataFrame:
+    """(by, n, accuracy, macro_f1): as macro_f1() for every group, from one aggregate of pairs of labels."""
+    c = df.groupBy(*by, F.col(true).alias("t"), F.col(pred).alias("p")).agg(F.count("*").alias("n"))
+    hit = F.when(F.col("t").eqNullSafe(F.col("p")), F.col("n")).otherwise(0)
+    t = c.groupBy(*by, F.col("t").alias("label")).agg(F.sum("n").alias("support"), F.sum(hit).alias("tp"))
+    p = c.groupBy(*by, F.col("p").alias("label")).agg(F.sum("n").alias("predicted"))
+    f1 = F.round(2 * F.col("tp") / (F.col("support") + F.coalesce("predicted", F.lit(0))), 4)
+    each = t.join(p, [*by, "label"], "left").withColumn("f1", f1)
+    return each.groupBy(*by).agg(F.sum("support").alias("n"), F.round(F.sum("tp") / F.sum("support"), 4).alias("accuracy"), F.round(F.avg("f1"), 6).alias("macro_f1"))
+
+
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """(column, n, share to four places); null is a value."""
+    n = df.groupBy(column).agg(F.count("*").alias("n"))
+    total = n.agg(F.sum("n").alias("total"))
+    return n.crossJoin(total).select(column, "n", F.round(F.col("n") / F.col("total"), 4).alias("share"))  # total: one row

@@ -9,20 +9,34 @@ from pyspark.sql import Column, functions as F
 
 # What each signal looks like in a support conversation.
 PATTERNS = {
-    "deflection": r"(?i)\b(dm|pm|direct message|private message)\b|\b(call|phone|ring|email|e-mail|contact) us\b|\breach out\b|\b(share|send|provide) (us )?your (details|number|address|booking)\b|\b(fill|complete) (in |out )?(the|this|our) form\b|\bour team will (contact|be in touch|get back)\b",
-    "ack_only": r"(?i)^\s*((hi|hello|hey|good morning|good afternoon)[^.!?]{0,30}[,.!]?\s*)?(sorry|apologies|thanks|thank you|we apologi[sz]e|you're welcome|no problem)[^.!?]*[.!?]?\s*$",
-    "thanks": r"(?i)\b(thanks|thank you|thx|cheers|much appreciated|sorted|resolved|that worked|perfect)\b",
-    "money": r"(?i)([£$€]\s?[0-9]+|\b[0-9]+(\.[0-9]{2})?\s?(pounds|quid|euros|dollars)\b|\brefund|\bcompensat)",
-    "safety": r"(?i)\b(unsafe|dangerous|danger|injur\w*|assault\w*|harass\w*|police|ambulance|emergency|wheelchair|disabled|accessib\w*|fire|smoke)\b",
-    "sarcasm": r"(?i)\b(great job|well done|brilliant service|nice one|thanks for nothing|so helpful|yeah right|oh good|love how|slow clap)\b",
-    "existing_case": r"(?i)\b(case|reference|ref|ticket|complaint) ?(number|no|#|id)|\bstill (waiting|no reply|not heard)\b|\b(second|third) time\b|\balready (emailed|contacted|called|complained)\b",
-    "image_only": r"^\s*(<url>\s*)+$",
+    "deflection": r"(?i)(\bd\.?m\b|\bdm us\b|\bdm me\b|direct message|private message|\bpm us\b|via dm|in a dm|to a dm|"
+    r"call us|give us a call|contact (our|the|us)|get in touch with (our|us)|email us|drop us an email|"
+    r"reach out to (us|our)|report (this|it) to (our|the)|"
+    r"(drop|share|send|provide|dm) (in |us )?(your|the) (details|contact|info|order (id|number)|email|phone)|"
+    r"fill (out|in) (this|the) form|(through|via|using|click|use) (the |this )?link|link (provided|below|above|shared)|"
+    r"our team will (contact|reach|get))",
+    "ack_only": r"(?i)^(hi|hello|hey)?[\s,.!]*((so |really |very )?sorry (to hear|about|for)|"
+    r"thanks for (reaching out|getting in touch|letting us know|the feedback)|we('| a)re (sorry|sad|sorry to hear)|"
+    r"apologies|oh no|that'?s (not good|odd|strange))[^.!?]*[.!?]?\s*$",
+    "thanks": r"(?i)\b(thank you|thanks|thankyou|thx|ty|cheers|appreciate it|that worked|it works now|sorted|fixed now|all good|resolved)\b",
+    "money": r"(?i)(£\s?\d+|\d+\s?(pounds|quid)|refund of|compensat\w+ of)",
+    "safety": r"(?i)\b(unsafe|assault\w*|attack\w*|abuse\w*|racist|threat\w*|injur\w*|accident|emergency|police|999|collaps\w*|faint\w*|"
+    r"ill on|paramedic|ambulance|disabled|wheelchair|accessib\w*|guide dog|pram)\b",
+    "sarcasm": r"(?i)(thanks? (a lot|for (the|nothing)|so much)[^.!?]{0,40}(late|delay|cancel|miss)|"
+    r"\b(well done|great job|brilliant|fantastic|outstanding|wonderful|marvellous)\b[^.!?]{0,60}\b(late|delay|cancel|again|miss|packed|crowd)\b|"
+    r"\banother (outstanding|excellent|great|fine) \w+\b|#?(joke|shambles|shameful|farce)\b)",
+    "existing_case": r"(?i)(sent (you )?a? ?dm|as per my dm|still waiting|any update|chased|weeks? ago|no (reply|response)|heard nothing|reference number|ref no|case number)",
+    "image_only": r"^\W*(<url>\s*)+\W*$|^[^\n]{0,45}<url>\s*$",
     "multi_question": r"\?[^?]*\?",
-    "legal": r"(?i)\b(lawyer|solicitor|legal action|sue|court|ombudsman|trading standards|small claims|gdpr)\b",
-    "live_claim": r"(?i)\b[0-9]{1,2}[:.][0-9]{2}\b|\b[0-9]+ ?(mins?|minutes|hours?|hrs?)\b|\bplatform [0-9]+\b|\bis (running|due|delayed|on time|cancelled)\b|\b(due|arriving|departing) (in|at)\b|£ ?[0-9]+(\.[0-9]{2})?",
-    "asks_service": r"(?i)\b(which|what) (service|train|time|station)\b|\bwhere are you (travelling|going)\b",
-    "gives_service": r"\b[0-9]{1,2}[:.]?[0-9]{2}\b.*\bto\b|\b(from|to) [A-Z][a-z]+",
-    "reply_deflection": r"(?i)\b(dm us|pm us|direct message|call us|email us)\b",
+    "legal": r"(?i)\b(ombudsman|solicitor|legal|sue|small claims|rail ombudsman|complaint to)\b",
+    "live_claim": r"(?i)(\b\d{1,2}[:.]\d{2}\b|\b\d{1,3}\s*(minutes?|mins?|hours?)\b|\bplatform\s*\d+\b|"
+    r"\b(is|will be|should be|due)\s+(running|arriving|departing|delayed|cancelled|on time)\b|\b(due (in|at)|arriv\w+ at|depart\w+ at)\b|£\s?\d+)",
+    "asks_service": r"(?i)(\b(which|what)\s+(service|train|time)\b|\blet us know\b[^.?!]{0,40}\b(service|train|time|number)\b|"
+    r"\b(could|can) you\s+(tell|let|confirm|provide|share)\b|\bplease\s+(provide|share|confirm|let us know|send)\b)",
+    "gives_service": r"(\b\d{1,2}[:.]\d{2}\b|\b[01]\d{3}\b|\b2[0-3]\d{2}\b|\b[A-Z][a-z]{2,}\s+to\s+[A-Z][a-z]{2,}\b|\b[A-Z]{3}\s*[-–]\s*[A-Z]{3}\b)",
+    "reply_deflection": r"(?i)\b(dm us|send us a dm|direct message|private message)\b",
+    "concrete_claim": r"(?i)(\b\d{1,2}[:.]\d{2}\b|\b\d{1,3}\s*(minutes?|mins?)\b|\bplatform\s*\d+\b|£\s?\d+)",
+    "clock": r"(?i)\b(\d{1,2}[:.]\d{2}\s*(am|pm)?|\d{1,2}\s*(am|pm)|\b[01]?\d{3}\b|\b2[0-3]\d{2}\b)\b",
 }
 PROBES = ("money", "safety", "sarcasm", "existing_case", "image_only", "multi_question", "legal")
 
@@ -51,14 +65,9 @@ def substantive(clean: Column) -> Column:
     return ~hit("deflection", clean) & ~hit("ack_only", clean) & (F.length(clean) >= 60)
 
 
-def probe(name: str, text: Column) -> Column:
-    if name != "image_only":
-        return hit(name, text)
-    return hit(name, text) | ((F.length(text) <= 45) & F.coalesce(text.rlike(r"<url>\s*$"), F.lit(False)))
-
-
 def probe_hits(text: Column) -> Column:
-    return F.array_compact(F.array(*(F.when(probe(p, text), F.lit(p)) for p in PROBES)))
+    """The names of all probes that fire, in their order; an empty list for null."""
+    return F.array_compact(F.array(*(F.when(hit(p, text), F.lit(p)) for p in PROBES)))
 
 
 def normalise_claim(text: Column) -> Column:
@@ -83,20 +92,22 @@ def self_report_disagrees(reply: Column, message: Column, reported: Column) -> C
     return (F.size(novel_live_claims(reply, message)) > 0) & ~F.coalesce(reported, F.lit(False))
 
 
-def normalise_for_clustering(text: Column, stations: list[str] = []) -> Column:  # noqa: B006
-    """Times, then names of a gazetteer (longest first), then numbers become tokens."""
-    t = F.regexp_replace(text, r"\b[0-9]{1,2}[:.][0-9]{2}\b", "<time>")
-    if stations:
+def normalise_for_clustering(text: Column, names: tuple[str, ...] = ()) -> Column:
+    """Times, then names of a gazetteer (longest first), then numbers become tokens; blanks collapse; null is empty."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), PATTERNS["clock"], " <time> ")
+    if names:
         import re
 
-        t = F.regexp_replace(t, r"(?i)\b(" + "|".join(re.escape(s) for s in sorted(stations, key=len, reverse=True)) + r")\b", "<station>")
-    return F.regexp_replace(t, r"\b[0-9]+\b", "<num>")
+        t = F.regexp_replace(t, r"(?i)\b(" + "|".join(re.escape(s) for s in sorted(names, key=len, reverse=True)) + r")\b", " <station> ")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"\b\d+\b", " <num> "), r"\s+", " "))
 
 
 def automated_flags(reply: Column, message: Column) -> Column:
+    """What can be told of a reply without a model; null texts are empty."""
     r, m = F.coalesce(reply, F.lit("")), F.coalesce(message, F.lit(""))
+    claims = F.regexp_extract_all(r, F.lit(PATTERNS["concrete_claim"]), F.lit(0))
     return F.struct(
-        F.length(r).alias("length"), (F.length(r) > 280).alias("over_length"), F.slice(live_claims(r), 1, 5).alias("claims"), hit("reply_deflection", r).alias("deflects"),
+        F.length(r).alias("length"), (F.length(r) > 280).alias("over_length"), (F.size(claims) > 0).alias("has_claim"), F.slice(claims, 1, 5).alias("claims"), hit("reply_deflection", r).alias("deflects"),
         ((F.length(m) > 30) & F.contains(F.lower(r), F.lower(F.left(m, F.lit(30))))).alias("echoes"), (F.trim(r) == "").alias("empty"),
     )
 
@@ -117,6 +128,29 @@ def percent(value: Column, digits: int = 1) -> Column:
     return F.when(value.isNull() | F.isnan(value), "n/a").otherwise(F.concat(F.format_number(value * 100, digits), F.lit("%")))
 
 
+def percent_interval(value: Column, low: Column, high: Column, digits: int = 1) -> Column:
+    """'85.2% [80.0–90.1]'; n/a without a value."""
+    ends = F.concat(F.lit(" ["), F.format_number(low * 100, digits), F.lit("–"), F.format_number(high * 100, digits), F.lit("]"))
+    return F.when(value.isNull() | F.isnan(value), "n/a").otherwise(F.concat(percent(value, digits), F.when(low.isNull() | high.isNull(), "").otherwise(ends)))
+
+
+def truncated(text: Column, most: int) -> Column:
+    """The first `most` characters; null is empty."""
+    return F.left(F.coalesce(text, F.lit("")), F.lit(most))
+
+
+def digits_only(values: Column) -> Column:
+    """The whole numbers among strings of mixed JSON, in order; null gives an empty list."""
+    numbers = F.transform(F.filter(values, lambda x: F.coalesce(x.rlike("^[0-9]+$"), F.lit(False))), lambda x: x.try_cast("int"))
+    return F.coalesce(F.array_compact(numbers), F.array().cast("array<int>"))
+
+
+def argmax(scores: Column) -> Column:
+    """The key of the greatest value of a map; of equals the least key; null for an empty map."""
+    best = F.array_max(F.map_values(scores))
+    return F.array_min(F.map_keys(F.map_filter(scores, lambda k, v: v == best)))
+
+
 def request_key(*parts: Column) -> Column:
     """First 32 hex digits of the sha256 of the parts as canonical JSON."""
     return F.substring(F.sha2(F.to_json(F.struct(*parts)), 256), 1, 32)

@@ -1,11 +1,14 @@
-"""Weak labels, the majority baseline, clustering with one split level, and a weakly supervised classifier."""
+"""Weak labels, the baselines behind one interface, clustering with one split level, and taxonomy induction."""
 
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from ..functions import text as T
+from ..sources.files import settle
 
 
 def majority(df: DataFrame, label: str) -> DataFrame:
@@ -22,7 +25,7 @@ def weak_labels(assignment: DataFrame, intents: DataFrame) -> DataFrame:
     missing = assignment.join(claims, "cluster_id", "left_anti").first()
     if missing:
         raise ValueError(f"cluster {missing.cluster_id} is claimed by no intent")
-    return assignment.join(F.broadcast(claims), "cluster_id").select("msg_id", F.col("name").alias("intent"))
+    return assignment.join(claims, "cluster_id").select("msg_id", F.col("name").alias("intent"))
 
 
 def kmeans(df: DataFrame, vector: str, k: int, starts: int = 8, seed: int = 1) -> DataFrame:
@@ -49,8 +52,127 @@ def weak_logreg(train: DataFrame, test: DataFrame, vector: str, label: str, c: f
     """test with prediction and confidence; classes weighted alike."""
     sizes = train.groupBy(label).agg(F.count("*").alias("_n"))
     n, k = train.count(), sizes.count()
-    rows = train.join(F.broadcast(sizes), label).withColumn("_w", F.lit(n) / (F.lit(k) * F.col("_n"))).withColumn("_v", array_to_vector(vector)).withColumn("_y", F.col(label).cast("double"))
+    rows = train.join(sizes, label).withColumn("_w", F.lit(n) / (F.lit(k) * F.col("_n"))).withColumn("_v", array_to_vector(vector)).withColumn("_y", F.col(label).cast("double"))
     model = LogisticRegression(featuresCol="_v", labelCol="_y", weightCol="_w", regParam=1 / (c * n), standardization=False, maxIter=200, predictionCol="prediction", probabilityCol="_p").fit(rows)
     from pyspark.ml.functions import vector_to_array
 
     return model.transform(test.withColumn("_v", array_to_vector(vector))).select(*test.columns, "prediction", F.array_max(vector_to_array("_p")).alias("confidence"))
+
+
+# Words that say nothing about a message's kind.
+DOMAIN_STOP = "train trains service services please thanks thank hi hello just got get im ive dont cant url today pls amp station time times num nums".split()
+
+
+def cluster_terms(messages: DataFrame, key: str, text: str = "text", names: tuple[str, ...] = (), extra_stop: tuple[str, ...] = (), min_df: int = 8, max_df: float = 0.35) -> DataFrame:
+    """(key, term, w): unit-length sublinear tf-idf of words and pairs of messages with times, names and numbers made
+    tokens, without stop words. A term must be in min_df messages and in no more than a share max_df of them."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    from . import retrieve
+
+    stop = F.array(*(F.lit(w) for w in sorted({*StopWordsRemover.loadDefaultStopWords("english"), *DOMAIN_STOP, *extra_stop})))
+    plain = retrieve.without_accents(F.lower(T.normalise_for_clustering(F.col(text), names)))
+    words = F.filter(F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~F.array_contains(stop, w))
+    rows = messages.select(key, words.alias("_w"))
+    pairs = F.when(F.size("_w") > 1, F.zip_with(F.slice("_w", F.lit(1), F.size("_w") - 1), F.slice("_w", F.lit(2), F.size("_w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+    tf = settle(rows.select(key, F.explode(F.concat("_w", pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")))
+    n = messages.count()
+    idf = tf.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+    w = tf.join(idf, "term").withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
+    return settle(w.select(key, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).alias("w")))
+
+
+def reduced(weights: DataFrame, key: str, dimensions: int = 120) -> tuple[DataFrame, list[str], object]:
+    """((key, vector of unit length), terms, V): the weights projected on their first singular vectors.
+
+    The vocabulary (bounded by min_df) is on the driver, rows are not. Spark's own SVD has no DataFrame form.
+    """
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    terms = [r.term for r in weights.select("term").distinct().orderBy("term").collect()]
+    if not terms:
+        raise ValueError("no term is in enough messages")
+    spark = weights.sparkSession
+    ids = spark.createDataFrame(list(zip(terms, range(len(terms)))), "term string, i int")
+    rows = weights.join(ids, "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("x"))
+    size = len(terms)
+    matrix = RowMatrix(rows.rdd.map(lambda r: Vectors.sparse(size, [(c.i, c.w) for c in r.x])), 0, size)
+    v = matrix.computeSVD(min(dimensions, size), computeU=False).V.toArray()
+    k = v.shape[1]
+    basis = spark.createDataFrame([(t, row.tolist()) for t, row in zip(terms, v)], "term string, b array<double>")
+    dims = [F.sum(F.col("w") * F.element_at("b", d + 1)).alias(f"d{d}") for d in range(k)]
+    summed = weights.join(basis, "term").groupBy(key).agg(*dims).select(key, F.array(*(f"d{d}" for d in range(k))).alias("x"))
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, x: s + x * x))
+    return summed.select(key, F.when(norm > 0, F.transform("x", lambda x: x / norm)).otherwise(F.col("x")).alias("vector")), terms, v
+
+
+def first_in_time(messages: DataFrame, *order: str, n: int = 6000) -> DataFrame:
+    return messages.orderBy(*order).limit(n)
+
+
+def induced(messages: DataFrame, key: str, k: int, text: str = "text", names: tuple[str, ...] = (), dimensions: int = 120, starts: int = 8, min_df: int = 8, max_df: float = 0.35) -> tuple[DataFrame, DataFrame]:
+    """((key, cluster_id, distance), one row a cluster with what a namer needs to see: size, share, top_terms, exemplars
+    nearest to its centre and spread_exemplars from the middle of the distance order on), in the messages' own wording."""
+    vectors, terms, v = reduced(cluster_terms(messages, key, text, names, min_df=min_df, max_df=max_df), key, dimensions)
+    rows = settle(kmeans(settle(vectors), "vector", k, starts))
+    size = v.shape[1]
+    centres = rows.groupBy("cluster_id").agg(F.count("*").alias("size"), F.array(*(F.avg(F.element_at("vector", d + 1)) for d in range(size))).alias("centre"))
+    centres = settle(centres)  # k rows
+    off = F.sqrt(F.aggregate(F.zip_with("vector", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    placed = settle(rows.join(centres, "cluster_id").select(key, "cluster_id", "size", off.alias("distance")))
+    ranked = placed.withColumn("place", F.row_number().over(Window.partitionBy("cluster_id").orderBy("distance", key)))
+    near, middle = F.col("place") <= 10, (F.col("place") > F.floor(F.col("size") / 2)) & (F.col("place") <= F.floor(F.col("size") / 2) + 4)
+    shown = ranked.where(near | middle).join(messages.select(key, T.truncated(F.col(text), 240).alias("said")), key)
+    said = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("place", "said")))), lambda x: x["said"])
+    examples = shown.groupBy("cluster_id").agg(said(near).alias("exemplars"), said(middle).alias("spread_exemplars"))
+    top = {r.cluster_id: [terms[i] for i in (v @ r.centre).argsort()[::-1][:12]] for r in centres.collect()}  # k rows
+    named = messages.sparkSession.createDataFrame(sorted(top.items()), "cluster_id int, top_terms array<string>")
+    n = sum(r["size"] for r in centres.select("size").collect())
+    out = centres.select("cluster_id", "size", F.round(F.col("size") / F.lit(n), 4).alias("share")).join(named, "cluster_id").join(examples, "cluster_id")
+    return placed.select(key, "cluster_id", "distance"), out
+
+
+def naming_prompts(clusters: DataFrame) -> DataFrame:
+    """(cluster_id, prompt) of induced() clusters, one request each."""
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n")
+    return clusters.select("cluster_id", F.concat_ws("\n", F.concat(F.lit("Messages in this group: "), F.col("size").cast("string")), F.concat(F.lit("Frequent terms: "), F.array_join("top_terms", ", ")), F.lit("Typical messages:"), listed("exemplars"), F.lit("Less typical ones:"), listed("spread_exemplars")).alias("prompt"))
+
+
+def consolidation_prompt(named: DataFrame) -> str:
+    """One request over all named clusters (name, size, summary); a few dozen rows, on the driver."""
+    rows = named.orderBy(F.desc("size"), "cluster_id").collect()
+    return "\n".join(f"{r.cluster_id}: {r['name']} ({r['size']} messages) {r.summary or ''}".rstrip() for r in rows)
+
+
+#: an arm is a function from (messages, key) to (key, intent, confidence)
+def majority_arm(train: DataFrame, label: str):
+    best = majority(train, label).first()
+    return lambda messages, key: messages.select(key, F.lit(best.label).alias("intent"), F.lit(best.share).cast("double").alias("confidence"))
+
+
+def logreg_arm(train: DataFrame, vector: str, label: str, c: float = 2.0):
+    """The classifier learned from weakly labelled rows; labels are numbered by their order."""
+    names = [r[label] for r in train.select(label).distinct().orderBy(label).collect()]  # intents
+    number = F.array_position(F.array(*map(F.lit, names)), F.col(label)) - 1
+    rows = train.withColumn("_label", number.cast("double"))
+
+    def predict(messages: DataFrame, key: str) -> DataFrame:
+        got = weak_logreg(rows, messages, vector, "_label", c)
+        return got.select(key, F.element_at(F.array(*map(F.lit, names)), F.col("prediction").cast("int") + 1).alias("intent"), "confidence")
+
+    return predict
+
+
+def train_baselines(assignment: DataFrame, intents: DataFrame, vectors: DataFrame, key: str = "msg_id", vector: str = "vector") -> dict:
+    """{name: arm} of both baselines, learned from weak labels; see weak_labels for the errors it raises."""
+    labelled = weak_labels(assignment, intents).join(vectors, key)
+    return {"majority": majority_arm(labelled, "intent"), "tfidf_logreg": logreg_arm(labelled, vector, "intent")}
+
+
+def third_vote(arm, messages: DataFrame, key: str) -> DataFrame:
+    """(key, intent) of an arm, or an empty vote for all if it cannot be had."""
+    try:
+        return arm()(messages, key).select(key, "intent")
+    except Exception:  # a vote less is no reason to stop labelling
+        return messages.select(key, F.lit("").alias("intent"))

@@ -117,6 +117,35 @@ def source_scorecard_top(spark, d):
     return source_scorecard(spark, d).select("source", "usable_score").orderBy(F.desc("usable_score"), "source").limit(5)
 
 
+def messages(spark, d):
+    """conversations as a message table: each turn answers the turn before it; three brands."""
+    c = table(spark, d, "conversations").where("role in ('user', 'assistant')").select("conv_id", "turn", "role", "text")
+    key = lambda t: F.col("conv_id") * 1000 + t
+    before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    author = F.when(F.col("role") == "user", F.concat(F.lit("c"), F.col("conv_id").cast("string"))).otherwise(F.concat(F.lit("brand"), (F.col("conv_id") % 3).cast("string")))
+    at = F.timestamp_seconds(F.lit(1_500_000_000) + F.col("conv_id") * 3600 + F.col("turn") * 60)
+    return c.select(key(F.col("turn")).alias("msg_id"), author.alias("author"), (F.col("role") == "user").alias("inbound"), at.alias("created_at"), "text", key(before).alias("parent_id"))
+
+
+MESSAGES = """WITH m AS (SELECT conv_id * 1000 + turn AS msg_id, CASE WHEN role = 'user' THEN concat('c', conv_id) ELSE concat('brand', conv_id % 3) END AS author, role = 'user' AS inbound, text,
+  conv_id * 1000 + lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS parent_id FROM conversations WHERE role IN ('user', 'assistant')),
+p AS (SELECT r.msg_id, r.author AS brand, r.text, r.parent_id, q.author AS customer, q.text AS p_text, q.parent_id AS grand FROM m r JOIN m q ON q.msg_id = r.parent_id WHERE NOT r.inbound AND q.inbound),
+t AS (SELECT parent_id AS msg_id, bool_or(regexp_matches(text, '{thanks}')) AS thanked, count(*) AS n FROM m WHERE inbound AND parent_id IS NOT NULL GROUP BY 1)"""
+
+
+@query()
+def corpus_episodes(spark, d):
+    e = corpus.episodes(messages(spark, d))
+    return e.select("episode_id", "brand", "customer_id", F.md5("customer_msg").alias("msg_md5"), F.md5("brand_reply").alias("reply_md5"), F.col("n_followups").cast("long").alias("n_followups"), "reply_is_deflection", "reply_is_ack_only", "reply_substantive", "customer_thanked")
+
+
+@query()
+def corpus_scorecard(spark, d):
+    s = corpus.scorecard(messages(spark, d), 1)
+    rates = ("deflect_rate", "ack_only_rate", "substantive_rate", "non_latin_rate", "thanks_rate", "multi_turn_rate", "usable_score")
+    return s.select("brand", "first_reply_pairs", "distinct_customers", *(r6(c).alias(c) for c in rates))
+
+
 # ---------------------------------------------------------------- text
 
 
@@ -124,6 +153,21 @@ DUCK = {k: v.replace("'", "''") for k, v in T.PATTERNS.items()}
 CLEAN = r"""trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(text, 'https?://[^\s]+', ' <url> ', 'g'), '@[\p{L}\p{N}_]+', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '\s+', ' ', 'g'))"""
 
 
+MESSAGES = MESSAGES.replace("{thanks}", DUCK["thanks"])
+clean = lambda c: CLEAN.replace("(text,", f"({c},")
+latin = lambda c: rf"coalesce(length(regexp_replace({c}, '[^A-Za-z]', '', 'g')) / nullif(length(regexp_replace({c}, '[^\p{{L}}]', '', 'g')), 0), 0.0)"
+FLAGS = f"regexp_matches(r, '{DUCK['deflection']}') AS deflects, regexp_matches(r, '{DUCK['ack_only']}') AS acks, length(r) >= 60 AS long"
+ORACLE_SQL["corpus_episodes"] = MESSAGES + f""", x AS (SELECT parent_id AS episode_id, brand, customer AS customer_id, {clean('p_text')} AS c, {clean('text')} AS r, coalesce(t.n, 0) AS n, coalesce(thanked, FALSE) AS thanked FROM p LEFT JOIN t ON t.msg_id = p.msg_id WHERE grand IS NULL)
+SELECT episode_id, brand, customer_id, md5(c) AS msg_md5, md5(r) AS reply_md5, CAST(n AS BIGINT) AS n_followups, deflects AS reply_is_deflection, acks AS reply_is_ack_only, NOT deflects AND NOT acks AND long AS reply_substantive, thanked AS customer_thanked
+FROM (SELECT *, {FLAGS} FROM x) WHERE length(c) >= 12 AND {latin('c')} >= 0.6"""
+ORACLE_SQL["corpus_scorecard"] = MESSAGES + f""", x AS (SELECT brand, customer, {clean('text')} AS r, {latin('p_text')} AS ratio, thanked, t.msg_id IS NOT NULL AS again FROM p LEFT JOIN t ON t.msg_id = p.msg_id),
+c AS (SELECT brand, count(*) AS first_reply_pairs, count(DISTINCT customer) AS distinct_customers, avg(deflects::INT) AS deflect_rate, avg(acks::INT) AS ack_only_rate, avg((NOT deflects AND NOT acks AND long)::INT) AS substantive_rate,
+  avg((ratio < 0.6)::INT) AS non_latin_rate, avg(coalesce(thanked, FALSE)::INT) AS thanks_rate, avg(again::INT) AS multi_turn_rate FROM (SELECT *, {FLAGS} FROM x) GROUP BY 1),
+v AS (SELECT *, least(1.0, (log10(first_reply_pairs) - min(log10(first_reply_pairs)) OVER ()) / greatest(max(log10(first_reply_pairs)) OVER () - min(log10(first_reply_pairs)) OVER (), 1e-9)) AS vol FROM c)
+SELECT brand, first_reply_pairs, distinct_customers, round(deflect_rate, 6) AS deflect_rate, round(ack_only_rate, 6) AS ack_only_rate, round(substantive_rate, 6) AS substantive_rate, round(non_latin_rate, 6) AS non_latin_rate, round(thanks_rate, 6) AS thanks_rate, round(multi_turn_rate, 6) AS multi_turn_rate,
+  round(0.45 * substantive_rate + 0.15 * vol + 0.15 * (1 - non_latin_rate) + 0.10 * least(thanks_rate, 0.15) / 0.15 + 0.15 * least(multi_turn_rate, 0.6) / 0.6, 6) AS usable_score FROM v"""
+
+
 @query(f"SELECT doc_id, md5({CLEAN}) AS clean_md5, length({CLEAN}) AS n FROM documents")
 def text_clean(spark, d):
     c = T.clean_text(F.col("text"))
@@ -135,15 +179,42 @@ def text_latin_ratio(spark, d):
     return table(spark, d, "documents").select("doc_id", r6(T.latin_ratio(F.col("text"))).alias("latin_ratio"))
 
 
-@query("SELECT doc_id, " + ", ".join(f"regexp_matches(text, '{DUCK[p]}') AS {p}" for p in ("money", "safety", "sarcasm", "existing_case", "multi_question", "legal", "thanks", "deflection")) + " FROM documents")
+SIGNALS = ("thanks", "deflection", "ack_only", "asks_service", "gives_service")
+
+
+@query("SELECT doc_id, " + ", ".join(f"regexp_matches(text, '{DUCK[p]}') AS {p}" for p in SIGNALS) + ", concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '{DUCK[p]}') THEN '{p}' END" for p in T.PROBES) + ") AS probes FROM documents")
 def text_probe_hits(spark, d):
-    return table(spark, d, "documents").select("doc_id", *(T.hit(p, F.col("text")).alias(p) for p in ("money", "safety", "sarcasm", "existing_case", "multi_question", "legal", "thanks", "deflection")))
+    return table(spark, d, "documents").select("doc_id", *(T.hit(p, F.col("text")).alias(p) for p in SIGNALS), F.array_join(T.probe_hits(F.col("text")), ",").alias("probes"))
+
+
+#: short messages that fire every signal, and some that must not
+SAID = """my wife collapsed on the platform|please share your order number with us|Oh no!|it is all good now|someone fainted here|they were racist to me|has there been any update|I chased this and heard nothing
+as per my DM of last week|a legal matter now|my complaint to the operator|a refund of ten|a refund please|I was charged £12|well done, late again|well done everyone|<url>|look at this <url>|why? and when?|what time is it
+the 16:29 from Swansea to Cardiff|we got to the station|which train was it|your train will be delayed|it is due running soon|it departs at noon|report this to our desk|use the link below|The gate is open""".replace("\n", "|").split("|")
+SAID_SQL = "said(id, text) AS (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(SAID)) + ")"
+
+
+def said(spark):
+    return spark.createDataFrame(list(enumerate(SAID)), "id long, text string")
+
+
+@query(f"WITH {SAID_SQL} SELECT CAST(id AS BIGINT) AS id, " + ", ".join(f"regexp_matches(text, '{DUCK[p]}') AS {p}" for p in SIGNALS) + ", concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '{DUCK[p]}') THEN '{p}' END" for p in T.PROBES) + ") AS probes FROM said")
+def text_signal_sentences(spark, d):
+    return said(spark).select("id", *(T.hit(p, F.col("text")).alias(p) for p in SIGNALS), F.array_join(T.probe_hits(F.col("text")), ",").alias("probes"))
 
 
-@query(f"SELECT conv_id, turn, length(text) AS length, length(text) > 280 AS over_length, len(regexp_extract_all(text, '{DUCK['live_claim']}'))[1] IS NOT NULL AS x, trim(text) = '' AS empty FROM conversations".replace("len(regexp_extract_all(text, '" + DUCK["live_claim"] + "'))[1] IS NOT NULL AS x", f"CAST(len(regexp_extract_all(text, '{DUCK['live_claim']}')[1:5]) AS BIGINT) AS claims"))
+@query(f"""WITH {SAID_SQL} SELECT CAST(a.id AS BIGINT) AS reply_id, CAST(b.id AS BIGINT) AS msg_id FROM said a, said b WHERE regexp_matches(a.text, '{DUCK['asks_service']}') AND regexp_matches(b.text, '{DUCK['gives_service']}')""")
+def text_asks_already_given(spark, d):
+    a, b = said(spark), said(spark)  # 29 literals each
+    pairs = a.select(F.col("id").alias("reply_id"), F.col("text").alias("reply")).crossJoin(b.select(F.col("id").alias("msg_id"), F.col("text").alias("msg")))
+    return pairs.where(T.asks_for_already_given(F.col("reply"), F.col("msg"))).select("reply_id", "msg_id")
+
+
+@query(EPISODES + f""" SELECT conv_id, CAST(length(brand_reply) AS BIGINT) AS length, length(brand_reply) > 280 AS over_length, CAST(len(regexp_extract_all(brand_reply, '{DUCK['concrete_claim']}')[1:5]) AS BIGINT) AS claims,
+  regexp_matches(brand_reply, '{DUCK['reply_deflection']}') AS deflects, length(customer_msg) > 30 AND contains(lower(brand_reply), lower(left(customer_msg, 30))) AS echoes, trim(brand_reply) = '' AS empty FROM e""")
 def text_automated_flags(spark, d):
-    f = T.automated_flags(F.col("text"), F.lit(""))
-    return table(spark, d, "conversations").select("conv_id", "turn", f.alias("f")).select("conv_id", "turn", F.col("f.length").cast("long").alias("length"), "f.over_length", F.size("f.claims").cast("long").alias("claims"), "f.empty")
+    f = conversation_episodes(spark, d).select("conv_id", T.automated_flags(F.col("brand_reply"), F.col("customer_msg")).alias("f"))
+    return f.select("conv_id", F.col("f.length").cast("long").alias("length"), "f.over_length", F.size("f.claims").cast("long").alias("claims"), "f.deflects", "f.echoes", "f.empty")
 
 
 @query(f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{DUCK['live_claim']}')) AS BIGINT) AS n_claims, array_to_string(regexp_extract_all(text, '{DUCK['live_claim']}'), '|') AS claims FROM documents")
@@ -158,9 +229,9 @@ def text_novel_claims(spark, d):
     return conversation_episodes(spark, d).select("conv_id", F.size(T.novel_live_claims(F.col("brand_reply"), F.col("customer_msg"))).cast("long").alias("n_novel"))
 
 
-@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\b[0-9]{1,2}[:.][0-9]{2}\b', '<time>', 'g'), '\b[0-9]+\b', '<num>', 'g')) AS normal_md5 FROM documents WHERE lang = 'en'")
+@query(r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '""" + DUCK["clock"] + r"""', ' <time> ', 'g'), '\b\d+\b', ' <num> ', 'g'), '\s+', ' ', 'g'))) AS normal_md5 FROM documents""")
 def text_cluster_normal(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.md5(T.normalise_for_clustering(F.col("text"))).alias("normal_md5"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.normalise_for_clustering(F.col("text"))).alias("normal_md5"))
 
 
 # ---------------------------------------------------------------- time splits, set operations, resume
@@ -218,6 +289,26 @@ def strata_adversarial(spark, d):
     return sample.adversarial(table(spark, d, "labels").select("doc_id", probes.alias("probes")), "doc_id", "probes", 40, 13).select("doc_id", "probe", F.col("rn").cast("long").alias("rn"))
 
 
+@query("""WITH n AS (SELECT doc_id FROM documents ORDER BY md5(concat_ws('|', CAST(doc_id AS VARCHAR), 'natural')), doc_id LIMIT 20),
+t AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n) ORDER BY n_chars, doc_id LIMIT 10), p AS (SELECT doc_id, 'natural' AS stratum FROM n UNION ALL SELECT doc_id, 'adversarial' FROM t)
+SELECT doc_id, printf('%s%03d', upper(left(stratum, 1)), row_number() OVER (ORDER BY doc_id) - 1) AS example_id FROM p""")
+def pool_topped_up(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
+    chosen = sample.uniform(docs.select("doc_id"), "doc_id", 20).withColumn("stratum", F.lit("natural"))
+    pool = sample.topped_up(chosen, docs.withColumn("stratum", F.lit("adversarial")), "doc_id", "n_chars", 30)
+    return sample.example_ids(pool, "doc_id").select("doc_id", "example_id")
+
+
+@query("SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region")
+def union_all_keys(spark, d):
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("k")).unionByName(table(spark, d, "region").select(F.col("r_regionkey").alias("k")))
+
+
+@query("SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark, d):
+    return files.duplicates(table(spark, d, "documents"), "source", "lang")
+
+
 U = "CAST(concat('0x', substr(md5(concat_ws('|', {})), 1, 8)) AS BIGINT) / 4294967296.0"
 
 
@@ -235,42 +326,59 @@ def balanced_blind_sample(spark, d):
 # ---------------------------------------------------------------- retrieval
 
 
-def tfidf(spark, d, terms):
-    w, idf = retrieve.index(table(spark, d, "documents").select("doc_id", "text"), "doc_id", terms(F.col("text")))
-    return retrieve.search(table(spark, d, "benchmark").select("item_id", "text"), "item_id", terms(F.col("text")), w, idf, "doc_id")
+def tfidf(spark, d, *blocks):
+    index = retrieve.fit(table(spark, d, "documents").select("doc_id", "text"), "doc_id", blocks)
+    return retrieve.search(index, table(spark, d, "benchmark").select("item_id", "text"), "item_id")
 
 
-TFIDF = """tf AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY 1, 2), idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1 HAVING count(*) >= 2),
-w0 AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (term)), w AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w0),
-qf AS (SELECT item_id, term, count(*) AS tf FROM qt GROUP BY 1, 2), q0 AS (SELECT item_id, term, (1 + ln(tf)) * idf AS w FROM qf JOIN idf USING (term)), q AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS wq FROM q0),
-s AS (SELECT item_id, doc_id, round(sum(wq * w), 6) AS score FROM q JOIN w USING (term) GROUP BY 1, 2),
-top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s)"""
-WORDS = "WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS ws FROM documents), b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS ws FROM benchmark),\n" + ", ".join(
-    f"{o} AS (SELECT {k}, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM {t})" for o, k, t in (("dt", "doc_id", "d"), ("qt", "item_id", "b"))
-)
+def ranked(df):
+    return df.select("item_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(WORDS + ",\n" + TFIDF + " SELECT item_id, round(score, 4) AS score, rank FROM top WHERE rank <= 4")
-def tfidf_word_topk(spark, d):
-    return tfidf(spark, d, retrieve.word_terms).select("item_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+# terms of both tables, block by block: words and their pairs; characters in padded words
+WORDS = r"SELECT {k}, 0 AS block, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM (SELECT {k}, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}_]{{2,}}') AS ws FROM {t})"
+CHARS = r"SELECT {k}, 1 AS block, unnest(flatten(list_transform([3, 4, 5], lambda n: CASE WHEN n <= length(w) THEN list_transform(range(1, length(w) - n + 2), lambda i: substring(w, i, n)) ELSE [] END))) AS term FROM (SELECT {k}, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) || ' ' AS w FROM {t})"
 
 
-@query(WORDS + ",\n" + TFIDF + " SELECT item_id, count(*) AS n, round(max(score), 4) AS best FROM top WHERE rank <= 1 AND score >= 0.22 GROUP BY 1")
-def nn_reply(spark, d):
-    """The nearest-neighbour baseline: the best precedent, if it is near enough."""
-    got = tfidf(spark, d, retrieve.word_terms).where("rank = 1 and score >= 0.22")
-    return got.groupBy("item_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 4).alias("best"))
+def tfidf_sql(*blocks: str) -> str:
+    terms = lambda k, t: " UNION ALL ".join(b.format(k=k, t=t) for b in blocks)
+    return f"""WITH dt AS ({terms('doc_id', 'documents')}), qt AS ({terms('item_id', 'benchmark')}),
+tf AS (SELECT doc_id, block, term, count(*) AS tf FROM dt GROUP BY ALL), idf AS (SELECT block, term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY ALL HAVING count(*) >= CASE block WHEN 0 THEN 2 ELSE 3 END),
+w0 AS (SELECT doc_id, block, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (block, term)), n AS (SELECT doc_id, block, sqrt(sum(w * w)) AS norm FROM w0 GROUP BY ALL), bd AS (SELECT doc_id, count(*) AS bd FROM n GROUP BY 1),
+qf AS (SELECT item_id, block, term, count(*) AS tf FROM qt GROUP BY ALL), q0 AS (SELECT item_id, block, term, (1 + ln(tf)) * idf AS w FROM qf JOIN idf USING (block, term)),
+q AS (SELECT item_id, block, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id, block)) AS wq FROM q0), bq AS (SELECT item_id, count(DISTINCT block) AS bq FROM q GROUP BY 1),
+s0 AS (SELECT item_id, doc_id, sum(wq * w / norm) AS product FROM q JOIN w0 USING (block, term) JOIN n USING (doc_id, block) GROUP BY 1, 2),
+s AS (SELECT item_id, doc_id, round(product / sqrt(bq * bd), 6) AS score FROM s0 JOIN bq USING (item_id) JOIN bd USING (doc_id)),
+top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) """
 
 
-@query()
+@query(tfidf_sql(WORDS) + "SELECT item_id, score, rank FROM top WHERE rank <= 4")
+def tfidf_word_topk(spark, d):
+    return ranked(tfidf(spark, d, retrieve.WORDS))
+
+
+@query(tfidf_sql(CHARS.replace("1 AS block", "0 AS block")).replace("CASE block WHEN 0 THEN 2 ELSE 3 END", "3") + "SELECT item_id, score, rank FROM top WHERE rank <= 4")
 def tfidf_char_topk(spark, d):
-    return tfidf(spark, d, retrieve.char_terms)
+    return ranked(tfidf(spark, d, retrieve.CHARS))
 
 
-@query()
+@query(tfidf_sql(WORDS, CHARS) + "SELECT item_id, score, rank FROM top WHERE rank <= 4")
 def tfidf_combined_topk(spark, d):
-    docs, q = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text")
-    return retrieve.combined(q, docs, "item_id", "doc_id", [retrieve.word_terms(F.col("text")), retrieve.char_terms(F.col("text"))])
+    return ranked(tfidf(spark, d, retrieve.WORDS, retrieve.CHARS))
+
+
+PRECEDENTS = EPISODES + r""", ep AS (SELECT conv_id AS doc_id, customer_msg AS text, brand_reply FROM e WHERE length(brand_reply) >= 60), """
+
+
+@query(PRECEDENTS + tfidf_sql(WORDS)[5:].replace("FROM documents)", "FROM ep)") + """, found AS (SELECT item_id, brand_reply, score FROM top JOIN ep USING (doc_id) WHERE rank = 1 AND score >= 0.05)
+SELECT b.item_id, md5(coalesce(brand_reply, '')) AS reply_md5, round(coalesce(score, 0.0), 4) AS score, CASE WHEN score IS NULL THEN 'nn_empty' ELSE 'nearest_neighbour' END AS source FROM benchmark b LEFT JOIN found USING (item_id)""")
+def nn_reply(spark, d):
+    """The nearest-neighbour arm: the reply to the nearest precedent of those with a reply of substance."""
+    e = conversation_episodes(spark, d).select(F.col("conv_id").alias("doc_id"), F.col("customer_msg").alias("text"), "brand_reply")
+    long = e.where(F.length("brand_reply") >= 60)
+    index = retrieve.fit(e, "doc_id", (retrieve.WORDS,), usable=F.length("brand_reply") >= 60)
+    got = retrieve.nearest_replies(index, long, table(spark, d, "benchmark").select("item_id", "text"), "item_id", "brand_reply", 0.05)
+    return got.select("item_id", F.md5("reply").alias("reply_md5"), F.round("score", 4).alias("score"), "source")
 
 
 DENSE = """u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
@@ -322,7 +430,7 @@ def top_confusions(spark, d):
 # ---------------------------------------------------------------- statistics
 
 
-@query("SELECT lang AS label, round(n / sum(n) OVER (), 6) AS share FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1) ORDER BY n DESC, lang LIMIT 1".replace("SELECT lang AS label, round(n / sum(n) OVER (), 6) AS share FROM", "SELECT lang AS label, round(n / (SELECT count(*) FROM documents), 6) AS share FROM"))
+@query("SELECT lang AS label, round(n / (SELECT count(*) FROM documents), 6) AS share FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1) ORDER BY n DESC, lang LIMIT 1")
 def majority_baseline(spark, d):
     return learn.majority(table(spark, d, "documents").select("lang"), "lang")
 
@@ -334,7 +442,7 @@ def rated(spark, d):
 @query("""WITH r AS (SELECT quality AS a, CASE WHEN n_chars >= 800 THEN 1 ELSE 0 END AS b FROM labels JOIN documents USING (doc_id)),
 k AS (SELECT count(*) AS n, avg(CASE WHEN a = b THEN 1.0 ELSE 0 END) AS po, avg(a) * avg(b) + (1 - avg(a)) * (1 - avg(b)) AS pe FROM r),
 x AS (SELECT n, po, CASE WHEN abs(1 - pe) < 1e-12 THEN CASE WHEN po = 1 THEN 1.0 ELSE 0.0 END ELSE (po - pe) / (1 - pe) END AS k FROM k)
-SELECT n, round(po, 6) AS agreement, round(k, 6) AS kappa, CASE WHEN k < 0 THEN 'poor' WHEN k < 0.2 THEN 'slight' WHEN k < 0.4 THEN 'fair' WHEN k < 0.6 THEN 'moderate' WHEN k < 0.8 THEN 'substantial' ELSE 'almost perfect' END AS band FROM x""")
+SELECT n, round(po, 6) AS agreement, round(k, 6) AS kappa, CASE WHEN k < 0 THEN 'worse than chance' WHEN k < 0.2 THEN 'slight' WHEN k < 0.4 THEN 'fair' WHEN k < 0.6 THEN 'moderate' WHEN k < 0.8 THEN 'substantial' ELSE 'almost perfect' END AS band FROM x""")
 def kappa_labels(spark, d):
     return S.kappa(rated(spark, d), "quality", "guess")
 
@@ -388,7 +496,7 @@ def selective_operating_point(spark, d):
 
 @query(ACTED + SELECTIVE.format(by="event_type,", group="GROUP BY event_type"))
 def selective_by_stratum(spark, d):
-    return S.selective(acted(spark, d), "event_type")
+    return evaluate.selective_tables(acted(spark, d), "event_type")
 
 
 @query("SELECT coalesce(lang, 'all') AS lang, count(*) AS n, round(avg(CASE WHEN quality = CASE WHEN n_chars >= 800 THEN 1 ELSE 0 END THEN 1 ELSE 0 END), 6) AS agreement FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)")
@@ -413,8 +521,8 @@ NAMES = [i[0] for i in policy.INTENTS]
 def drafts(spark, d):
     c = table(spark, d, "labels").select("doc_id", "quality", "toxic")
     k = lambda m: F.pmod(F.col("doc_id") * m, F.lit(100))
-    msg = F.when(k(13) < 5, "my lawyer will hear of this").when(k(13) < 10, "I want a refund").when(k(13) < 14, "a dangerous door").when(k(13) < 17, "still waiting for an answer").when(k(13) < 19, "<url>").otherwise("when does my train leave from the station")
-    reply = F.when(k(29) < 4, F.lit(None).cast("string")).when(k(29) < 8, "  ").when(k(29) < 25, "It is running from platform 4").otherwise("Please ask the staff at the gate")
+    msg = F.when(k(13) < 5, "my solicitor will hear of this").when(k(13) < 10, "I want a refund of 20 pounds").when(k(13) < 14, "an unsafe door").when(k(13) < 17, "still waiting for an answer").when(k(13) < 19, "<url>").when(k(13) < 60, "the 16:29 from Swansea to Cardiff was full").otherwise("when does my bus leave")
+    reply = F.when(k(29) < 4, F.lit(None).cast("string")).when(k(29) < 8, "  ").when(k(29) < 25, "It is running from platform 4").when(k(29) < 30, "Send us a DM please").when(k(29) < 33, F.repeat(F.lit("long "), F.lit(60))).when(k(29) < 50, "Which train was this").otherwise("Please ask the staff at the gate")
     intent = F.element_at(F.array(*map(F.lit, [*NAMES, "no such intent"])), (F.pmod(F.col("doc_id"), F.lit(13)) + 1).cast("int"))
     return c.select("doc_id", msg.alias("msg"), intent.alias("intent"), (F.pmod(F.col("doc_id") * 7919, F.lit(100)) / 100.0).alias("confidence"), reply.alias("reply"), (F.pmod(F.col("doc_id") * 31, F.lit(60)) / 100.0).alias("score"), (F.pmod(F.col("doc_id"), F.lit(11)) == 0).alias("self_report"), "quality", "toxic")
 
@@ -429,8 +537,8 @@ d0 AS (SELECT doc_id, quality, toxic, {m} AS m, {r} AS r, [{', '.join(f"'{n}'" f
 f AS (SELECT d0.*, cfg.*, coalesce(disposition, '') AS disposition FROM d0 LEFT JOIN tax USING (intent) CROSS JOIN cfg),
 x AS (SELECT *, CASE WHEN block_on_safety AND m >= 10 AND m < 14 THEN 'R1-safety' WHEN block_on_legal AND m < 5 THEN 'R2-legal' WHEN block_on_money AND m >= 5 AND m < 10 THEN 'R3-money' WHEN block_on_existing_case AND m >= 14 AND m < 17 THEN 'R4-existing-case'
  WHEN block_on_unreadable AND m >= 17 AND m < 19 THEN 'R5-unreadable' WHEN use_intent_policy AND disposition = 'escalate' THEN 'R6-intent-policy' WHEN confidence < min_confidence THEN 'R7-low-confidence' WHEN r < 4 THEN 'R8-no-draft'
- WHEN block_live_claims AND (self_report OR (r >= 8 AND r < 25)) THEN 'R9-live-claim' WHEN score < min_score THEN 'R10-weak-grounding' WHEN r >= 4 AND r < 8 THEN 'R11-empty-draft' WHEN disposition = 'auto' THEN 'R12-auto-eligible' ELSE 'R13-default-assist' END AS rule FROM f),
-routed AS (SELECT *, CASE WHEN rule IN ('R8-no-draft', 'R10-weak-grounding', 'R13-default-assist') THEN 'assist' WHEN rule = 'R12-auto-eligible' THEN 'auto' ELSE 'escalate' END AS action FROM x) """
+ WHEN block_live_claims AND (self_report OR (r >= 8 AND r < 25)) THEN 'R9-live-claim' WHEN block_unresponsive AND r >= 33 AND r < 50 AND m >= 19 AND m < 60 THEN 'R9b-unresponsive' WHEN score < min_score THEN 'R10-weak-grounding' WHEN r >= 4 AND r < 8 THEN 'R11-empty-draft' WHEN disposition = 'auto' THEN 'R12-auto-eligible' ELSE 'R13-default-assist' END AS rule FROM f),
+routed AS (SELECT *, CASE WHEN rule IN ('R8-no-draft', 'R9b-unresponsive', 'R10-weak-grounding', 'R13-default-assist') THEN 'assist' WHEN rule = 'R12-auto-eligible' THEN 'auto' ELSE 'escalate' END AS action FROM x) """
 
 
 def routed(spark, d, configs):
@@ -439,12 +547,19 @@ def routed(spark, d, configs):
 
 DEFAULT = [policy.config_row("default")]
 SWEEP = [policy.config_row(f"conf={c:.2f} score={s:.2f}", c, s) for c in (0.35, 0.45, 0.55, 0.65, 0.75, 0.85) for s in (0.20, 0.28, 0.36)]
-ABLATIONS = [policy.config_row("default"), policy.config_row("no text blocks", off=policy.GUARDS[:5]), policy.config_row("no intent policy", off=("use_intent_policy",)), policy.config_row("no confidence floor", 0.0), policy.config_row("no live-claim check", off=("block_live_claims", "block_unresponsive")), policy.config_row("no grounding floor", score=0.0), policy.config_row("all guards off", 0.0, 0.0, policy.GUARDS)]
+ON = (True,) * len(policy.GUARDS)
+without = lambda guard: tuple(g != guard for g in policy.GUARDS)
+ABLATIONS = [
+    ("ablate_none", 0.55, 0.22, *ON), ("ablate_live_claim", 0.55, 0.22, *without("block_live_claims")), ("ablate_unresponsive", 0.55, 0.22, *without("block_unresponsive")), ("ablate_money", 0.55, 0.22, *without("block_on_money")),
+    ("ablate_safety", 0.55, 0.22, *without("block_on_safety")), ("ablate_intent_policy", 0.55, 0.22, *without("use_intent_policy")), ("ablate_all_guards", 0.0, 0.0, *(False,) * len(policy.GUARDS)),
+]
 
 
-@query(routed_sql(DEFAULT) + "SELECT doc_id, action, rule FROM routed")
+@query(routed_sql(DEFAULT) + """SELECT doc_id, action, rule, CASE rule WHEN 'R7-low-confidence' THEN printf('Intent confidence %.2f is below %.2f.', confidence, min_confidence) WHEN 'R10-weak-grounding' THEN printf('Best precedent similarity %.2f is below %.2f.', score, min_score)
+  WHEN 'R6-intent-policy' THEN concat('Intent ', chr(39), intent, chr(39), ' always goes to a human.') END AS reason FROM routed""")
 def router_decisions(spark, d):
-    return routed(spark, d, policy.default_config(spark)).select("doc_id", "action", "rule")
+    shown = F.when(F.col("rule").isin("R7-low-confidence", "R10-weak-grounding", "R6-intent-policy"), F.col("reason"))
+    return routed(spark, d, policy.default_config(spark)).select("doc_id", "action", "rule", shown.alias("reason"))
 
 
 @query(routed_sql(DEFAULT) + "SELECT rule, action, count(*) AS n FROM routed GROUP BY 1, 2")
@@ -470,26 +585,114 @@ def router_ablation(spark, d):
     return counted(routed(spark, d, policy.ablations(spark)))
 
 
-@query("SELECT 0.529 AS live_share, 2 AS n_auto")
+@query(routed_sql(DEFAULT) + "SELECT round(sum(prior_share) FILTER (live), 6) AS live_share, count_if(disposition = 'auto') AS n_auto FROM tax")
 def live_traffic_share(spark, d):
-    return policy.live_share(policy.taxonomy(spark)).select(F.round("live_share", 6).cast("decimal(4,3)").alias("live_share"), F.size("auto_eligible").alias("n_auto"))
+    return policy.live_share(policy.taxonomy(spark)).select("live_share", F.size("auto_eligible").cast("long").alias("n_auto"))
+
+
+@query(routed_sql(DEFAULT) + "SELECT doc_id, CASE WHEN intent IN (SELECT intent FROM tax) THEN intent ELSE 'other' END AS intent, CASE WHEN intent IN (SELECT intent FROM tax) THEN confidence ELSE 0 END AS confidence FROM d0")
+def predictions_in_taxonomy(spark, d):
+    return policy.valid_or_other(drafts(spark, d).select("doc_id", "intent", "confidence"), policy.taxonomy(spark)).select("doc_id", "intent", F.col("confidence").cast("double").alias("confidence"))
 
 
 # ---------------------------------------------------------------- evaluation
 
 
-@query("""WITH v AS (SELECT doc_id, doc_id % 3 AS a, (doc_id // 3) % 3 AS b, (doc_id // 9) % 3 AS c, (doc_id // 27) % 3 AS e, toxic = 1 AS cat, quality = 1 AS ok FROM labels),
-o AS (SELECT *, CASE WHEN cat AND ok THEN 'catastrophic cannot be sent' WHEN a = 0 AND ok THEN 'unsafe cannot be sent' WHEN b = 0 AND ok THEN 'does not address the need' END AS override_reason FROM v)
-SELECT doc_id, ok AND override_reason IS NULL AS acceptable_to_send, override_reason, round((a + b + c + e) / 8, 6) AS composite FROM o""")
+def verdicts(spark, d):
+    """A verdict for every labelled document: ordinals from the digits of doc_id in base 3, three arms, two strata."""
+    arm, stratum = F.element_at(F.array(*map(F.lit, ("canned", "nearest", "grounded"))), (F.col("doc_id") % 3 + 1).cast("int")), F.when(F.col("doc_id") % 5 == 0, "adversarial").otherwise("natural")
+    digits = ((F.floor(F.col("doc_id") / n) % 3).cast("string").alias(c) for n, c in zip((1, 3, 9, 27), evaluate.ORDINALS))
+    rows = table(spark, d, "labels").select("doc_id", arm.alias("arm"), stratum.alias("stratum"), *digits, (F.col("toxic") == 1).alias("catastrophic"), (F.col("quality") == 1).alias("acceptable_to_send"), F.when(F.col("doc_id") % 19 == 0, "TimeoutError").alias("error"))
+    return evaluate.consistent(rows)
+
+
+VERDICTS = """WITH v AS (SELECT doc_id, ['canned', 'nearest', 'grounded'][doc_id % 3 + 1] AS arm, CASE WHEN doc_id % 5 = 0 THEN 'adversarial' ELSE 'natural' END AS stratum, doc_id % 3 AS a, (doc_id // 3) % 3 AS b, (doc_id // 9) % 3 AS c, (doc_id // 27) % 3 AS e,
+  toxic = 1 AS cat, quality = 1 AS said, doc_id % 19 = 0 AS failed FROM labels),
+o AS (SELECT *, CASE WHEN NOT said THEN NULL WHEN cat THEN 'marked catastrophic yet acceptable' WHEN a = 0 THEN 'factual_safety=0 yet acceptable' WHEN b = 0 AND c = 0 THEN 'answers nothing and offers nothing yet acceptable' END AS override_reason, (a + b + c + e) / 8 AS composite FROM v),
+x AS (SELECT *, said AND override_reason IS NULL AS ok FROM o)"""
+W = "(1 + 3.8416 / n)"
+low_sql = lambda p: f"round(greatest(0.0, ({p} + 3.8416 / (2 * n) - 1.96 * sqrt({p} * (1 - {p}) / n + 3.8416 / (4 * n * n))) / {W}), 4)"
+high_sql = lambda p: f"round(least(1.0, ({p} + 3.8416 / (2 * n) + 1.96 * sqrt({p} * (1 - {p}) / n + 3.8416 / (4 * n * n))) / {W}), 4)"
+
+
+@query(VERDICTS + " SELECT doc_id, ok AS acceptable_to_send, override_reason, round(composite, 6) AS composite FROM x")
 def judge_consistency(spark, d):
-    v = table(spark, d, "labels").select("doc_id", *((F.floor(F.col("doc_id") / n) % 3).cast("string").alias(c) for n, c in zip((1, 3, 9, 27), evaluate.ORDINALS)), (F.col("toxic") == 1).alias("catastrophic"), (F.col("quality") == 1).alias("acceptable_to_send"))
-    return evaluate.consistent(v).select("doc_id", "acceptable_to_send", "override_reason", r6("composite").alias("composite"))
+    return verdicts(spark, d).select("doc_id", "acceptable_to_send", "override_reason", r6("composite").alias("composite"))
+
+
+@query(VERDICTS + f""", g AS (SELECT arm, count(*) AS n, avg(ok::INT) AS p, avg(cat::INT) AS q, round(avg(a), 3) AS mean_factual_safety, round(avg(b), 3) AS mean_addresses_need, round(avg(c), 3) AS mean_actionability, round(avg(e), 3) AS mean_tone_fit, round(avg(composite), 3) AS mean_composite,
+  count_if(override_reason IS NOT NULL)::BIGINT AS overrides, count_if(failed)::BIGINT AS errors FROM x WHERE stratum = 'natural' GROUP BY 1)
+SELECT arm, n, round(p, 4) AS acceptable_rate, round(q, 4) AS catastrophic_rate, {low_sql('p')} AS acceptable_low, {high_sql('p')} AS acceptable_high, {low_sql('q')} AS catastrophic_low, {high_sql('q')} AS catastrophic_high, * EXCLUDE (arm, n, p, q) FROM g""")
+def judge_by_arm(spark, d):
+    return evaluate.judge_table(evaluate.only_stratum(evaluate.measured(verdicts(spark, d)).where("stratum = 'natural'"), "stratum", "natural"), "arm")
+
+
+@query(VERDICTS + " SELECT count(*) AS n, count_if(override_reason IS NOT NULL)::BIGINT AS overrides, round(avg((override_reason IS NOT NULL)::INT), 6) AS rate FROM x")
+def judge_overrides(spark, d):
+    return evaluate.override_total(verdicts(spark, d))
+
 
+@query(VERDICTS + """, h AS (SELECT doc_id, arm, said, ok, cat, doc_id % 4 <> 0 AS hum, doc_id % 7 = 0 AS hcat FROM x WHERE doc_id % 2 = 0)
+SELECT arm, count(*) AS n, round(avg(hum::INT), 4) AS human_acceptable_rate, round(avg(ok::INT), 4) AS judge_acceptable_rate, count_if(ok AND NOT hum)::BIGINT AS judge_more_permissive, count_if(hum AND NOT ok)::BIGINT AS human_more_permissive,
+  round(avg((hum = ok)::INT), 4) AS agreement, round(avg((hcat = cat)::INT), 4) AS catastrophic_agreement FROM h GROUP BY 1""")
+def judge_against_human(spark, d):
+    human = table(spark, d, "labels").where("doc_id % 2 = 0").select("doc_id", (F.col("doc_id") % 4 != 0).alias("human_acceptable"), (F.col("doc_id") % 7 == 0).alias("human_catastrophic"))
+    return evaluate.judge_vs_human(human, verdicts(spark, d), "doc_id", by="arm")
 
-@query(routed_sql(DEFAULT) + """, m AS (SELECT count(*) AS denominator, count_if(r >= 8 AND r < 25) AS invented_fact, count_if(r >= 8 AND r < 25 AND NOT self_report) AS misreport, count_if(score < 0.22) AS weak_grounding, 0 AS deflection, 0 AS over_length, count_if(r < 8) AS empty, count_if(toxic = 1) AS catastrophic, count_if(toxic = 1 AND action = 'auto') AS router_escape FROM routed)
-SELECT mode, CAST(n AS BIGINT) AS n, denominator, round(n / denominator, 6) AS rate FROM (UNPIVOT (SELECT denominator, invented_fact::BIGINT AS invented_fact, misreport::BIGINT AS misreport, weak_grounding::BIGINT AS weak_grounding, deflection::BIGINT AS deflection, over_length::BIGINT AS over_length, empty::BIGINT AS empty, catastrophic::BIGINT AS catastrophic, router_escape::BIGINT AS router_escape FROM m) ON invented_fact, misreport, weak_grounding, deflection, over_length, empty, catastrophic, router_escape INTO NAME mode VALUE n)""")
+
+@query(routed_sql(DEFAULT) + """, j AS (SELECT doc_id, quality = 1 AS ok FROM labels WHERE doc_id % 3 <> 0)
+SELECT r.doc_id, action, ok AS acceptable_to_send FROM routed r LEFT JOIN j USING (doc_id)""")
+def drafts_with_verdicts(spark, d):
+    some = table(spark, d, "labels").where("doc_id % 3 <> 0").select("doc_id", (F.col("quality") == 1).alias("acceptable_to_send"))
+    return evaluate.with_verdicts(routed(spark, d, policy.default_config(spark)), some, "doc_id").select("doc_id", "action", "acceptable_to_send")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE source IN (SELECT source FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1 HAVING count(DISTINCT lang) = 2)")
+def rows_of_complete_arms(spark, d):
+    return evaluate.complete_arms(table(spark, d, "documents").select("doc_id", "lang", "source"), "source", "lang", ("en", "fr")).select("doc_id", "lang")
+
+
+REPORT_BY = """c AS (SELECT arm, lang, t, p, count(*) AS n FROM r GROUP BY ALL), s AS (SELECT arm, lang, t AS label, sum(n) AS support, sum(CASE WHEN t = p THEN n ELSE 0 END) AS tp FROM c GROUP BY ALL), q AS (SELECT arm, lang, p AS label, sum(n) AS predicted FROM c GROUP BY ALL),
+f AS (SELECT *, round(2 * tp / (support + coalesce(predicted, 0)), 4) AS f1 FROM s LEFT JOIN q USING (arm, lang, label)) SELECT arm, lang, CAST(sum(support) AS BIGINT) AS n, round(sum(tp) / sum(support), 4) AS accuracy, round(avg(f1), 6) AS macro_f1 FROM f GROUP BY 1, 2"""
+
+
+@query("WITH r AS (SELECT lang, quality AS t, unnest(['length', 'toxic']) AS arm, unnest([CASE WHEN n_chars >= 800 THEN 1 ELSE 0 END, 1 - toxic]) AS p FROM labels JOIN documents USING (doc_id)), " + REPORT_BY)
+def classification_by_arm(spark, d):
+    rows = rated(spark, d).withColumn("other", 1 - F.col("toxic")).select("lang", F.col("quality").cast("int").alias("quality"), "guess", F.col("other").cast("int").alias("other"))
+    return evaluate.classification_tables(rows, "quality", {"length": "guess", "toxic": "other"}, "lang")
+
+
+@query()
+def classification_with_intervals(spark, d):
+    return S.classification_report(nearest_labels(spark, d), "y_true", "y_pred")
+
+
+@query()
+def kappa_with_interval(spark, d):
+    return S.kappa_with_interval(rated(spark, d), "quality", "guess")
+
+
+@query("SELECT lang, count(*) AS n, round(count(*) / (SELECT count(*) FROM documents), 4) AS share FROM documents GROUP BY 1")
+def language_counts(spark, d):
+    return S.value_counts(table(spark, d, "documents").select("lang"), "lang")
+
+
+@query(routed_sql(DEFAULT) + """, m AS (SELECT count(*) AS n0, count_if(action = 'auto') AS n1, count_if(r >= 8 AND r < 25) AS invented_fact, count_if(r >= 8 AND r < 25 AND NOT self_report) AS misreport, count_if(score < 0.22) AS weak_grounding, count_if(r >= 25 AND r < 30) AS deflection, count_if(r >= 30 AND r < 33) AS over_length,
+  count_if(r < 8) AS empty, count_if(toxic = 1) AS catastrophic, count_if(quality = 0 AND action = 'auto') AS router_escape FROM routed),
+u AS (SELECT unnest(['invented_fact', 'misreport', 'weak_grounding', 'deflection', 'over_length', 'empty', 'catastrophic', 'router_escape']) AS mode, unnest([invented_fact, misreport, weak_grounding, deflection, over_length, empty, catastrophic, router_escape]) AS n, n0, n1 FROM m)
+SELECT mode, CAST(n AS BIGINT) AS n, CAST(CASE mode WHEN 'router_escape' THEN n1 ELSE n0 END AS BIGINT) AS denominator, round(n / nullif(CASE mode WHEN 'router_escape' THEN n1 ELSE n0 END, 0), 6) AS rate FROM u""")
 def failure_mode_rates(spark, d):
-    return evaluate.failure_modes(routed(spark, d, policy.default_config(spark)).withColumn("catastrophic", F.col("toxic") == 1))
+    return evaluate.failure_modes(judged(spark, d))
+
+
+def judged(spark, d):
+    return routed(spark, d, policy.default_config(spark)).withColumn("catastrophic", F.col("toxic") == 1).withColumn("acceptable_to_send", F.col("quality") == 1)
+
+
+@query(routed_sql(DEFAULT) + ", z AS (SELECT 'deflection' AS mode, doc_id FROM routed WHERE r >= 25 AND r < 30 UNION ALL SELECT 'over_length', doc_id FROM routed WHERE r >= 30 AND r < 33 UNION ALL SELECT 'catastrophic', doc_id FROM routed WHERE toxic = 1) SELECT mode, CAST(rank AS BIGINT) AS rank, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY doc_id) AS rank FROM z) WHERE rank <= 3")
+def failure_mode_examples(spark, d):
+    got = evaluate.failure_examples(judged(spark, d), "doc_id").where("mode in ('deflection', 'over_length', 'catastrophic')")
+    return got.select("mode", F.col("rank").cast("long").alias("rank"), "doc_id")
 
 
 KIND = "CASE event_type WHEN 'click' THEN 'auto_agreed' WHEN 'view' THEN 'llm_adjudicated' WHEN 'error' THEN 'audit' ELSE 'adjudicate' END"
@@ -500,6 +703,31 @@ def label_precedence(spark, d):
     return evaluate.precedence(table(spark, d, "events").select("user_id", "event_id", F.expr(KIND).alias("kind")), "user_id", "kind", "event_id")
 
 
+@query(f"""WITH g AS (SELECT {KIND} AS kind, event_id % 5 = 0 AS changed, value FROM events), o AS (SELECT count(*) AS n_labelled, count_if(kind IN ('adjudicate', 'audit')) AS human, count_if(kind = 'adjudicate') AS adj, count_if(kind = 'audit') AS n, count_if(kind = 'audit' AND changed) AS k, median(CASE WHEN value > 0 THEN value END) AS median_seconds FROM g),
+p AS (SELECT *, k / nullif(n, 0) AS p FROM o)
+SELECT n_labelled, round(n_labelled / 200000, 4) AS coverage, human::BIGINT AS human_reviewed, round(human / n_labelled, 4) AS reviewed_share, adj::BIGINT AS adjudicated, n::BIGINT AS audited, k::BIGINT AS corrected, round(p, 4) AS audit_error_rate, {low_sql('p')} AS error_low, {high_sql('p')} AS error_high, median_seconds FROM p""")
+def label_quality(spark, d):
+    golden = table(spark, d, "events").select(F.expr(KIND).alias("review_kind"), (F.col("event_id") % 5 == 0).alias("human_changed_prelabel"), F.col("value").alias("seconds_spent"))
+    return evaluate.label_quality(golden, 200_000)
+
+
+@query("""WITH a AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CASE event_type WHEN 'view' THEN 'other' WHEN 'click' THEN 'lost_property' ELSE event_type END END AS intent, event_id % 10 <> 3 AS there FROM events)
+SELECT event_id, CASE WHEN there AND intent IN ('other', 'lost_property') THEN intent END AS intent, CASE WHEN NOT there THEN 'missing_from_response' WHEN intent IN ('other', 'lost_property') THEN NULL ELSE concat('invalid_intent:', coalesce(intent, 'None')) END AS error FROM a""")
+def prelabel_pass(spark, d):
+    e = table(spark, d, "events")
+    intent = F.when(F.col("event_id") % 4 == 0, F.lit(None).cast("string")).when(F.col("event_type") == "view", "other").when(F.col("event_type") == "click", "lost_property").otherwise(F.col("event_type"))
+    answers = e.where("event_id % 10 <> 3").select("event_id", intent.alias("intent"), F.lit(None).cast("string").alias("error"))
+    return complete.prelabelled(e.select("event_id"), answers, policy.taxonomy(spark), "event_id").select("event_id", "intent", "error")
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'view' THEN 'other' ELSE 'lost_property' END AS intent, CASE WHEN event_id % 3 = 0 THEN 'auto' ELSE 'escalate' END AS handling FROM events WHERE event_type IN ('view', 'click') AND event_id % 10 <> 3""")
+def adjudicated_rows(spark, d):
+    e = table(spark, d, "events")
+    intent = F.when(F.col("event_type") == "view", "other").when(F.col("event_type") == "click", "lost_property").otherwise("no such intent")
+    decisions = e.where("event_id % 10 <> 3").select("event_id", intent.alias("intent"), F.when(F.col("event_id") % 3 == 0, "auto").otherwise("perhaps").alias("handling"), F.lit("p1").alias("chose"), F.lit("because").alias("why"))
+    return complete.adjudicated(e.select("event_id"), decisions, policy.taxonomy(spark), "event_id").select("event_id", "intent", "handling")
+
+
 @query("SELECT coalesce(root, 'all') AS root, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(wait), 4) AS wait FROM (SELECT event_type AS root, user_id % 100 AS tokens, value AS wait FROM events) GROUP BY ROLLUP (root)")
 def ledger_by_tag(spark, d):
     return complete.ledger_summary(table(spark, d, "events").select(F.concat("event_type", F.lit(":"), F.col("user_id").cast("string")).alias("tag"), (F.col("user_id") % 100).alias("tokens"), F.col("value").alias("wait")))
@@ -519,6 +747,12 @@ def needs_adjudication(spark, d):
 # ---------------------------------------------------------------- learning
 
 
+@query()
+def induced_clusters(spark, d):
+    rows = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "text")
+    return learn.induced(rows, "msg_id", 4, dimensions=20, starts=2, min_df=3)[1].select("cluster_id", "size", "share", F.array_join("top_terms", ",").alias("top_terms"), F.size("exemplars").alias("n_exemplars"), F.size("spread_exemplars").alias("n_spread"))
+
+
 @query()
 def kmeans_clusters(spark, d):
     return learn.kmeans(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", 10, 2).select("vec_id", "cluster_id")

@@ -2,19 +2,48 @@
 
 from __future__ import annotations
 
+import atexit
+import json
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 RAW = "tweet_id long, author_id string, inbound string, created_at string, text string, in_response_to_tweet_id double"
 
+_own: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; on a local master a folder of our own may stand in."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="threadloom-"))
+    return _own[0]
+
 
 def settle(df: DataFrame) -> DataFrame:
-    """A checkpoint in spark.checkpoint.dir (a folder of our own where none is set, as in tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="threadloom-"))
-    return df.checkpoint()
+    """df written as a table in the shared folder and read again: lineage ends here, lost executors lose nothing.
+
+    The table goes when the driver ends; that of a killed driver stays, under a name that begins with `settled-`.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def remove() -> None:
+        try:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        except Exception:  # the session ended first
+            pass
+
+    atexit.register(remove)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
@@ -67,6 +96,64 @@ def profile(df: DataFrame, author: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.countDistinct(author).alias("authors"))
 
 
+def duplicates(df: DataFrame, *keys: str) -> DataFrame:
+    """Keys that occur more than once, and how often; nulls count as a value."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def cached_count(df: DataFrame, key: str) -> int:
+    """How many different keys a cache holds."""
+    return df.select(key).distinct().count()
+
+
+def json_document(tables: dict[str, DataFrame], most: int = 10_000) -> str:
+    """Small results as one JSON document, {name: rows}; a table of more than `most` rows is refused, not cut."""
+    out = {}
+    for name, df in tables.items():
+        rows = df.toJSON().take(most + 1)
+        if len(rows) > most:
+            raise ValueError(f"{name} has more than {most} rows: write it as a table")
+        out[name] = [json.loads(r) for r in rows]
+    return json.dumps(out, ensure_ascii=False, indent=1, sort_keys=True)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small document as one file at `path`, by Hadoop's file systems: readers see the old one or the whole new one."""
+    sc = spark.sparkContext
+    files, target, part = sc._jvm.org.apache.hadoop.fs, sc._jvm.org.apache.hadoop.fs.Path(path), sc._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
+    stream = fs.create(part)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    context = files.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), sc._jsc.hadoopConfiguration())
+    option = sc._gateway.new_array(files.Options.Rename, 1)
+    option[0] = files.Options.Rename.OVERWRITE
+    context.rename(part, target, option)
+
+
+def guideline(intents: DataFrame, compact: bool = False) -> str:
+    """The labelling guideline as Markdown, from intents(name, definition, disposition, needs_live_data, positives, negatives);
+    compact: names and definitions only. The taxonomy is small and comes to the driver."""
+    lines: list[str] = []
+    for r in intents.orderBy("name").collect():
+        if compact:
+            lines.append(f"- {r.name}: {r.definition}")
+            continue
+        lines += [f"## {r.name}", "", r.definition or "", "", f"Handling: {r.disposition}. Live data: {'yes' if r.needs_live_data else 'no'}.", ""]
+        lines += [f"- belongs: {x}" for x in r.positives or []] + [f"- does not: {x}" for x in r.negatives or []] + [""]
+    return "\n".join(lines)
+
+
+def report(title: str, tables: dict[str, DataFrame]) -> str:
+    """A report in Markdown: one section a table, in the order given; `no rows` where there are none."""
+    parts = [f"# {title}"]
+    for name, df in tables.items():
+        parts.append(f"## {name}\n\n" + (markdown(df) if not df.isEmpty() else "no rows"))
+    return "\n\n".join(parts) + "\n"
+
+
 def markdown(df: DataFrame, most: int = 200) -> str:
     """A small result as a Markdown table."""
     rows = df.limit(most).collect()
