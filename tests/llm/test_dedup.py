@@ -35,6 +35,17 @@ def test_op3_exact(request, spark, name, weak):
     assert sorted((key(r.doc_id), key(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in got.collect()) == brute_exact([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
 
 
+def test_op3_state_outlives_a_run(spark):
+    """A second run with the same store counts the new file's rows on top of what the first run held."""
+    path, store = common.new_path(spark, "test-docs [x]"), common.new_path(spark, "test-store")
+    write = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
+    write([(5, "a b"), (6, "c")])
+    assert {r.doc_id: r.keep_id for r in exact_dedup.dedup(spark, path + "/", store=store).collect()} == {5: 5, 6: 6}
+    write([(1, "ab"), (2, "a  b"), (7, "d")])
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.dedup(spark, path, store=store).collect()}
+    assert got == {5: (2, 3), 6: (6, 1), 1: (2, 3), 2: (2, 3), 7: (7, 1)}
+
+
 def test_op3_single_file(spark, sf):
     assert exact_dedup.op3_exact_dedup(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
 

@@ -39,11 +39,24 @@ def rows(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     return docs.select("doc_id", F.length(text).alias("n_points"), normalised(text).alias("normal"), F.input_file_name().alias("locator")).withColumn("digest", digest(F.col("normal")))
 
 
-def state(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256, files_per_batch: int = 1000) -> DataFrame:
-    """(digest, n, best) of all files at `path`, through the streaming state."""
-    stream = spark.readStream.schema(spark.read.parquet(path).select("doc_id", "text").schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, a single file will do
+def as_pattern(path: str) -> str:
+    """The path as a pattern that matches itself only: the file stream then takes a single file as well."""
+    path = path.rstrip("/")
+    quoted = "".join("\\" + c if c in "{}[]*?\\" else c for c in path[:-1])
+    return f"{quoted}[{path[-1]}]"
+
+
+def plain(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(as_pattern(path) if set(path) & set("{}[]*?\\") else path)
+
+
+def state(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256, files_per_batch: int = 1000, store: str | None = None) -> DataFrame:
+    """(digest, n, best) of all files at `path`, through the streaming state; with `store`, a folder all executors share,
+    the state of earlier runs goes on."""
+    stream = spark.readStream.schema(plain(spark, path).select("doc_id", "text").schema).option("maxFilesPerTrigger", files_per_batch).parquet(as_pattern(path))
     kept = rows(stream, digest).groupBy("digest").agg(F.count("*").alias("n"), F.min(best()).alias("best"))
-    out = common.new_path(spark, "exact-state")
+    out = f"{store}/state" if store else common.new_path(spark, "exact-state")
+    checkpoint = f"{store}/checkpoint" if store else common.new_path(spark, "exact-checkpoint")
 
     def sink(batch: DataFrame, k: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={k}")  # a batch that is run again replaces itself
@@ -54,7 +67,7 @@ def state(spark: SparkSession, path: str, digest: Callable[[Column], Column] = s
     for k, v in wanted.items():
         spark.conf.set(k, v)
     try:
-        query = kept.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", common.new_path(spark, "exact-checkpoint")).trigger(availableNow=True).start()
+        query = kept.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         for k, v in before.items():
@@ -70,20 +83,23 @@ def state(spark: SparkSession, path: str, digest: Callable[[Column], Column] = s
     return common.cut(written.groupBy("digest").agg(F.max_by(F.struct("n", "best"), "n").alias("last")).select("digest", "last.n", "last.best"), "exact-latest")
 
 
-def dedup(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256, files_per_batch: int = 1000) -> DataFrame:
+def dedup(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256, files_per_batch: int = 1000, store: str | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row at `path`.
 
     A null text is empty; empty and all-blank texts equal each other and form one group. A repeated row (same
     doc_id and text) is the same document: its rows count in group_size and share the verdict. A null doc_id
     never stays while another row of the group has an id. Further columns are not read.
     """
-    held = state(spark, path, digest, files_per_batch).select("digest", "n", F.col("best.keep_id").alias("keep_id"))
-    docs = rows(spark.read.parquet(path), digest).select("doc_id", "digest", "normal", "n_points")
-    joined = docs.join(held, "digest").withColumn("text_sha256", F.col("digest") if digest is sha256 else sha256(F.col("normal")))
-    joined = common.cut(joined.withColumn("normal", F.when(F.col("n") > 1, F.col("normal"))), "exact-rows")
-
-    hits = joined.where("n > 1")
-    stay = common.cut(hits.where("doc_id <=> keep_id").groupBy("digest").agg(F.min("normal").alias("stays")), "exact-stay")
+    held = state(spark, path, digest, files_per_batch, store).select("digest", "n", F.col("best.keep_id").alias("keep_id"), F.col("best.locator").alias("at"))
+    docs = rows(plain(spark, path), digest)
+    own = [] if digest is sha256 else [sha256(F.col("normal")).alias("own_sha256")]
+    joined = docs.select("doc_id", "digest", "n_points", *own).join(held.drop("at"), "digest")
+    joined = common.cut(joined.withColumn("text_sha256", F.col("own_sha256") if own else F.col("digest")), "exact-rows")
+
+    # a digest's key is small: where few digests repeat, Spark sends these to the texts, and no other text is moved
+    repeated = common.cut(held.where("n > 1").select("digest", "keep_id", "at"), "exact-repeated")
+    hits = common.cut(docs.join(repeated, "digest").select("doc_id", "digest", "normal", "n_points", "keep_id", F.expr("locator <> at").alias("elsewhere")), "exact-hits")
+    stay = common.cut(hits.where("doc_id <=> keep_id").groupBy("digest").agg(F.min_by("normal", F.struct("elsewhere", "normal")).alias("stays")), "exact-stay")
     # written before distinct: a join that an aggregate on its key follows could not be split
     differ = common.cut(hits.join(stay, "digest").where("normal <> stays").select("digest"), "exact-differ")
     odd = common.cut(differ.distinct(), "exact-odd")
@@ -91,9 +107,9 @@ def dedup(spark: SparkSession, path: str, digest: Callable[[Column], Column] = s
     if odd.isEmpty():
         return joined.select(*columns)
     # equal digests of different bytes: the bytes themselves are the key of these rows
-    clash = joined.join(odd, "digest", "left_semi").withColumn("locator", F.lit(""))
+    clash = hits.join(odd, "digest", "left_semi").select("doc_id", "digest", "normal", "n_points", F.lit("").alias("locator"))
     again = common.cut(clash.groupBy("digest", "normal").agg(F.count("*").alias("n"), F.min(best()).alias("best")).select("digest", "normal", "n", "best.keep_id"), "exact-clash")
-    mended = clash.drop("n", "keep_id").join(again, ["digest", "normal"])
+    mended = clash.join(again, ["digest", "normal"]).withColumn("text_sha256", sha256(F.col("normal")))
     return joined.join(odd, "digest", "left_anti").select(*columns).unionByName(mended.select(*columns))
 
 
