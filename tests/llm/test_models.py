@@ -84,6 +84,28 @@ def test_op10_restores_disguises(spark):
     for shown, meant in (("you 1d10t", "idiot"), ("so $tup1d they", "stupid"), ("i d i o t here", "idiot"), ("idiooooot", "idiot"), ("w0rthl3ss", "worthless"), ("t-r-a-s-h", "trash"), ("p@thet!c man", "pathetic")):
         assert meant in r.restore(shown).split(), (shown, r.restore(shown))
     assert r.restore("Plain text, a 2nd line.") == "plain text, a 2nd line."
+    for shown, meant in (("a 1di07 here", "idiot"), ("tra5h!", "trash"), ("st.up.id", "stupid"), ("and i d i o t s t u p i d", "stupid")):
+        assert meant in r.restore(shown).split(), (shown, r.restore(shown))
+
+
+def test_op10_viterbi_against_all_paths():
+    """The decoded text is that of the cheapest of all paths through the lattice."""
+    from itertools import product
+
+    rng = np.random.default_rng(2)
+    model = toxicity.Letters(rng.integers(0, 50, toxicity.K**3) * (rng.random(toxicity.K**3) < 0.2))
+    for span, gaps, breaks in (("1d1o7", False, False), ("aa11b!", False, False), ("!s!", False, False), ("a b c1d", True, True), ("st.uu.1d", True, False), ("", False, False)):
+        costs: dict = {}
+        for path in product(*model.columns(span, gaps, breaks)):
+            x = y = 0
+            total = sum(cost for _, cost in path)
+            for ch in "".join(t for t, _ in path):
+                z = toxicity.CODE.get(ch, 0)
+                total += model.cost[x][y][z]
+                x, y = y, z
+            text = "".join(t for t, _ in path)
+            costs[text] = min(costs.get(text, np.inf), total + model.cost[x][y][0])
+        assert np.isclose(costs[model.decode(span, gaps, breaks)], min(costs.values()))
 
 
 def test_op10_catches_disguised_documents(spark):

@@ -30,7 +30,10 @@ BUCKETS = 1 << 22
 
 # What signs may stand for in leetspeak.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
-LEET_COST, DROP_COST, REPEAT_COST = 1.0, 0.2, 0.5
+LEET_COST, DROP_COST, REPEAT_COST, BREAK_COST = 1.0, 0.2, 0.5, 1.0
+#: signs that may be punctuation at the edge of a span
+PUNCTUATION = "!|+("
+GAPS = " .-_*"
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)]))
 K = 1 + len(LETTERS)  # 0: anything else, and the edge of a word
@@ -40,10 +43,11 @@ _codes[[ord(c) for c in LETTERS]] = np.arange(1, K)
 
 _word = re.compile(r"[^\W\d_]+")
 _signs = re.escape("".join(LEET))
-#: leetspeak: a sign with a letter after it, in a run of letters and signs with two letters or more, and not 2nd or 4th
-_leet = re.compile(rf"(?<![\w{_signs}])(?!\d+(?:st|nd|rd|th)\b)(?=[^\W_]*[{_signs}]+[^\W\d_])(?=(?:[{_signs}]*[^\W\d_]){{2}})[^\W_{_signs}]*[{_signs}](?:[^\W_]|[{_signs}])*[^\W\d_]")
-#: letters or signs one by one, with the same kind of gap between them
-_spaced = re.compile(rf"(?<![^\s])(?:[^\W\d_]|[{_signs}])(?:([ .\-_*])(?:[^\W\d_]|[{_signs}]))(?:\1(?:[^\W\d_]|[{_signs}])){{2,}}(?![^\s.,!?])")
+#: leetspeak: a run of letters and signs (digits too) with one of each, and not 2nd or 4th
+_leet = re.compile(rf"(?<![\w{_signs}])(?!\d+(?:st|nd|rd|th)\b)(?=[\d{_signs}]*[^\W\d_])(?=[^\W\d_]*[{_signs}])(?:[^\W_]|[{_signs}]){{3,}}")
+_one = rf"(?:[^\W\d_]|[{_signs}])"
+#: letters or signs one by one with the same kind of gap between them, or by ones and twos with a sign between them
+_spaced = re.compile(rf"(?<![^\s]){_one}([ .\-_*]){_one}(?:\1{_one}){{2,}}(?![^\s.,!?])|(?<![^\s]){_one}{{1,2}}([.\-_*]){_one}{{1,2}}(?:\2{_one}{{1,2}})+(?![^\s.,!?])")
 #: a letter three times in a row inside a word
 _repeated = re.compile(r"([^\W\d_])\1\1")
 
@@ -55,26 +59,35 @@ class Letters:
         c = counts.reshape(K, K, K) + 0.1
         self.cost = (np.log(c.sum(2, keepdims=True)) - np.log(c)).tolist()
 
-    def decode(self, span: str, gaps: bool) -> str:
-        """The likeliest letters behind the span; in a spaced span the gaps are dropped."""
-        columns: list[list[tuple[str, float]]] = []
+    @staticmethod
+    def columns(span: str, gaps: bool = False, breaks: bool = False) -> list[list[tuple[str, float]]]:
+        """The lattice: for each place of the span what it may stand for, and the cost of that.
+
+        With `gaps`, signs between letters stand for nothing, and with `breaks` for the end of a word too.
+        """
+        out: list[list[tuple[str, float]]] = []
         i = 0
         while i < len(span):
             c = span[i]
             j = i + 1
-            while j < len(span) and span[j] == c and not gaps:
+            while j < len(span) and span[j] == c:
                 j += 1
-            if gaps and i % 2:
-                i = j
-                continue
-            stands = [(x, LEET_COST) for x in LEET[c]] if c in LEET else [(c, 0.0)]
-            if j - i == 1:
-                columns.append(stands)
-            else:  # a run stands for one letter or for two
-                columns.append([(x * n, cost + REPEAT_COST * (j - i > n)) for x, cost in stands for n in (1, 2)])
+            if gaps and c in GAPS:
+                out.append([("", 0.0), *([(" ", BREAK_COST)] if breaks else [])])
+            else:
+                stands = [(x, LEET_COST) for x in LEET[c]] if c in LEET else [(c, 0.0)]
+                if j - i > 1:  # a run stands for one letter or for two
+                    stands = [(x * n, cost + REPEAT_COST * (j - i > n)) for x, cost in stands for n in (1, 2)]
+                if c in PUNCTUATION and (i == 0 or j == len(span)):
+                    stands.append(("", DROP_COST))
+                out.append(stands)
             i = j
+        return out
+
+    def decode(self, span: str, gaps: bool = False, breaks: bool = False) -> str:
+        """The likeliest letters behind the span, by Viterbi over the lattice with the last two characters as state."""
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-        for column in columns:
+        for column in self.columns(span, gaps, breaks):
             after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, path) in best.items():
                 for text, extra in column:
@@ -100,16 +113,17 @@ class Restorer:
     def __init__(self, counts: np.ndarray, most: int = 100_000):
         self.model, self.known, self.most = Letters(counts), {}, most
 
-    def span(self, text: str, gaps: bool = False) -> str:
+    def span(self, text: str, gaps: bool = False, breaks: bool = False) -> str:
         if len(self.known) > self.most:
             self.known.clear()
-        if (found := self.known.get((text, gaps))) is None:
-            found = self.known[text, gaps] = self.model.decode(text, gaps)
+        if (found := self.known.get((text, gaps, breaks))) is None:
+            found = self.known[text, gaps, breaks] = self.model.decode(text, gaps, breaks)
         return found
 
     def disguised(self, low: str) -> list[str]:
-        """What spaced letters and leetspeak in a lower-case text stand for."""
-        out = [self.span(m[0], True) for m in _spaced.finditer(low) if len(set(m[0][::2])) > 2]
+        """What spaced letters and leetspeak in a lower-case text stand for; spaced letters as one word and as several."""
+        spaced = [m[0] for m in _spaced.finditer(low) if len(set(m[0]) - set(GAPS)) > 2]
+        out = [self.span(x, True, breaks) for x in spaced for breaks in (False, True)]
         out += [self.span(m[0]) for m in _leet.finditer(low)]
         return out
 
@@ -208,9 +222,10 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray) -> tuple[dict[
     known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1)
     known = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(10)), "doc_id").limit(TRAIN_ROWS)
     restored = common.texts(docs).join(F.broadcast(known), "doc_id").select("text", "toxic")  # at most TRAIN_ROWS pairs of numbers
+    shared = docs.sparkSession.sparkContext.broadcast(counts)  # K ** 3 numbers
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = Hits(counts)
+        hits = Hits(shared.value)
         total = np.zeros((2, BUCKETS), np.int32)
         for part in common.slices(batches, "text"):
             for text, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
@@ -230,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray) -> tuple[dict[
     lexicon = {r["at"]: r["odds"] for r in strong.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "at").limit(LEXICON).collect()}
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = Hits(counts, lexicon)
+        hits = Hits(shared.value, lexicon)
         for part in common.slices(batches, "text"):
             told = [signal(hits.text(t), lexicon) for t in part.column(0).to_pylist()]
             yield common.record_batch({"total": [round(np.log1p(a), 1) for a, _ in told], "most": [round(b, 1) for _, b in told], "y": part.column(1)}, common.arrow_schema("total double, most double, y int"))
