@@ -147,8 +147,9 @@ def arrow_schema(ddl: str) -> pa.Schema:
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected edges (u, v); root is the least node of the component.
 
-    Alternates large-star and small-star steps until the edges no longer change; each round is a table in
-    the shared folder. Hubs are met by partial aggregates and by joins whose large partitions Spark splits.
+    Alternates large-star and small-star steps until the edges no longer change, which takes rounds in the order of the
+    square of the logarithm of the greatest component, whatever the number of components; each round is four tables in
+    the shared folder, never larger than the edges. Hubs are met by partial aggregates and by joins whose large partitions Spark splits.
     """
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     seen = None
