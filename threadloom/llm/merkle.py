@@ -64,13 +64,13 @@ def proof(path: bytes) -> str:
     return node(*(path[i + 1 : i + STEP] for i in range(0, len(path), STEP) if path[i] != ALONE)).hex()
 
 
-def climb(leaves: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """leaves(group, pos, total, digest, ...) with path, and top, the one digest left of the group.
+def climb(leaves: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
+    """Of leaves(group, pos, total, digest, ...): they with block and path inside the block, and (of, of_block, rest, top), what stands above each block.
 
-    `pos` counts from 0 within the group, `total` is the group's size. Groups may have any size: a block of
-    2 ** levels leaves is the most that meets in a task, and each further level has as many times fewer rows.
+    `pos` counts from 0 within the group, `total` is the group's size, `top` the one digest left of it. Groups may have
+    any size: a block of 2 ** levels leaves is the most that meets in a task, and each further level has as many times
+    fewer rows.
     """
-    names = leaves.columns
     schema = leaves.withColumns({"block": F.lit(0).cast("long"), "path": F.lit(b""), "root": F.lit(None).cast("binary")}).schema
 
     def run(table: pa.Table) -> pa.Table:
@@ -84,11 +84,14 @@ def climb(leaves: DataFrame, levels: int = LEVELS) -> DataFrame:
     done = common.cut(blocks.groupBy("group", "block").applyInArrow(run, schema), "merkle-blocks")
     above = done.where("root is not null").select("group", F.col("block").alias("pos"), F.shiftright(F.col("total") + ((1 << levels) - 1), levels).alias("total"), F.col("root").alias("digest"))
     if done.where(F.col("total") > (1 << levels)).isEmpty():
-        tops = above.select(F.col("group").alias("of"), F.col("pos").alias("of_block"), F.lit(b"").alias("rest"), F.col("digest").alias("top"))
-    else:
-        tops = climb(above, levels).select(F.col("group").alias("of"), F.col("pos").alias("of_block"), F.col("path").alias("rest"), "top")
-    up = done.join(tops, done.group.eqNullSafe(tops.of) & (done.block == tops.of_block))
-    return up.select(*names, F.concat("path", "rest").alias("path"), "top")
+        return done, above.select(F.col("group").alias("of"), F.col("pos").alias("of_block"), F.lit(b"").alias("rest"), F.col("digest").alias("top"))
+    return done, paths_of(*climb(above, levels)).select(F.col("group").alias("of"), F.col("pos").alias("of_block"), F.col("path").alias("rest"), "top")
+
+
+def paths_of(done: DataFrame, tops: DataFrame) -> DataFrame:
+    """The leaves of climb() with their whole path and what else tops says. Blocks have one size, so no task gets many more rows than another."""
+    up = done.drop("root").join(tops, done.group.eqNullSafe(tops.of) & (done.block == tops.of_block))
+    return up.withColumn("path", F.concat("path", "rest")).drop("of", "of_block", "rest", "block")
 
 
 def field(c: Column) -> Column:
@@ -109,10 +112,12 @@ def manifest(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     digest = lambda chars: F.unhex(F.sha2(F.concat(field(F.col("doc_id").cast("string")), field(F.col("source")), field(F.col("lang")), field(chars), field(F.col("text"))), 256))
     leaves = docs.select("doc_id", F.col("lang").alias("group"), digest(F.col("n_chars").cast("string")).alias("digest"), F.when(tampered, digest(more)).alias("tampered"))
     leaves = common.cut(leaves, "merkle-leaves")
-    rows = common.cut(climb(numbered(leaves, ["doc_id", "digest"], ["group"]), levels), "merkle-rows")
-    langs = common.cut(rows.groupBy("group").agg(F.first("top").alias("digest")), "merkle-langs")
-    apex = climb(numbered(langs, ["group"]).select(F.col("group").alias("lang"), F.lit(0).alias("group"), "pos", "total", "digest"), levels)
-    whole = apex.select("lang", F.col("path").alias("rest"), F.col("top").alias("root"))
+    done, tops = climb(numbered(leaves, ["doc_id", "digest"], ["group"]), levels)
+    tops = common.cut(tops, "merkle-tops")
+    langs = tops.where("of_block = 0").select(F.col("of").alias("lang"), F.col("top").alias("digest"))
+    places = numbered(common.cut(langs, "merkle-langs"), ["lang"]).withColumn("group", F.lit(0))
+    apex = paths_of(*climb(places, levels)).select("lang", F.col("path").alias("last"), F.col("top").alias("root"))
+    tops = tops.join(apex, tops.of.eqNullSafe(apex.lang)).select("of", "of_block", F.concat("rest", "last").alias("rest"), "top", F.col("root").alias("apex"))
     schema = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
     names = common.arrow_schema(schema)
 
@@ -123,7 +128,7 @@ def manifest(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
             hexes = lambda c: [x.hex() for x in part.column(c).to_pylist()]
             yield common.record_batch({"doc_id": part.column("doc_id"), "leaf": [x.hex() for x in leaf], "subroot": hexes("top"), "root": hexes("root"), "proof_sha256": [proof(p) for p in path], "folded_root": [x.hex() for x in folded], "verified": [a == b for a, b in zip(folded, root)]}, names)
 
-    joined = rows.join(whole, rows.group.eqNullSafe(whole.lang)).select("doc_id", "digest", F.coalesce("tampered", "digest").alias("start"), F.concat("path", "rest").alias("path"), "top", "root")
+    joined = paths_of(done, tops).select("doc_id", "digest", F.coalesce("tampered", "digest").alias("start"), "path", "top", F.col("apex").alias("root"))
     return joined.mapInArrow(run, schema)
 
 
