@@ -383,3 +383,31 @@ def test_streaming_triage(spark, tmp_path):
     q = triage(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.rule for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["R2-legal"]
+
+
+def test_search_reads_few_postings(spark, monkeypatch):
+    """Block-max search gives what all pairs give, also with ties and hot terms, and leaves most postings of long queries unread."""
+    monkeypatch.setattr(retrieve, "FIRST", 4)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(["the", "of", *rng.choices(words, [1 / (j + 1) for j in range(400)], k=rng.choice([5, 20, 60]))])) for i in range(900)]
+    docs += [(i, docs[3][1]) for i in range(900, 930)] + [(930, None), (931, "")]  # equal scores: the lesser key first
+    queries = [(i, docs[i * 37][1]) for i in range(20)] + [(20, "the of"), (21, "unheard"), (22, None)]
+    index = retrieve.fit(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", (retrieve.WORDS,))
+    asked = spark.createDataFrame(queries, "item_id long, text string")
+    got = sorted((r.item_id, r["rank"], r.doc_id, r.score) for r in retrieve.search(index, asked, "item_id", 3, 0.05).collect())
+    held, wanted = {}, {}
+    for rows, out, key in ((index.weights, held, "doc_id"), (retrieve.weigh(retrieve.term_counts(asked, "item_id", index.blocks), index.idf, "item_id"), wanted, "item_id")):
+        for r in rows.collect():
+            out.setdefault(r[key], {})[r.id] = r.w
+    want = []
+    for q, v in wanted.items():
+        scores = {d: round(sum(w * x[t] for t, w in v.items() if t in x), 6) for d, x in held.items() if v.keys() & x.keys()}
+        want += [(q, i + 1, d, scores[d]) for i, d in enumerate(sorted(scores, key=lambda d: (-scores[d], d))[:3]) if scores[d] >= 0.05]
+    assert [x[:3] for x in got] == [x[:3] for x in sorted(want)] and all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, sorted(want)))
+    # three documents share words that no other has: they make a floor that common words do not reach
+    docs = [(i, " ".join(["the of", *rng.choices(words[:40], k=20), *(f"own{i // 3}x{j}" for j in range(6))])) for i in range(900)]
+    index = retrieve.fit(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", (retrieve.WORDS,))
+    found = retrieve.hunt(index, spark.createDataFrame([(i, docs[i * 90][1]) for i in range(10)], "item_id long, text string"), "item_id", 3)
+    read = lambda pairs: found.hits.join(pairs, ["item_id", "shelf"]).join(index.weights, ["id", "shelf"]).count()
+    assert read(found.first) + read(found.rest) < 0.25 * found.hits.join(index.weights, ["id", "shelf"]).count()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import stats as S, text as T
+from ..functions.ordered import quantiles
 from .policy import GROUNDING
 
 ORDINALS = ("factual_safety", "addresses_need", "actionability", "tone_fit")
@@ -127,8 +128,9 @@ def label_quality(golden: DataFrame, pool_rows: int) -> DataFrame:
     audit, human = F.col("review_kind") == "audit", F.col("review_kind").isin("adjudicate", "audit")
     one = golden.agg(
         F.count("*").alias("n_labelled"), F.count_if(human).alias("human_reviewed"), F.count_if(F.col("review_kind") == "adjudicate").alias("adjudicated"), F.count_if(audit).alias("audited"),
-        F.count_if(audit & F.col("human_changed_prelabel")).alias("corrected"), F.median(F.when(F.col("seconds_spent") > 0, F.col("seconds_spent"))).alias("median_seconds"),
+        F.count_if(audit & F.col("human_changed_prelabel")).alias("corrected"),
     )
+    one = one.crossJoin(quantiles(golden.where("seconds_spent > 0"), "seconds_spent", {"median_seconds": 0.5}))  # one row each
     low, high = S.wilson(F.col("corrected"), F.col("audited"))
     rate = lambda k, n: F.round(F.try_divide(k, n), 4)
     return one.select(

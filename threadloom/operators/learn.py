@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -28,24 +29,123 @@ def weak_labels(assignment: DataFrame, intents: DataFrame) -> DataFrame:
     return assignment.join(claims, "cluster_id").select("msg_id", F.col("name").alias("intent"))
 
 
+#: rows of a group that k-means starts are drawn from
+SAMPLE = 5000
+
+
+def centres_of(df: DataFrame, vector: str, k: int, starts: int, seed: int, group: str, rounds: int = 20, settled: float = 1e-4) -> dict:
+    """{group: (centres, cost)}: the best of `starts` runs of k-means in every group of df(group, vector).
+
+    All starts of all groups are moved in one pass over the rows; a pass sends starts x k sums a group to the driver,
+    whatever the number of rows. Starts are drawn by distance, from SAMPLE rows a group by the order of a hash.
+    """
+    order = F.xxhash64(vector, F.lit(seed))
+    picked = df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("place") <= SAMPLE).select(group, vector).collect()
+    sample: dict = {}
+    for r in picked:
+        sample.setdefault(r[group], []).append(r[vector])
+    centres = {g: np.stack([spread_start(np.array(x, float), k, np.random.default_rng(seed + i)) for i in range(starts)]) for g, x in sample.items()}
+    names = pa.schema([("g", pa.string()), ("at", pa.int32()), ("n", pa.float64()), ("cost", pa.float64()), ("x", pa.list_(pa.float64()))])
+    best: dict = {}
+    for _ in range(rounds):
+        held = {str(g): c for g, c in centres.items()}
+
+        def run(batches, held=held):
+            totals = {g: (np.zeros(c.shape[0] * c.shape[1]), np.zeros(c.shape[0] * c.shape[1]), np.zeros((c.shape[0] * c.shape[1], c.shape[2]))) for g, c in held.items()}
+            for batch in batches:
+                rows, groups = matrix_of(batch.column(1)), np.array(batch.column(0).to_pylist(), object)
+                for g in set(groups.tolist()):
+                    x, c = rows[groups == g], held[g]
+                    for s in range(len(c)):
+                        off = distances(x, c[s])
+                        near = off.argmin(1)
+                        at = s * c.shape[1]
+                        totals[g][0][at : at + c.shape[1]] += np.bincount(near, minlength=c.shape[1])
+                        totals[g][1][at : at + c.shape[1]] += np.bincount(near, off[np.arange(len(x)), near], c.shape[1])
+                        np.add.at(totals[g][2], at + near, x)
+            for g, (n, cost, x) in totals.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at]), pa.array(cost[at]), pa.array(x[at].tolist(), pa.list_(pa.float64()))], schema=names)
+
+        parts = df.select(F.col(group).cast("string"), F.col(vector).cast("array<double>")).mapInArrow(run, "g string, at int, n double, cost double, x array<double>")
+        size = next(iter(centres.values())).shape[2] if centres else 0
+        sums = parts.groupBy("g", "at").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.array(*(F.sum(F.element_at("x", d + 1)) for d in range(size))).alias("x")).collect()  # starts x k a group
+        moved, cost = 0.0, {g: np.zeros(starts) for g in centres}
+        after = {g: c.copy() for g, c in centres.items()}
+        name = {str(g): g for g in centres}
+        for r in sums:
+            g, s, j = name[r.g], r["at"] // k, r["at"] % k
+            after[g][s, j] = np.array(r.x) / r.n
+            cost[g][s] += r.cost
+        for g in centres:
+            s = int(cost[g].argmin())
+            if g not in best or cost[g][s] < best[g][1]:
+                best[g] = (centres[g][s].copy(), float(cost[g][s]))
+            moved = max(moved, float(np.abs(after[g] - centres[g]).max()))
+        centres = after
+        if moved <= settled:
+            break
+    return best
+
+
+def spread_start(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k rows of x, each drawn by its squared distance to those before it; rows repeat where x has fewer different ones."""
+    out = [x[rng.integers(len(x))]]
+    off = ((x - out[0]) ** 2).sum(1)
+    for _ in range(k - 1):
+        total = off.sum()
+        out.append(x[rng.choice(len(x), p=off / total)] if total > 0 else out[0])
+        off = np.minimum(off, ((x - out[-1]) ** 2).sum(1))
+    return np.array(out)
+
+
+def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances [row, centre]."""
+    return np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1), 0)
+
+
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def nearest(df: DataFrame, vector: str, group: str, centres: dict, out: str) -> DataFrame:
+    """df with `out`, the number of the nearest of its group's centres; the lesser of equals."""
+    held = {str(g): c for g, (c, _) in centres.items()}
+    names = df.columns
+    schema = df.withColumn(out, F.lit(0)).schema
+
+    def run(batches):
+        for batch in batches:
+            rows, groups = matrix_of(batch.column(names.index(vector))), np.array([str(g) for g in batch.column(names.index(group)).to_pylist()], object)
+            near = np.zeros(len(rows), np.int32)
+            for g in set(groups.tolist()):
+                near[groups == g] = distances(rows[groups == g], held[g]).argmin(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near)], names=[*names, out])
+
+    return df.mapInArrow(run, schema)
+
+
 def kmeans(df: DataFrame, vector: str, k: int, starts: int = 8, seed: int = 1) -> DataFrame:
-    """df with cluster_id: the best of `starts` runs by training cost."""
-    rows = df.withColumn("_v", array_to_vector(vector))
-    models = [KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="cluster_id").fit(rows) for i in range(starts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(rows).drop("_v")
+    """df with cluster_id: the best of `starts` runs by the sum of squared distances, all run together. An empty table stays empty."""
+    rows = df.drop("cluster_id").withColumn("_all", F.lit("all"))
+    centres = centres_of(rows, vector, k, starts, seed, "_all")
+    return nearest(rows, vector, "_all", centres, "cluster_id").drop("_all")
 
 
-def kmeans_with_splits(df: DataFrame, vector: str, k: int, share: float = 0.15, parts: int = 7, starts: int = 2) -> DataFrame:
-    """Clusters as strings; one of over `share` of the rows (and parts * 20 members) is split once into `p.c`."""
-    rows = kmeans(df, vector, k, starts)
+def kmeans_with_splits(df: DataFrame, vector: str, k: int, share: float = 0.15, parts: int = 7, starts: int = 2, seed: int = 1) -> DataFrame:
+    """Clusters as strings; one of over `share` of the rows (and parts * 20 members) is split once into `p.c`. All large
+    clusters are split in the same passes."""
+    rows = settle(kmeans(df, vector, k, starts, seed))
     sizes = {r.cluster_id: r["count"] for r in rows.groupBy("cluster_id").count().collect()}  # k rows
     large = [c for c, n in sizes.items() if n > share * sum(sizes.values()) and n >= parts * 20]
-    out = rows.where(~F.col("cluster_id").isin(large) if large else F.lit(True)).withColumn("cluster_id", F.col("cluster_id").cast("string"))
-    for c in large:
-        split = kmeans(rows.where(F.col("cluster_id") == c).drop("cluster_id"), vector, parts, starts)
-        out = out.unionByName(split.withColumn("cluster_id", F.concat(F.lit(f"{c}."), F.col("cluster_id"))))
-    return out
+    names = rows.columns
+    if not large:
+        return rows.withColumn("cluster_id", F.col("cluster_id").cast("string"))
+    inside = rows.where(F.col("cluster_id").isin(large))
+    split = nearest(inside, vector, "cluster_id", centres_of(inside, vector, parts, starts, seed, "cluster_id"), "_part")
+    split = split.withColumn("cluster_id", F.concat(F.col("cluster_id").cast("string"), F.lit("."), F.col("_part").cast("string"))).select(*names)
+    return rows.where(~F.col("cluster_id").isin(large)).withColumn("cluster_id", F.col("cluster_id").cast("string")).unionByName(split)
 
 
 def weak_logreg(train: DataFrame, test: DataFrame, vector: str, label: str, c: float = 2.0) -> DataFrame:
@@ -82,29 +182,76 @@ def cluster_terms(messages: DataFrame, key: str, text: str = "text", names: tupl
     return settle(w.select(key, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).alias("w")))
 
 
-def reduced(weights: DataFrame, key: str, dimensions: int = 120) -> tuple[DataFrame, list[str], object]:
-    """((key, vector of unit length), terms, V): the weights projected on their first singular vectors.
+def gram(rows: DataFrame, size: int) -> np.ndarray:
+    """X'X of rows(x), size x size sums that are made in the tasks."""
+    names = pa.schema([("i", pa.int32()), ("x", pa.list_(pa.float64()))])
 
-    The vocabulary (bounded by min_df) is on the driver, rows are not. Spark's own SVD has no DataFrame form.
-    """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
+    def run(batches):
+        total = np.zeros((size, size))
+        for batch in batches:
+            x = matrix_of(batch.column(0))
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], schema=names)
+
+    parts = rows.select("x").mapInArrow(run, "i int, x array<double>")
+    summed = parts.groupBy("i").agg(F.array(*(F.sum(F.element_at("x", d + 1)) for d in range(size))).alias("x"))
+    out = np.zeros((size, size))
+    for r in summed.collect():  # size rows
+        out[r.i] = r.x
+    return out
 
-    terms = [r.term for r in weights.select("term").distinct().orderBy("term").collect()]
-    if not terms:
+
+def turned(rows: DataFrame, key: str, by: np.ndarray) -> DataFrame:
+    """(key, x times a small matrix)."""
+
+    def run(batches):
+        for batch in batches:
+            x = matrix_of(batch.column(1)) @ by
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], names=[key, "x"])
+
+    return rows.select(key, "x").mapInArrow(run, rows.select(key, F.col("x").cast("array<double>").alias("x")).schema)
+
+
+def orthonormal(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """rows(key, x) turned so that their columns are orthonormal; directions that are not there are left out."""
+    values, vectors = np.linalg.eigh(gram(rows, size))
+    there = values > values.max() * 1e-12
+    return settle(turned(rows, key, vectors[:, there] / np.sqrt(values[there])))
+
+
+def reduced(weights: DataFrame, key: str, dimensions: int = 120, extra: int = 10, rounds: int = 4, seed: int = 5) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """((key, vector of unit length), basis(term, x), singular values): the weights projected on their first singular vectors.
+
+    A randomised range finder: every term has `dimensions + extra` normal numbers made of its hash, which rounds of
+    products with the weights and their transpose turn towards the first singular vectors. Terms stay in a
+    table; what comes to the driver are sums of that many squared numbers, whatever the vocabulary.
+    """
+    size = dimensions + extra
+    terms = settle(weights.select("term").distinct())
+    if terms.isEmpty():
         raise ValueError("no term is in enough messages")
-    spark = weights.sparkSession
-    ids = spark.createDataFrame(list(zip(terms, range(len(terms)))), "term string, i int")
-    rows = weights.join(ids, "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("x"))
-    size = len(terms)
-    matrix = RowMatrix(rows.rdd.map(lambda r: Vectors.sparse(size, [(c.i, c.w) for c in r.x])), 0, size)
-    v = matrix.computeSVD(min(dimensions, size), computeU=False).V.toArray()
-    k = v.shape[1]
-    basis = spark.createDataFrame([(t, row.tolist()) for t, row in zip(terms, v)], "term string, b array<double>")
-    dims = [F.sum(F.col("w") * F.element_at("b", d + 1)).alias(f"d{d}") for d in range(k)]
-    summed = weights.join(basis, "term").groupBy(key).agg(*dims).select(key, F.array(*(f"d{d}" for d in range(k))).alias("x"))
+
+    def draw(batches):
+        for batch in batches:
+            at = batch.column(1).to_numpy()
+            x = np.stack([np.random.default_rng((seed, int(h) & (2**63 - 1))).standard_normal(size) for h in at]) if len(at) else np.zeros((0, size))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["term", "x"])
+
+    def product(rows: DataFrame, at: str, to: str, width: int) -> DataFrame:
+        joined = weights.join(rows, at)
+        return settle(joined.groupBy(to).agg(F.array(*(F.sum(F.col("w") * F.element_at("x", d + 1)) for d in range(width))).alias("x")))
+
+    basis = orthonormal(settle(terms.select("term", F.xxhash64("term").alias("h")).mapInArrow(draw, "term string, x array<double>")), "term", size)
+    for _ in range(rounds):
+        width = len(basis.first().x)
+        basis = orthonormal(product(product(basis, "term", key, width), key, "term", width), "term", width)
+    width = len(basis.first().x)
+    rows = product(basis, "term", key, width)
+    values, vectors = np.linalg.eigh(gram(rows, width))
+    first = np.argsort(-values)[: min(dimensions, int((values > values.max() * 1e-12).sum()))]
+    rows, basis = settle(turned(rows, key, vectors[:, first])), settle(turned(basis, "term", vectors[:, first]))
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, x: s + x * x))
-    return summed.select(key, F.when(norm > 0, F.transform("x", lambda x: x / norm)).otherwise(F.col("x")).alias("vector")), terms, v
+    return rows.select(key, F.when(norm > 0, F.transform("x", lambda x: x / norm)).otherwise(F.col("x")).alias("vector")), basis, np.sqrt(values[first])
 
 
 def first_in_time(messages: DataFrame, *order: str, n: int = 6000) -> DataFrame:
@@ -114,9 +261,9 @@ def first_in_time(messages: DataFrame, *order: str, n: int = 6000) -> DataFrame:
 def induced(messages: DataFrame, key: str, k: int, text: str = "text", names: tuple[str, ...] = (), dimensions: int = 120, starts: int = 8, min_df: int = 8, max_df: float = 0.35) -> tuple[DataFrame, DataFrame]:
     """((key, cluster_id, distance), one row a cluster with what a namer needs to see: size, share, top_terms, exemplars
     nearest to its centre and spread_exemplars from the middle of the distance order on), in the messages' own wording."""
-    vectors, terms, v = reduced(cluster_terms(messages, key, text, names, min_df=min_df, max_df=max_df), key, dimensions)
+    vectors, basis, values = reduced(cluster_terms(messages, key, text, names, min_df=min_df, max_df=max_df), key, dimensions)
     rows = settle(kmeans(settle(vectors), "vector", k, starts))
-    size = v.shape[1]
+    size = len(values)
     centres = rows.groupBy("cluster_id").agg(F.count("*").alias("size"), F.array(*(F.avg(F.element_at("vector", d + 1)) for d in range(size))).alias("centre"))
     centres = settle(centres)  # k rows
     off = F.sqrt(F.aggregate(F.zip_with("vector", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
@@ -126,8 +273,10 @@ def induced(messages: DataFrame, key: str, k: int, text: str = "text", names: tu
     shown = ranked.where(near | middle).join(messages.select(key, T.truncated(F.col(text), 240).alias("said")), key)
     said = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("place", "said")))), lambda x: x["said"])
     examples = shown.groupBy("cluster_id").agg(said(near).alias("exemplars"), said(middle).alias("spread_exemplars"))
-    top = {r.cluster_id: [terms[i] for i in (v @ r.centre).argsort()[::-1][:12]] for r in centres.collect()}  # k rows
-    named = messages.sparkSession.createDataFrame(sorted(top.items()), "cluster_id int, top_terms array<string>")
+    along = F.aggregate(F.zip_with("x", "centre", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    scores = basis.crossJoin(F.broadcast(centres.select("cluster_id", "centre"))).select("cluster_id", "term", along.alias("along"))  # k rows
+    best = scores.withColumn("place", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("along"), "term"))).where("place <= 12")
+    named = best.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]).alias("top_terms"))
     n = sum(r["size"] for r in centres.select("size").collect())
     out = centres.select("cluster_id", "size", F.round(F.col("size") / F.lit(n), 4).alias("share")).join(named, "cluster_id").join(examples, "cluster_id")
     return placed.select(key, "cluster_id", "distance"), out

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions.ordered import quantiles
 from ..functions import stats as S, text as T
 from ..operators import complete, corpus, evaluate, learn, policy, retrieve, sample
 from ..sources import files
@@ -753,6 +754,24 @@ def induced_clusters(spark, d):
     return learn.induced(rows, "msg_id", 4, dimensions=20, starts=2, min_df=3)[1].select("cluster_id", "size", "share", F.array_join("top_terms", ",").alias("top_terms"), F.size("exemplars").alias("n_exemplars"), F.size("spread_exemplars").alias("n_spread"))
 
 
+@query()
+def dense_cells_topk(spark, d):
+    """As dense_topk, through the index of cells."""
+    e = table(spark, d, "embeddings")
+    return retrieve.search_cells(retrieve.fit_cells(e, 32), e.where("vec_id % 20 = 0")).select("query", "doc", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def bootstrap_interval(spark, d):
+    """Mean value of events with its interval of 10,000 replicates."""
+    return S.bootstrap_interval(table(spark, d, "events"), "value")
+
+
+@query("SELECT event_type, round(median(value), 6) AS mid, round(quantile_cont(value, 0.9), 6) AS high FROM events GROUP BY 1")
+def event_quantiles(spark, d):
+    return quantiles(table(spark, d, "events").select("event_type", "value"), "value", {"mid": 0.5, "high": 0.9}, ["event_type"]).select("event_type", F.round("mid", 6).alias("mid"), F.round("high", 6).alias("high"))
+
+
 @query()
 def kmeans_clusters(spark, d):
     return learn.kmeans(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", 10, 2).select("vec_id", "cluster_id")
