@@ -157,12 +157,25 @@ def judge_vs_human(human: DataFrame, judge: DataFrame, *keys: str, by: str | Non
     )
 
 
+def judge_kappas(human: DataFrame, judge: DataFrame, *keys: str, replicates: int = 4000, least: int = 10) -> DataFrame:
+    """(grade, n, agreement, kappa, band, kappa_low, kappa_high) of human and judge, for `acceptable` and `catastrophic`; null
+    grades are graded `false`, as not so. Fewer than `least` rows graded by both: no report."""
+    both = human.join(judge.drop(*(c for c in judge.columns if c in human.columns and c not in keys)), list(keys))
+    if both.limit(least).count() < least:
+        raise ValueError(f"fewer than {least} rows graded by both")
+    sure = lambda c: F.coalesce(F.col(c), F.lit(False))
+    pairs = {"acceptable": ("human_acceptable", "acceptable_to_send"), "catastrophic": ("human_catastrophic", "catastrophic")}
+    tables = [S.kappa_with_interval(both.select(sure(h).alias("a"), sure(j).alias("b")), "a", "b", replicates).withColumn("grade", F.lit(g)) for g, (h, j) in pairs.items()]
+    return tables[0].unionByName(tables[1]).select("grade", "n", "agreement", "kappa", "band", "kappa_low", "kappa_high")
+
+
 def classification_tables(rows: DataFrame, true: str, arms: dict[str, str], stratum: str = "stratum") -> DataFrame:
     """(arm, stratum, n, accuracy, macro_f1) of every arm's column of predictions; strata are never pooled."""
     long = rows.select(stratum, true, F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), F.col(c).alias("pred")) for a, c in arms.items()))).alias("x"))
     return S.report_by(long.select(stratum, true, "x.*"), true, "pred", "arm", stratum)
 
 
-def selective_tables(judged: DataFrame, stratum: str = "stratum", least: int = 5) -> DataFrame:
-    """Coverage and quality by stratum, of those with `least` rows."""
-    return S.selective(judged, stratum).where(F.col("n") >= least)
+def selective_tables(judged: DataFrame, stratum: str = "stratum", least: int = 5, config: str | None = None) -> DataFrame:
+    """Coverage and quality with their intervals by stratum, and by the router's configuration if one is named, of those
+    with `least` rows."""
+    return S.selective(judged, *([config] if config else []), stratum).where(F.col("n") >= least)

@@ -6,11 +6,16 @@ arithmetic, which both engines do alike. Such rows test the operator, not the do
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.ordered import quantiles
 from ..functions import stats as S, text as T
-from ..operators import complete, corpus, evaluate, learn, policy, retrieve, sample
+from ..operators import asking, complete, corpus, evaluate, learn, policy, retrieve, sample
 from ..sources import files
 
 QUERIES: dict = {}
@@ -754,6 +759,57 @@ def induced_clusters(spark, d):
     return learn.induced(rows, "msg_id", 4, dimensions=20, starts=2, min_df=3)[1].select("cluster_id", "size", "share", F.array_join("top_terms", ",").alias("top_terms"), F.size("exemplars").alias("n_exemplars"), F.size("spread_exemplars").alias("n_spread"))
 
 
+#: the clients of these queries are functions: nothing has to wait
+UNLIMITED = complete.Limits(tokens_per_minute=1e12)
+
+
+def answers_path(spark) -> str:
+    """A place for one run's answers, in the folder that all executors share."""
+    return f"{files.shared_dir(spark)}/answers-{uuid.uuid4().hex}"
+
+
+def user_turns(spark, d):
+    return table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("msg_id"), F.col("text").alias("msg"))
+
+
+def labelling_client(prompt: str, model: str, most: int) -> str:
+    """Stands in for a model: labels by id, sometimes none, sometimes one that does not exist."""
+    ids = [int(x) for x in re.findall(r"^\[(\d+)\] ", prompt, re.M)]
+    names = ("service_complaint", "lost_property", "no_such_intent")
+    return json.dumps({"labels": [{"id": str(i), "intent": names[i % 3], "confidence": 0.25 * (i % 4)} for i in ids if i % 7]})
+
+
+@query("""WITH m AS (SELECT conv_id * 100 + turn AS msg_id FROM conversations WHERE role = 'user')
+SELECT msg_id, CASE WHEN msg_id % 7 = 0 OR msg_id % 3 = 2 THEN 'other' WHEN msg_id % 3 = 0 THEN 'service_complaint' ELSE 'lost_property' END AS intent,
+  CASE WHEN msg_id % 7 = 0 OR msg_id % 3 = 2 THEN 0.0 ELSE 0.25 * (msg_id % 4) END::DOUBLE AS confidence FROM m""")
+def classified_turns(spark, d):
+    """The LLM classifier over all user turns, with a client that can be foretold."""
+    out = asking.classified(user_turns(spark, d), policy.taxonomy(spark), answers_path(spark), labelling_client, "Give each message one intent.", limits=UNLIMITED)
+    return out.select("msg_id", "intent", "confidence")
+
+
+def drafting_client(prompt: str, model: str, most: int) -> str:
+    """Stands in for a generator and for a judge: what it says is a digest of what it was asked."""
+    if prompt.startswith("Judge the reply."):
+        good = hashlib.md5(prompt.rsplit("\nReply:\n", 1)[1].encode()).hexdigest()[0] < "8"
+        return json.dumps({**dict.fromkeys(("factual_safety", "addresses_need", "actionability", "tone_fit"), 2), "catastrophic": False, "acceptable_to_send": good, "one_line_verdict": "digest"})
+    said = prompt.split("Customer message:\n", 1)[1].split("\nIntent: ", 1)[0]
+    return "Here it is: " + json.dumps({"reply": hashlib.md5(said.encode()).hexdigest(), "grounded_in": [1], "confidence": 0.5})
+
+
+@query("SELECT conv_id * 100 + turn AS msg_id, md5(text) AS reply, 0.5::DOUBLE AS confidence, md5(md5(text))[1] < '8' AS acceptable FROM conversations WHERE role = 'user'")
+def drafts_judged(spark, d):
+    """From messages to drafts grounded in precedents to verdicts, over all user turns."""
+    turns, path = files.settle(user_turns(spark, d)), answers_path(spark)
+    messages = turns.withColumn("intent", F.lit("other"))
+    index = retrieve.fit(turns.select(F.col("msg_id").alias("doc_id"), F.col("msg").alias("text")), "doc_id", (retrieve.WORDS,))
+    precedents = turns.select(F.col("msg_id").alias("doc_id"), F.col("msg").alias("message"), F.md5("msg").alias("reply"))
+    drafts, blocks = asking.drafted(messages, index, precedents, policy.taxonomy(spark), path, drafting_client, limits=UNLIMITED)
+    drafts = files.settle(drafts)
+    verdicts = asking.judged(drafts.join(turns, "msg_id"), blocks, path, drafting_client, "Judge the reply.", limits=UNLIMITED)
+    return drafts.select("msg_id", "reply", "confidence").join(verdicts.select("msg_id", F.col("acceptable_to_send").alias("acceptable")), "msg_id")
+
+
 @query()
 def dense_cells_topk(spark, d):
     """As dense_topk, through the index of cells."""

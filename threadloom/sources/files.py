@@ -155,7 +155,9 @@ def report(title: str, tables: dict[str, DataFrame]) -> str:
 
 
 def markdown(df: DataFrame, most: int = 200) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(most).collect()
+    """A small result as a Markdown table; one of more than `most` rows is refused, not cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: write it as a table")
     cell = lambda v: "n/a" if v is None or v != v else f"{v:.4g}" if isinstance(v, float) else str(v)
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)])
