@@ -409,5 +409,5 @@ def test_search_reads_few_postings(spark, monkeypatch):
     docs = [(i, " ".join(["the of", *rng.choices(words[:40], k=20), *(f"own{i // 3}x{j}" for j in range(6))])) for i in range(900)]
     index = retrieve.fit(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", (retrieve.WORDS,))
     found = retrieve.hunt(index, spark.createDataFrame([(i, docs[i * 90][1]) for i in range(10)], "item_id long, text string"), "item_id", 3)
-    read = lambda pairs: found.hits.join(pairs, ["item_id", "shelf"]).join(index.weights, ["id", "shelf"]).count()
-    assert read(found.first) + read(found.rest) < 0.25 * found.hits.join(index.weights, ["id", "shelf"]).count()
+    read = lambda pairs: pairs.join(found.asked, "item_id").join(index.weights, ["id", "shelf"]).count()
+    assert read(found.first) + read(found.rest) < 0.25 * found.asked.join(index.weights, "id").count()
