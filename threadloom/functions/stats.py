@@ -186,7 +186,8 @@ def bootstrap_interval(df: DataFrame, value: str, replicates: int = 10_000, seed
         return pa.table({"b": pa.array(np.arange(first, first + many)), "total": total})
 
     each = placed.withColumn("span", F.explode(F.array(*(F.struct(F.lit(i).alias("first"), F.lit(k).alias("many")) for i, k in spans)))).select("block", "v", "c", "span.first", "span.many")
-    means = each.groupBy("block", "first").applyInArrow(draw, "b long, total double").groupBy("b").agg((F.sum("total") / F.lit(n or 1)).alias("m"))
+    spread = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    means = each.repartition(spread, "block", "first").groupBy("block", "first").applyInArrow(draw, "b long, total double").groupBy("b").agg((F.sum("total") / F.lit(n or 1)).alias("m"))
     tail = (1 - level) / 2
     ends = means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))  # replicates rows
     return placed.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean")).crossJoin(ends)  # one row each
