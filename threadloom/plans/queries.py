@@ -265,6 +265,17 @@ def resume_not_done(spark, d):
     return files.not_done(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
+@query("""SELECT DISTINCT o_custkey AS custkey, 'orders' AS first_seen FROM orders
+UNION ALL SELECT c_custkey, 'customer' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def appended_keys(spark, d):
+    """Two appends to a keyed log; the second adds what the first lacks."""
+    path = f"{files.shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    for name, column in (("orders", "o_custkey"), ("customer", "c_custkey")):
+        rows = table(spark, d, name).select(F.col(column).alias("custkey"), F.lit(name).alias("first_seen"))
+        files.append_new(rows, path, "custkey")
+    return files.read_jsonl(spark, path, "custkey long, first_seen string")
+
+
 @query("SELECT count(*) AS n, count(DISTINCT user_id) AS authors FROM events")
 def source_profile(spark, d):
     return files.profile(table(spark, d, "events"), "user_id")

@@ -58,7 +58,10 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    """JSON Lines, or what append_new has committed at path."""
+    from .keyed_log import read
+
+    return read(spark, path, schema)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -79,17 +82,11 @@ def not_done(todo: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     return todo.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def append_new(todo: DataFrame, path: str, *keys: str) -> None:
-    """Append rows whose keys the JSON Lines at path lack."""
-    spark = todo.sparkSession
-    try:
-        done = spark.read.schema(todo.schema).json(path)
-        rows = settle(not_done(todo, done, *keys))
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        rows = todo
-    rows.write.mode("append").json(path)
+def append_new(todo: DataFrame, path: str, *keys: str) -> int:
+    """Append rows whose keys the log at path lacks, also when others append; read it with read_jsonl."""
+    from .keyed_log import append
+
+    return append(todo, path, *keys)
 
 
 def profile(df: DataFrame, author: str) -> DataFrame:
