@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from . import gazetteer
+
 # What each signal looks like in a support conversation.
 PATTERNS = {
     "deflection": r"(?i)(\bd\.?m\b|\bdm us\b|\bdm me\b|direct message|private message|\bpm us\b|via dm|in a dm|to a dm|"
@@ -96,9 +98,7 @@ def normalise_for_clustering(text: Column, names: tuple[str, ...] = ()) -> Colum
     """Times, then names of a gazetteer (longest first), then numbers become tokens; blanks collapse; null is empty."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), PATTERNS["clock"], " <time> ")
     if names:
-        import re
-
-        t = F.regexp_replace(t, r"(?i)\b(" + "|".join(re.escape(s) for s in sorted(names, key=len, reverse=True)) + r")\b", " <station> ")
+        t = gazetteer.replaced(t, names, " <station> ")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"\b\d+\b", " <num> "), r"\s+", " "))
 
 

@@ -14,9 +14,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.ordered import quantiles
-from ..functions import stats as S, text as T
+from ..functions import gazetteer, stats as S, text as T
 from ..operators import asking, complete, corpus, evaluate, learn, policy, retrieve, sample
 from ..sources import files
+from ..streaming import threads
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -163,9 +164,25 @@ MESSAGES = MESSAGES.replace("{thanks}", DUCK["thanks"])
 clean = lambda c: CLEAN.replace("(text,", f"({c},")
 latin = lambda c: rf"coalesce(length(regexp_replace({c}, '[^A-Za-z]', '', 'g')) / nullif(length(regexp_replace({c}, '[^\p{{L}}]', '', 'g')), 0), 0.0)"
 FLAGS = f"regexp_matches(r, '{DUCK['deflection']}') AS deflects, regexp_matches(r, '{DUCK['ack_only']}') AS acks, length(r) >= 60 AS long"
+
+
+@query()
+def streamed_episodes(spark, d):
+    """corpus_episodes with the messages as a stream: two stateful queries and the rows that end them."""
+    path = f"{files.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = messages(spark, d).select(*(c.split()[0] for c in threads.MESSAGES.split(", ")))
+    rows.write.parquet(f"{path}/in")
+    end = rows.agg(F.unix_timestamp(F.max("created_at"))).first()[0]
+    threads.closing(spark, end or 0).write.mode("append").parquet(f"{path}/in")
+    threads.run(spark, f"{path}/in", path)
+    e = spark.read.schema(corpus.episodes(rows).schema).parquet(f"{path}/episodes")
+    return e.select("episode_id", "brand", "customer_id", F.md5("customer_msg").alias("msg_md5"), F.md5("brand_reply").alias("reply_md5"), F.col("n_followups").cast("long").alias("n_followups"), "reply_is_deflection", "reply_is_ack_only", "reply_substantive", "customer_thanked")
+
+
 ORACLE_SQL["corpus_episodes"] = MESSAGES + f""", x AS (SELECT parent_id AS episode_id, brand, customer AS customer_id, {clean('p_text')} AS c, {clean('text')} AS r, coalesce(t.n, 0) AS n, coalesce(thanked, FALSE) AS thanked FROM p LEFT JOIN t ON t.msg_id = p.msg_id WHERE grand IS NULL)
 SELECT episode_id, brand, customer_id, md5(c) AS msg_md5, md5(r) AS reply_md5, CAST(n AS BIGINT) AS n_followups, deflects AS reply_is_deflection, acks AS reply_is_ack_only, NOT deflects AND NOT acks AND long AS reply_substantive, thanked AS customer_thanked
 FROM (SELECT *, {FLAGS} FROM x) WHERE length(c) >= 12 AND {latin('c')} >= 0.6"""
+ORACLE_SQL["streamed_episodes"] = ORACLE_SQL["corpus_episodes"]
 ORACLE_SQL["corpus_scorecard"] = MESSAGES + f""", x AS (SELECT brand, customer, {clean('text')} AS r, {latin('p_text')} AS ratio, thanked, t.msg_id IS NOT NULL AS again FROM p LEFT JOIN t ON t.msg_id = p.msg_id),
 c AS (SELECT brand, count(*) AS first_reply_pairs, count(DISTINCT customer) AS distinct_customers, avg(deflects::INT) AS deflect_rate, avg(acks::INT) AS ack_only_rate, avg((NOT deflects AND NOT acks AND long)::INT) AS substantive_rate,
   avg((ratio < 0.6)::INT) AS non_latin_rate, avg(coalesce(thanked, FALSE)::INT) AS thanks_rate, avg(again::INT) AS multi_turn_rate FROM (SELECT *, {FLAGS} FROM x) GROUP BY 1),
@@ -240,6 +257,23 @@ def text_cluster_normal(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.normalise_for_clustering(F.col("text"))).alias("normal_md5"))
 
 
+#: names of two and four words that overlap each other, from the passages that documents share. In the SQL each sign that is
+#: no word is set between two tildes, one for the name before it and one for the name after: RE2's \b knows ASCII only.
+NAMED = ("^[A-Za-z]+ [A-Za-z]+", "^[A-Za-z]+ [A-Za-z]+ [A-Za-z]+ [A-Za-z]+", "[A-Za-z]+ [A-Za-z]+$")
+
+
+@query("WITH n AS (SELECT DISTINCT unnest([" + ", ".join(f"regexp_extract(trim(text, '. '), '{p}')" for p in NAMED) + """]) AS name FROM benchmark),
+p AS (SELECT '(?i)(^|~)(' || string_agg(replace(name, ' ', '~ ~'), '|' ORDER BY length(name) DESC, name) || ')(~|$)' AS pattern FROM n WHERE name <> ''),
+d AS (SELECT doc_id, regexp_replace(replace(text, '~', '\x02'), '([^\\p{L}\\p{N}_])', '~\\1~', 'g') AS t FROM documents)
+SELECT doc_id, CAST(len(regexp_extract_all(t, pattern)) AS BIGINT) AS n_names, md5(replace(replace(regexp_replace(t, pattern, ' <station> ', 'g'), '~', ''), '\x02', '~')) AS text_md5 FROM d, p""")
+def text_gazetteer(spark, d):
+    """Names of a table in all documents: how many, and the texts with a token for each."""
+    words = table(spark, d, "benchmark").select(F.explode(F.array(*(F.regexp_extract(F.rtrim(F.col("text"), F.lit(". ")), p, 0) for p in NAMED))).alias("name"))
+    names = gazetteer.names_of(words, "name")
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.size(gazetteer.mentions(F.col("text"), names)).cast("long").alias("n_names"), F.md5(gazetteer.replaced(F.col("text"), names, " <station> ")).alias("text_md5"))
+
+
 # ---------------------------------------------------------------- time splits, set operations, resume
 
 
