@@ -29,3 +29,33 @@ def test_dense_top_in_tiles(spark):
         assert [near[r][0] for r in (1, 2, 3)] == order
         assert [near[r][1] for r in (1, 2, 3)] == [None if s[j] != s[j] else pytest.approx(s[j], abs=1e-9) for j in order]
     assert retrieve.dense_top(df.where("false"), df).count() == 0
+
+
+def test_gazetteer_marked_in_slices(spark):
+    """One scan gives what the two functions give; a batch of many texts is taken some megabytes at a time."""
+    import pyarrow as pa
+
+    from threadloom.functions import gazetteer as G
+
+    names = ("temple meads", "temple", "bath spa", "")
+    texts = ["Temple Meads to bath spa, not templex", "", None, "İ temple", "no name", "x" * 300 + " temple"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: (r.n_names, r.text) for r in G.marked(df, "text", names, "<s>").collect()}
+    want = df.select("id", F.size(G.mentions(F.col("text"), names)).alias("n"), G.replaced(F.col("text"), names, "<s>").alias("t")).collect()
+    assert got == {r.id: (None if texts[r.id] is None else r.n, r.t) for r in want}
+    batch = pa.RecordBatch.from_arrays([pa.array(["y" * 1000] * 90 + ["z" * 9000, None])], names=["text"])
+    parts = list(G.sliced(batch, 0, most=5000))
+    assert sum(p.num_rows for p in parts) == 92 and max(p.num_rows for p in parts) <= 6 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+
+
+def test_cells_hold_rows_and_search_by_tiles(spark, monkeypatch):
+    """No row of the index holds more than its own vector; a cell of several chunks of rows and of queries is searched whole."""
+    monkeypatch.setattr(retrieve, "CHUNK", 50)
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(0, 1, (900, 6)).astype(np.float32))], "vec_id long, embedding array<float>")
+    index = retrieve.fit_cells(df, 2)
+    assert set(index.rows.columns) == {"cell", "chunk", "key", "x"}
+    assert index.rows.count() == 900 and index.rows.agg(F.max(F.size("x"))).first()[0] == 6 and index.rows.select("chunk").distinct().count() > 4
+    queries = df.where("vec_id % 4 = 0")
+    rows = lambda found: sorted((r.query, r.doc, r["rank"]) for r in found.collect())
+    assert rows(retrieve.search_cells(index, queries, probes=2)) == rows(retrieve.dense_top(queries, df))

@@ -10,7 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Stations, towns and their codes, as riders write them.
@@ -67,6 +70,51 @@ def spans(auto: ahocorasick.Automaton, text: str) -> list[tuple[int, int]]:
     return out
 
 
+def marked(df: DataFrame, text: str, names: tuple[str, ...] | list[str], token: str) -> DataFrame:
+    """df with n_names, how many names the text has, and `text` with `token` for each: one scan of a text for both.
+
+    Texts are taken some megabytes at a time, however many rows Spark hands over at once.
+    """
+    at = df.columns.index(text)
+    schema = df.withColumn("n_names", F.lit(None).cast("long")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = automaton(names)
+        for batch in batches:
+            for part in sliced(batch, at):
+                n, out = [], []
+                for t in part.column(at):
+                    t = t.as_py()
+                    found = [] if t is None else spans(auto, t)
+                    n.append(None if t is None else len(found))
+                    out.append(None if t is None else with_token(t, found, token))
+                columns = [pa.array(out, pa.string()) if i == at else c for i, c in enumerate(part.columns)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], names=[*part.schema.names, "n_names"])
+
+    return df.mapInArrow(run, schema)
+
+
+def sliced(batch: pa.RecordBatch, at: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about `most` bytes of text; a longer text stands alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = held = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and held + n > most:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if len(sizes) > first:
+        yield batch.slice(first)
+
+
+def with_token(text: str, found: list[tuple[int, int]], token: str) -> str:
+    parts, at = [], 0
+    for start, end in found:
+        parts += text[at:start], token
+        at = end
+    return "".join(parts) + text[at:]
+
+
 def replaced(text: Column, names: tuple[str, ...] | list[str], token: str) -> Column:
     """The text with `token` for each name."""
 
@@ -74,17 +122,7 @@ def replaced(text: Column, names: tuple[str, ...] | list[str], token: str) -> Co
     def put(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         auto = automaton(names)
         for texts in batches:
-            yield texts.map(one(auto), na_action="ignore")
-
-    def one(auto):
-        def change(t: str) -> str:
-            parts, at = [], 0
-            for start, end in spans(auto, t):
-                parts += t[at:start], token
-                at = end
-            return "".join(parts) + t[at:]
-
-        return change
+            yield texts.map(lambda t: with_token(t, spans(auto, t), token), na_action="ignore")
 
     return put(text)
 
