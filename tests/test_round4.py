@@ -48,14 +48,15 @@ def test_gazetteer_marked_in_slices(spark):
     assert sum(p.num_rows for p in parts) == 92 and max(p.num_rows for p in parts) <= 6 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
 
 
-def test_cells_hold_rows_and_search_by_tiles(spark, monkeypatch):
-    """No row of the index holds more than its own vector; a cell of several chunks of rows and of queries is searched whole."""
-    monkeypatch.setattr(retrieve, "CHUNK", 50)
+def test_cells_are_searched_by_tiles(spark, monkeypatch):
+    """A cell of several spans of rows and parts of queries is searched whole; what a task gets at once are rows of one vector."""
+    monkeypatch.setattr(retrieve, "CHUNK", 8)
     rng = np.random.default_rng(6)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(0, 1, (900, 6)).astype(np.float32))], "vec_id long, embedding array<float>")
     index = retrieve.fit_cells(df, 2)
-    assert set(index.rows.columns) == {"cell", "chunk", "key", "x"}
-    assert index.rows.count() == 900 and index.rows.agg(F.max(F.size("x"))).first()[0] == 6 and index.rows.select("chunk").distinct().count() > 4
+    assert index.rows.select("chunk").distinct().count() > 2 * retrieve.PACKS
     queries = df.where("vec_id % 4 = 0")
-    rows = lambda found: sorted((r.query, r.doc, r["rank"]) for r in found.collect())
-    assert rows(retrieve.search_cells(index, queries, probes=2)) == rows(retrieve.dense_top(queries, df))
+    found = retrieve.search_cells(index, queries, probes=2)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+    rows = lambda x: sorted((r.query, r.doc, r["rank"]) for r in x.collect())
+    assert rows(found) == rows(retrieve.dense_top(queries, df))
