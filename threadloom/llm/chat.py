@@ -16,6 +16,9 @@ from . import common
 
 TURNS = "array<struct<role: string, text: string>>"
 
+#: code points of a text that one record holds
+PIECE = 1_000_000
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -152,19 +155,30 @@ def under_mask(text: Column, mask: Column) -> Column:
     return F.array_join(F.transform(mask, lambda m: unescaped(F.substring(text, m["start"] + 1, m["length"]))), "")
 
 
+def told(rows: DataFrame) -> DataFrame:
+    """rows(role, text, ...) with the role and text that are read from a record of each by the layout of its fingerprint."""
+    record = F.to_json(F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("messages")))
+    read = canonical(rows.withColumn("record", record))
+    turn = F.when(F.col("layout").isNull() | (F.size("turns") != 1), F.raise_error(F.lit("a turn's record has no known layout")).cast("struct<role: string, text: string>")).otherwise(F.col("turns")[0])
+    return read.withColumn("said", turn).withColumns({"role": F.col("said.role"), "text": F.col("said.text")}).select(*rows.columns)
+
+
 def turns_of(conversations: DataFrame) -> DataFrame:
     """Rows by turn -> (conv_id, turns). Order: turn, then role and text; nulls are empty.
 
-    Each row is a record of one turn, by whose fingerprint its role is found. Its text stands beside the record,
-    for Spark's JSON parser gives null for long ones; a record that it cannot parse is an error.
+    Each row is a record of one turn, and its role and text are what the layout of the record's fingerprint finds in
+    it. A text of over PIECE code points, for which Spark's JSON parser may give null, is a record for each PIECE of it,
+    whose texts are put together again; a record that cannot be parsed is an error.
     """
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    record = F.to_json(F.struct(F.array(F.struct(role.alias("role"), F.lit("").alias("content"))).alias("messages")))
-    rows = canonical(conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), record.alias("record")))
-    said = F.when(F.col("layout").isNull() | (F.size("turns") != 1), F.raise_error(F.lit("a turn's record has no known layout"))).otherwise(F.col("turns")[0]["role"])
-    row = F.struct("turn", "role", "text", said.alias("said"))
-    listed = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    return listed.select("conv_id", F.transform("rows", lambda r: F.struct(r["said"].alias("role"), r["text"].alias("text"))).alias("turns"))
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    short, long = rows.where(F.length("text") <= PIECE), rows.where(F.length("text") > PIECE)
+    count = F.ceil(F.length("text") / PIECE).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col("text"), i * PIECE + 1, F.lit(PIECE)))
+    cut = told(long.withColumn("row", F.monotonically_increasing_id()).select("row", "conv_id", "turn", "role", F.posexplode(pieces).alias("piece", "text")))
+    whole = cut.groupBy("row", "conv_id", "turn", "role").agg(F.array_sort(F.collect_list(F.struct("piece", "text"))).alias("parts"))
+    both = told(short).unionByName(whole.select("conv_id", "turn", "role", F.array_join("parts.text", "").alias("text")))
+    listed = both.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("rows"))
+    return listed.select("conv_id", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"))
 
 
 def formats(conversations: DataFrame) -> DataFrame:
