@@ -21,3 +21,25 @@ def test_op8_texts_come_from_the_record(spark, monkeypatch):
     monkeypatch.setattr(chat, "canonical", shouted)
     (got,) = chat.turns_of(rows).collect()
     assert sorted(t.text for t in got.turns) == sorted((t or "").upper() for t in texts)
+
+
+def test_pipeline_near_copies_by_simhash(spark, monkeypatch):
+    """Near copies of four bits or fewer are found by their fingerprints alone; what shares bits but few shingles stays."""
+    import random
+
+    import corpus_pipeline as cp
+    from threadloom.llm import lines, near_copies, simhash
+
+    rng = random.Random(3)
+    texts = []
+    while len(texts) < 12:
+        base = ["".join(rng.choices("etaoinshrdlu", k=5)) for _ in range(200)]
+        near = [*base[:-1], "other"]
+        a, b = " ".join(base), " ".join(near)
+        if (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= 4:
+            texts += [a, b]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(lines, "bucket_links", lambda signed, matches: signed.select(F.col("node").alias("u"), F.col("node").alias("v")).where("false"))
+    assert {r.doc_id for r in cp.drop_near_copies(spark, docs, "").collect()} == {0, 2, 4, 6, 8, 10}
+    monkeypatch.setattr(near_copies, "similar", lambda a, b: False)
+    assert cp.drop_near_copies(spark, docs, "").count() == 13  # the exact check has the last word
