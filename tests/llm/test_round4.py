@@ -43,3 +43,26 @@ def test_pipeline_near_copies_by_simhash(spark, monkeypatch):
     assert {r.doc_id for r in cp.drop_near_copies(spark, docs, "").collect()} == {0, 2, 4, 6, 8, 10}
     monkeypatch.setattr(near_copies, "similar", lambda a, b: False)
     assert cp.drop_near_copies(spark, docs, "").count() == 13  # the exact check has the last word
+
+
+def test_op3_moves_texts_of_repeated_digests_only(spark, tmp_path, monkeypatch):
+    """The rows that go on to the comparison of bytes are those of repeated digests, also where a broadcast join is not Spark's own choice."""
+    from threadloom.llm import exact_dedup
+
+    docs = spark.createDataFrame([(i, "same  text" if i % 10 == 0 else f"text {i}") for i in range(200)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    kept = {}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = exact_dedup.rows(docs, exact_dedup.sha256)
+        repeated = rows.groupBy("digest").count().where("count > 1").select("digest")
+        kept["few"] = exact_dedup.only_repeated(rows, repeated).count()
+        kept["all"] = exact_dedup.only_repeated(rows, repeated, most=0).count()
+        for most in (exact_dedup.MOST_KEYS, 0):
+            monkeypatch.setattr(exact_dedup.only_repeated, "__defaults__", (most,))
+            got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(spark, f"{tmp_path}/docs").collect()}
+            assert got == {i: (0, 20, i == 0) if i % 10 == 0 else (i, 1, True) for i in range(200)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert kept == {"few": 20, "all": 200}

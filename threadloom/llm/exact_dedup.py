@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import common
 
+#: repeated digests that are sent to every executor in 64 bits each, to leave other texts where they are
+MOST_KEYS = 4_000_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -83,6 +85,15 @@ def state(spark: SparkSession, path: str, digest: Callable[[Column], Column] = s
     return common.cut(written.groupBy("digest").agg(F.max_by(F.struct("n", "best"), "n").alias("last")).select("digest", "last.n", "last.best"), "exact-latest")
 
 
+def only_repeated(docs: DataFrame, repeated: DataFrame, most: int = MOST_KEYS) -> DataFrame:
+    """docs without most of the rows whose digest is not in repeated(digest): 64 bits of each go to every executor, `most` at
+    the most; with more, all rows go on, and the join that follows tells them apart either way."""
+    if repeated.count() > most:
+        return docs
+    keys = repeated.select(F.xxhash64("digest").alias("short")).distinct()
+    return docs.join(F.broadcast(keys), F.xxhash64("digest") == F.col("short"), "left_semi")
+
+
 def dedup(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256, files_per_batch: int = 1000, store: str | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row at `path`.
 
@@ -96,9 +107,9 @@ def dedup(spark: SparkSession, path: str, digest: Callable[[Column], Column] = s
     joined = docs.select("doc_id", "digest", "n_points", *own).join(held.drop("at"), "digest")
     joined = common.cut(joined.withColumn("text_sha256", F.col("own_sha256") if own else F.col("digest")), "exact-rows")
 
-    # a digest's key is small: where few digests repeat, Spark sends these to the texts, and no other text is moved
+    # texts of digests that occur once stay where they are
     repeated = common.cut(held.where("n > 1").select("digest", "keep_id", "at"), "exact-repeated")
-    hits = common.cut(docs.join(repeated, "digest").select("doc_id", "digest", "normal", "n_points", "keep_id", F.expr("locator <> at").alias("elsewhere")), "exact-hits")
+    hits = common.cut(only_repeated(docs, repeated).join(repeated, "digest").select("doc_id", "digest", "normal", "n_points", "keep_id", F.expr("locator <> at").alias("elsewhere")), "exact-hits")
     stay = common.cut(hits.where("doc_id <=> keep_id").groupBy("digest").agg(F.min_by("normal", F.struct("elsewhere", "normal")).alias("stays")), "exact-stay")
     # written before distinct: a join that an aggregate on its key follows could not be split
     differ = common.cut(hits.join(stay, "digest").where("normal <> stays").select("digest"), "exact-differ")
