@@ -180,6 +180,7 @@ def survivors(docs: DataFrame, threshold: int, core: int) -> DataFrame:
     out = "h long, k1 long, k2 int, pos int, low int, high int, s1 long, s2 long"
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.free_memory()  # of the step that dealt, which needs much more than this one
         names = common.arrow_schema(out)
         now, held = None, []
 
