@@ -70,6 +70,9 @@ def unpack(payload: bytes, index: bytes) -> np.ndarray:
     return np.concatenate(out)
 
 
+#: pieces that a worker knows at once, some 180 bytes each
+KNOWN = 1_000_000
+
 _workers: dict = {}
 
 
@@ -93,7 +96,7 @@ def library(path: str) -> tuple[Pieces, object]:
             return np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())), n
 
         # the library takes the strings of added tokens out of a text before it splits the rest
-        _workers[path] = Pieces(encode), splitter(public_tokenizers.PATTERN, tuple(a.content for a in added))
+        _workers[path] = Pieces(encode, KNOWN), splitter(public_tokenizers.PATTERN, tuple(a.content for a in added))
     return _workers[path]
 
 
