@@ -226,11 +226,15 @@ def squeezed(docs: DataFrame, *more: str) -> DataFrame:
 CELL = "rank long, lo int, hi int, k1 long, k2 int, pos int, low int, high int, context binary"
 
 
-def first_cells(docs: DataFrame, found: DataFrame, threshold: int, core: int) -> DataFrame:
-    """Each place found (h, k1, k2, pos, low, high) with the whole cell; its bytes come from one of the copies of its text."""
+def places_held(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(k1, k2, held, id): the places found (h, k1, k2, pos, low, high) by text, with one of the text's copies; written."""
     lists = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "pos", "low", "high")).alias("held"))
     least = docs.groupBy("k1", "k2").agg(F.min("id").alias("id"))
-    lists = common.cut(lists.join(least, ["k1", "k2"]), "repeat-held")
+    return common.cut(lists.join(least, ["k1", "k2"]), "repeat-held")
+
+
+def first_cells(docs: DataFrame, lists: DataFrame, threshold: int, core: int) -> DataFrame:
+    """Each place of places_held() with the whole cell; its bytes come from one of the copies of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = common.arrow_schema(CELL)
@@ -292,31 +296,65 @@ def spans_of(rows: DataFrame, threshold: int) -> DataFrame:
     return rows.select("k1", "k2", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + threshold).alias("end"))
 
 
+def by_text(spans: DataFrame) -> DataFrame:
+    """(k1, k2, spans) of (k1, k2, start, end): the runs that are covered in each text; written, for what it comes from is
+    many times larger and can go."""
+    lists = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            offsets, start, end = runs_by_row(part.column("spans"))
+            runs = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in (start, end)], ["start", "end"])
+            yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), runs)], names=["k1", "k2", "spans"])
+
+    return common.cut(lists.mapInArrow(run, "k1 long, k2 int, spans array<struct<start: int, end: int>>"), "repeat-gone")
+
+
+def runs_by_row(held: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets of the rows, starts, ends): the union of the spans of each row."""
+    size = pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False)
+    flat = held.flatten()
+    base = np.repeat(np.arange(len(size), dtype=np.int64) << 32, size)  # rows far apart, so one union serves all
+    start, end = merged(base + flat.field("start").to_numpy(zero_copy_only=False), base + flat.field("end").to_numpy(zero_copy_only=False))
+    return np.searchsorted(start, np.arange(len(size) + 1, dtype=np.int64) << 32), start & 0xFFFFFFFF, end & 0xFFFFFFFF
+
+
 def ranking(docs: DataFrame, threshold: int, core: int) -> list[DataFrame]:
-    """Spans (k1, k2, start, end) of repeated strings, by round. Joins meet rows with groups, so Spark can split them."""
+    """(k1, k2, spans) of repeated strings, by round. Joins meet rows with groups, so Spark can split them. What a round
+    was made from is removed when the next is written."""
     found = survivors(docs, threshold, core)
     key = ["h", *COVERED]
     place = F.struct(*PLACED)
     groups = common.cut(found.groupBy(*key).agg(F.min(place).alias("lead"), F.max(place).alias("last")).withColumn("twice", F.expr("lead <> last")).drop("last"), "repeat-groups")
-    gone = [spans_of(found.join(groups.where("twice").select(*key), key, "left_semi"), threshold)]
+    gone = [by_text(spans_of(found.join(groups.where("twice").select(*key), key, "left_semi"), threshold))]
+    common.discard(found)
     several = common.cut(groups.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeat-several")
     ahead = groups.join(several, "h", "left_semi").select("h", "lead.*", "low", "high")
-    cells = first_cells(docs, ahead, threshold, core)
+    lists = places_held(docs, ahead)
+    common.discard(groups, several)
+    cells, used = first_cells(docs, lists, threshold, core), [lists]
     width = threshold - core + 1
     while width > 1:
         width = -(-width // SPLIT)
         rows = common.cut(grown(cells, threshold), "repeat-cells")
+        common.discard(*used)
+        used = [rows]
         if rows.isEmpty():
             break
         core_key = ["rank", "lo", "hi", "x1", "x2"]
         key = [*core_key, *COVERED]
         of_rows = rows.groupBy(*key).agg(F.min("id").alias("lead"), F.max("id").alias("last"))
         groups = common.cut(of_rows, "repeat-groups")
-        gone.append(spans_of(rows.join(groups.where("lead <> last").select(*key), key, "left_semi"), threshold))
+        used.append(groups)
+        gone.append(by_text(spans_of(rows.join(groups.where("lead <> last").select(*key), key, "left_semi"), threshold)))
         if width > 1:
             ranks = groups.groupBy(*core_key).agg(F.min("lead").alias("name"), F.count("*").alias("n")).where("n > 1").drop("n")
-            leads = groups.join(common.cut(ranks, "repeat-ranks"), core_key).select(F.col("lead").alias("id"), "name")
+            ranks = common.cut(ranks, "repeat-ranks")
+            leads = common.cut(groups.join(ranks, core_key).select(F.col("lead").alias("id"), "name"), "repeat-leads")
+            common.discard(ranks, groups)
+            used = [rows, leads]
             cells = rows.join(leads, "id").select(F.col("name").alias("rank"), "lo", "hi", *PLACED, "low", "high", "context")
+    common.discard(*used)
     return gone
 
 
@@ -325,9 +363,9 @@ def cuts(docs: DataFrame, threshold: int = THRESHOLD, core: int = CORE) -> DataF
     first, *more = ranking(docs, threshold, core)
     for spans in more:
         first = first.unionByName(spans)
-    by_text = first.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    of_text = first.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     copies = docs.groupBy("k1", "k2").agg(F.count("*").alias("copies")).where("copies > 1")
-    return common.cut(by_text.join(copies, ["k1", "k2"], "full"), "repeat-spans")
+    return common.cut(of_text.join(copies, ["k1", "k2"], "full"), "repeat-spans")
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -356,13 +394,7 @@ def applied(docs: DataFrame, columns: tuple[str, ...], out: str, made, threshold
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
         for part in common.slices(batches, "packed", 1 << 20):
-            held = part.column("spans")
-            size = pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False)
-            flat = held.flatten()
-            base = np.repeat(np.arange(len(size), dtype=np.int64) << 32, size)  # rows far apart, so one union serves all
-            start, end = merged(base + flat.field("start").to_numpy(zero_copy_only=False), base + flat.field("end").to_numpy(zero_copy_only=False))
-            cuts_at = np.searchsorted(start, np.arange(len(size) + 1, dtype=np.int64) << 32).tolist()
-            start, end = (start & 0xFFFFFFFF).tolist(), (end & 0xFFFFFFFF).tolist()
+            cuts_at, start, end = (x.tolist() for x in runs_by_row(part.column("spans")))
             rows = []
             for i, (packed, copies) in enumerate(zip(part.column("packed").to_pylist(), part.column("copies").to_pylist())):
                 raw = expand(packed)
