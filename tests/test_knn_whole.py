@@ -20,7 +20,7 @@ def vectors(tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["knn_confusion"])
+@pytest.mark.parametrize("name", ["knn_confusion", "knn_macro_f1"])
 def test_every_vector_is_judged(spark, vectors, name):
     got = entry.queries()[name](spark, vectors)
     con = duckdb.connect()
